@@ -15,9 +15,8 @@ Every text becomes its set of five-word shingles (``shingles.py``). Two document
 4. Inside a neighbourhood (in pair blocks of bounded size) parity bitmaps bound the overlap from
    above, which is exact, and drop members without a possible partner.
 5. The others' whole sets are indexed block by block, and each is a T-occurrence query: short lists
-   are merged and counted, long ones are binary-probed for the survivors (DivideSkip); documents
-   that reach the required overlap are links. Members already connected in the block aren't
-   verified again, as classes need no second proof.
+   are merged and counted (as arrays, in place of a heap), long ones are binary-probed for the survivors (DivideSkip); documents
+   that reach the required overlap are links. A block hands on edges to its roots, not pairs.
 
 Null doc_id: never linked, component null. Rows with one doc_id: one node, whose texts' links join.
 Null or wordless text: empty set, component is the own id. Empty table: empty result.
@@ -25,7 +24,6 @@ Null or wordless text: empty set, component is the own id. Empty table: empty re
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -36,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Forest, by_key, connected_components, materialise, pair_blocks
-from .shingles import shingle_sets
+from .shingles import mix, shingle_sets
 
 HEAVY = 65_536  # entries of the heavy-hitter summary: 1 MB at most
 HEAVY_LEAST = 8  # documents that make a shingle heavy
 GATHER = 4_000_000  # shingles counted at once in a task
+DIGEST_BITS = 1 << 27
+PROBE = 4000  # postings merged in the time of probing for one document
 CHUNK = 512  # documents in one side of a pair block
 
 
@@ -99,8 +99,8 @@ def _required(n: int, percent: int) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """Parity bitmap with about one bit a token: 64 to 8192 bits."""
-    bits = min(8192, max(64, 1 << max(0, len(tokens) - 1).bit_length()))
+    """Parity bitmap with one or two bits a token: 64 to 65536 bits."""
+    bits = min(65536, max(64, 1 << max(0, len(tokens) - 1).bit_length()))
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -162,60 +162,78 @@ def _plausible(percent: int):
             if g.num_rows < 2:
                 continue
             n, c = g["n_shingles"].to_numpy(), g["c"].to_numpy()
-            maps = [np.frombuffer(b, np.uint64) for b in g["bitmap"].to_pylist()]
-            width = min(map(len, maps))
-            for k, m in enumerate(maps):  # folding keeps parity
-                while len(m) > width:
-                    m = m[: len(m) // 2] ^ m[len(m) // 2 :]
-                maps[k] = m
-            m = np.array(maps)
             i, j = g["i"][0].as_py(), g["j"][0].as_py()
-            left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
+            column = g["bitmap"].to_pylist()
+            width = np.array([len(b) // 8 for b in column])
             keep = np.zeros(g.num_rows, bool)
-            step = max(1, 4_000_000 // max(1, len(right) * width))
-            for at in range(0, len(left), step):
-                a = left[at : at + step]
-                apart = np.bitwise_count(m[a][:, None] ^ m[right][None]).sum(2, dtype=np.int64)
-                total = n[a][:, None] + n[right][None]
-                # overlap <= (total - apart) / 2, and a link needs (100 + percent) * overlap >= percent * total
-                fits = ((100 + percent) * (total - apart) >= 2 * percent * total) & (a[:, None] != right[None])
-                keep[a] |= fits.any(1)
-                keep[right] |= fits.any(0)
+            for w in np.unique(width).tolist():
+                # linked sets differ by less than a factor of two, so their bitmaps do by two at most
+                maps = {k: np.frombuffer(column[k], np.uint64) for k in np.flatnonzero((width == w) | (width == 2 * w)).tolist()}
+                maps = {k: m if len(m) == w else m[:w] ^ m[w:] for k, m in maps.items()}  # folding keeps parity
+                some = np.array(list(maps))
+                m = np.array(list(maps.values()))
+                left, right = np.flatnonzero(c[some] == i), np.flatnonzero(c[some] == j)
+                step = max(1, 2_000_000 // max(1, len(right) * w))
+                for at in range(0, len(left), step):
+                    a = left[at : at + step]
+                    x, y = some[a], some[right]
+                    apart = np.bitwise_count(m[a][:, None] ^ m[right][None]).sum(2, dtype=np.int64)
+                    total = n[x][:, None] + n[y][None]
+                    # overlap <= (total - apart) / 2, and a link needs (100 + percent) * overlap >= percent * total
+                    fits = ((100 + percent) * (total - apart) >= 2 * percent * total) & (x[:, None] != y[None])
+                    fits &= 100 * np.minimum(n[x][:, None], n[y][None]) >= percent * np.maximum(n[x][:, None], n[y][None])
+                    keep[x] |= fits.any(1)
+                    keep[y] |= fits.any(0)
             if keep.any():
                 yield from g.filter(pa.array(keep)).select(["host", "i", "j", "c", "doc_id"]).combine_chunks().to_batches()
 
     return run
 
 
-def t_occurrence(
-    query: np.ndarray, lists: dict[int, np.ndarray], need: int, sizes: np.ndarray, percent: int
-) -> np.ndarray:
-    """Ordinals that link with the query, by DivideSkip over postings (sorted ordinals).
-
-    ``need`` is the least overlap any partner has. Of the query's lists the longest are set apart; as
-    a partner can be missing from the short ones that many times at most, the short lists are merged
-    and counted with the rest of ``need``, and the long ones are binary-probed for what is left."""
-    own = [p for t in query.tolist() if (p := lists.get(t)) is not None]
-    if len(own) < need:
-        return np.zeros(0, np.int64)
-    own.sort(key=len)
-    longest = len(own[-1])
-    apart = min(need - 1, int(need / (0.5 * math.log2(longest + 1) + 1)))
-    short, long = own[: len(own) - apart], own[len(own) - apart :]
-    if sum(map(len, short)) <= 64:
-        merged = np.fromiter(heapq.merge(*map(np.ndarray.tolist, short)), np.int64)
-    else:
-        merged = np.sort(np.concatenate(short))
-    found, hits = np.unique(merged, return_counts=True)
-    found, hits = found[hits >= need - apart], hits[hits >= need - apart]
-    for k, p in enumerate(long):
-        if not len(found):
-            break
-        at = np.minimum(np.searchsorted(p, found), len(p) - 1)
-        hits = hits + (p[at] == found)
-        left = hits + (len(long) - 1 - k) >= need
-        found, hits = found[left], hits[left]
-    return found[(100 + percent) * hits >= percent * (len(query) + sizes[found])]
+class InvertedLists:
+    """Inverted lists of a block's indexed sets: for each token its sorted ordinals."""
+
+    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets], np.int64)
+        token = np.concatenate([sets[k] for k in members])
+        self.owner = np.repeat(members, self.sizes[members])
+        o = np.lexsort((self.owner, token))
+        token, self.owner = token[o], self.owner[o]
+        self.start = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+        self.token = token[self.start[:-1]]
+
+    def _merged(self, lists: np.ndarray) -> np.ndarray:
+        """How often each ordinal stands in the lists."""
+        first, n = self.start[lists], self.start[lists + 1] - self.start[lists]
+        flat = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        return np.bincount(self.owner[flat], minlength=len(self.sets))
+
+    def t_occurrence(self, query: np.ndarray, percent: int) -> np.ndarray:
+        """Ordinals that link with the query, by DivideSkip.
+
+        A partner shares ``need`` tokens at least. Of the query's lists the longest are set apart; as a
+        partner can be missing from the short ones that many times at most, the short lists are merged
+        and counted against the rest of ``need``, and the long ones are binary-probed for what is left."""
+        need = _required(len(query), percent)
+        at = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
+        at = at[self.token[at] == query]
+        if len(at) < need:
+            return np.zeros(0, np.int64)
+        length = self.start[at + 1] - self.start[at]
+        at = at[np.argsort(length, kind="stable")]
+        apart = min(need - 1, int(need / (0.5 * math.log2(int(length.max()) + 1) + 1)))
+        short, long = at[: len(at) - apart], at[len(at) - apart :]
+        hits = self._merged(short)
+        found = np.flatnonzero(hits >= need - apart)
+        hits = hits[found]
+        if apart and len(found) * PROBE < length[np.argsort(length)[len(at) - apart :]].sum():
+            tokens = np.sort(self.token[long])
+            for i, k in enumerate(found.tolist()):
+                own = self.sets[k]
+                hits[i] += (own[np.minimum(np.searchsorted(own, tokens), len(own) - 1)] == tokens).sum()
+        elif apart and len(found):  # so many survivors that one pass over the long lists costs less
+            hits = hits + self._merged(long)[found]
+        return found[(100 + percent) * hits >= percent * (len(query) + self.sizes[found])]
 
 
 def _search(percent: int):
@@ -232,16 +250,9 @@ def _search(percent: int):
             right, left = np.flatnonzero(c == j), np.flatnonzero(c == i)
             if i == j and len(right) < 2 or not len(right) or not len(left):
                 continue
-            order = np.concatenate([sets[k] for k in right])
-            owner = np.repeat(right, [len(sets[k]) for k in right])
-            o = np.lexsort((owner, order))
-            order, owner = order[o], owner[o]
-            starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-            lists = dict(zip(order[starts].tolist(), np.split(owner, starts[1:])))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            forest = Forest(len(sets))
+            lists, forest = InvertedLists(sets, right), Forest(len(sets))
             for q in left.tolist():
-                for k in t_occurrence(sets[q], lists, _required(len(sets[q]), percent), sizes, percent).tolist():
+                for k in lists.t_occurrence(sets[q], percent).tolist():
                     if k != q:
                         forest.union(q, k)
             root = np.array([forest.find(k) for k in range(len(sets))])
@@ -252,6 +263,35 @@ def _search(percent: int):
     return run
 
 
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def id_digest(ids: DataFrame) -> np.ndarray | None:
+    """A bitmap of hashed ids, 16 MB at most, to leave most other rows' texts where they are; None
+    where there are too many ids for it. Only the join that follows decides, so it never changes results."""
+    n = ids.count()
+    if n * 8 > DIGEST_BITS:
+        return None
+    bits = max(1024, 1 << (16 * n).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = _slot(b.column(0).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(np.left_shift(np.int64(1), slot & 63))], ["word", "bit"])
+
+    rows = ids.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).collect()
+    digest = np.zeros(bits >> 6, np.int64)
+    for r in rows:
+        digest[r.word] = r.bit
+    return digest
+
+
+def in_digest(digest: np.ndarray, ids: pa.Array) -> np.ndarray:
+    slot = _slot(ids.fill_null(0).to_numpy(), len(digest) << 6)
+    return (digest[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
 def ngram_jaccard_classes(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK
 ) -> DataFrame:
@@ -277,14 +317,21 @@ def ngram_jaccard_classes(
     blocks = blocks.select(*keys, "c", "doc_id", "n_shingles", "bitmap").repartition(*keys).sortWithinPartitions(*keys)
     kept = materialise(blocks.mapInArrow(_plausible(percent), "host long, i int, j int, c int, doc_id long"), "plausible")
 
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    wanted = kept.select("doc_id").distinct()
+    digest = id_digest(wanted)
+    if digest is None:
+        texts = texts.join(wanted, "doc_id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(digest)
+
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            if sent.value is not None:
+                whole = whole.filter(pa.array(in_digest(sent.value, whole.column(0))))
             for part in range(0, whole.num_rows, 500):
                 batch = whole.slice(part, 500)
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_sets(batch, "text", size))], ["doc_id", "tokens"])
 
-    wanted = kept.select("doc_id").distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
     sets = texts.mapInArrow(tokens, "doc_id long, tokens array<long>").where(F.size("tokens") > 0)
     found = kept.join(sets, "doc_id").select(*keys, "c", "doc_id", "tokens").repartition(*keys).sortWithinPartitions(*keys)
     links = found.mapInArrow(_search(percent), "a long, b long")
