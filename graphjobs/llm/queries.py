@@ -9,6 +9,7 @@ from . import exact_dedup, mixing, url_filter
 from .common import table
 from .exact_dedup import exact_classes
 from .imi import embedding_classes
+from .line_dedup import line_report
 from .ngram_join import ngram_jaccard_classes
 from .quality import fit_quality, fold, score_quality
 from .secrets import digest, scan
@@ -48,6 +49,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_embedding_near_dedup, op2_token_files, op3_exact_dedup, op4_sentencepiece, op5_mixing,
+    op1_embedding_near_dedup, op2_token_files, op3_exact_dedup, op4_sentencepiece, op5_mixing, op6_line_dedup,
     op7_ngram_join, op8_secrets, op9_quality, op10_url_filter,
 )}
 
