@@ -12,7 +12,9 @@ Every text becomes its set of five-word shingles (``shingles.py``). Two document
    document as host, and its members join the host's neighbourhood: rows grow with the lists'
    lengths, never with their squares, and hot lists only ever meet a grouped minimum and a join that
    adaptive execution splits.
-4. Inside a neighbourhood (in pair blocks of bounded size) parity bitmaps bound the overlap from
+4. A neighbourhood is cut into bands of like sizes, as linked sizes differ by a third at most; a
+   document without company in its band and the next goes no further. Inside (in pair blocks of
+   bounded size) parity bitmaps bound the overlap from
    above, which is exact, and drop members without a possible partner.
 5. The others' whole sets are indexed block by block, and each is a T-occurrence query: short lists
    are merged and counted (as arrays, in place of a heap), long ones are binary-probed for the survivors (DivideSkip); documents
@@ -158,10 +160,11 @@ def _plausible(percent: int):
     """Keeps a block's members that may have a partner across the block, by their bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in by_key(batches, ["host", "i", "j"]):
+        for g in by_key(batches, ["host", "band", "i", "j"]):
             if g.num_rows < 2:
                 continue
             n, c = g["n_shingles"].to_numpy(), g["c"].to_numpy()
+            top = g["own"].to_numpy() == g["band"].to_numpy()
             i, j = g["i"][0].as_py(), g["j"][0].as_py()
             column = g["bitmap"].to_pylist()
             width = np.array([len(b) // 8 for b in column])
@@ -180,12 +183,12 @@ def _plausible(percent: int):
                     apart = np.bitwise_count(m[a][:, None] ^ m[right][None]).sum(2, dtype=np.int64)
                     total = n[x][:, None] + n[y][None]
                     # overlap <= (total - apart) / 2, and a link needs (100 + percent) * overlap >= percent * total
-                    fits = ((100 + percent) * (total - apart) >= 2 * percent * total) & (x[:, None] != y[None])
+                    fits = ((100 + percent) * (total - apart) >= 2 * percent * total) & (x[:, None] != y[None]) & (top[x][:, None] | top[y][None])
                     fits &= 100 * np.minimum(n[x][:, None], n[y][None]) >= percent * np.maximum(n[x][:, None], n[y][None])
                     keep[x] |= fits.any(1)
                     keep[y] |= fits.any(0)
             if keep.any():
-                yield from g.filter(pa.array(keep)).select(["host", "i", "j", "c", "doc_id"]).combine_chunks().to_batches()
+                yield from g.filter(pa.array(keep)).select(["host", "band", "i", "j", "c", "doc_id"]).combine_chunks().to_batches()
 
     return run
 
@@ -240,7 +243,7 @@ def _search(percent: int):
     """Links of each block, as edges from each member to its root within the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in by_key(batches, ["host", "i", "j"]):
+        for g in by_key(batches, ["host", "band", "i", "j"]):
             ids, c = g["doc_id"].to_numpy(), g["c"].to_numpy()
             flat = g["tokens"].combine_chunks()
             off = flat.offsets.to_numpy()
@@ -308,14 +311,17 @@ def ngram_jaccard_classes(
     entries = chosen.select("doc_id", F.explode("prefix").alias("token")).repartition("token")
     hosts = entries.groupBy("token").agg(F.min("doc_id").alias("host"), F.count("*").alias("k")).where("k > 1")
     near = entries.join(hosts.drop("k"), "token").where("doc_id <> host").select("host", "doc_id").distinct()
-    near = materialise(near, "near")
-    sizes = near.groupBy("host").agg((F.count("*") + 1).alias("k"))
-    members = near.union(sizes.select("host", F.col("host").alias("doc_id"))).join(sizes, "host")
-    shape = chosen.select("doc_id", "n_shingles", "bitmap")
-    blocks = pair_blocks(members.join(shape, "doc_id"), F.col("doc_id"), "k", chunk)
-    keys = ["host", "i", "j"]
-    blocks = blocks.select(*keys, "c", "doc_id", "n_shingles", "bitmap").repartition(*keys).sortWithinPartitions(*keys)
-    kept = materialise(blocks.mapInArrow(_plausible(percent), "host long, i int, j int, c int, doc_id long"), "plausible")
+    near = near.union(near.select("host", F.col("host").alias("doc_id")).distinct())
+    width = math.log(100 / percent) + 1e-9 if percent < 100 else 1e-9  # linked sizes lie in one band or in neighbours
+    shape = chosen.select("doc_id", "n_shingles", F.floor(F.log("n_shingles") / width).cast("int").alias("own"))
+    banded = near.join(shape, "doc_id").withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    banded = materialise(banded, "near")
+    sizes = banded.groupBy("host", "band").agg(F.count("*").alias("k"), F.max("own").alias("top")).where("k > 1 AND top = band").drop("top")
+    blocks = pair_blocks(banded.join(sizes, ["host", "band"]), F.col("doc_id"), "k", chunk)
+    keys = ["host", "band", "i", "j"]
+    blocks = blocks.join(chosen.select("doc_id", "bitmap"), "doc_id").select(*keys, "c", "doc_id", "own", "n_shingles", "bitmap")
+    blocks = blocks.repartition(*keys).sortWithinPartitions(*keys)
+    kept = materialise(blocks.mapInArrow(_plausible(percent), "host long, band int, i int, j int, c int, doc_id long"), "plausible")
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     wanted = kept.select("doc_id").distinct()

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE = 300_000
+CACHE = 700_000
+TOGETHER = 50
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -79,8 +80,8 @@ class Model:
                 self.prefix, self.trim, self.escape = (bool(n.get(k, 1)) for k in (3, 4, 5))
 
     def merges(self) -> list[tuple[str, str]]:
-        """Pairs that make a piece, by the piece's rank and then by their own parts' ranks."""
-        rank = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
+        """Pairs that make a piece, by the piece's score and then by the ranks of it and its parts."""
+        rank = {p: (-score, i) for i, (p, score, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         out = []
         for p, i in rank.items():
             for cut in range(1, len(p)):
@@ -128,6 +129,7 @@ class SentencePieceCodec:
         self.normalizer, self.tokenizer.normalizer = self.tokenizer.normalizer, None
         self.cut = self.model.cuttable()
         self.segment = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if self.cut else re.compile(r".+", re.S)
+        self.n_bytes = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in self.model.pieces])
         self.known: dict[str, tuple[bytes, bool]] = {}
         self.spp = None
         if verify:
@@ -143,18 +145,39 @@ class SentencePieceCodec:
             text = " " + text
         return text.replace(" ", MARK) if self.model.escape else text
 
+    def _told(self, segments: list[str]) -> list[list[int]]:
+        """The sentencepiece library's ids of normalised text; it puts the first marker on its own."""
+        bare = [s[1:] if self.model.prefix and s[:1] == MARK else s for s in segments]
+        return self.spp.encode([s.replace(MARK, " ") for s in bare], num_threads=2)
+
+    def _learn_each(self, segments: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch(segments, add_special_tokens=False)]
+        same = [a == b for a, b in zip(found, self._told(segments))] if self.spp is not None else [True] * len(segments)
+        for s, ids, ok in zip(segments, found, same):
+            self.known[s] = np.array(ids, np.uint32).tobytes(), ok
+
     def _learn(self, segments: list[str]) -> None:
-        for lo in range(0, len(segments), 10_000):
-            part = segments[lo : lo + 10_000]
-            found = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            same = [True] * len(part)
-            if self.spp is not None:
-                # the library puts one marker first on its own, where the model says so
-                bare = [s[1:] if self.model.prefix and s[:1] == MARK else s for s in part]
-                told = self.spp.encode([s.replace(MARK, " ") for s in bare], num_threads=2)
-                same = [a == b for a, b in zip(found, told)]
-            for s, ids, ok in zip(part, found, same):
-                self.known[s] = np.array(ids, np.uint32).tobytes(), ok
+        """Encode many segments as one text, and cut its ids where the segments' bytes end."""
+        if not (self.cut and self.model.byte_fallback):
+            return self._learn_each(segments)
+        # literal markers in a text look like spaces here; the library tells them apart
+        plain = [s for s in segments if s[:1] == MARK and s[1:2] != MARK]
+        self._learn_each([s for s in segments if not (s[:1] == MARK and s[1:2] != MARK)])
+        parts = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        texts = ["".join(p) for p in parts]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        told = self._told(texts) if self.spp is not None else [None] * len(parts)
+        for part, e, other in zip(parts, found, told):
+            ids = np.array(e.ids, np.uint32)
+            ends, cuts = np.cumsum(self.n_bytes[ids]), np.cumsum([len(s.encode()) for s in part])
+            at = np.searchsorted(ends, cuts)
+            if (other is None or e.ids == other) and at[-1] == len(ids) - 1 and (ends[at] == cuts).all():
+                data, start = ids.tobytes(), 0
+                for s, stop in zip(part, ((at + 1) * 4).tolist()):
+                    self.known[s] = data[start:stop], True
+                    start = stop
+            else:
+                self._learn_each(part)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
         """(ids, parity) of each text."""

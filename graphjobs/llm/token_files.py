@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,8 @@ from .common import materialise, new_path
 
 BLOCK = 1 << 16
 MAGIC = b"IDPACK01"
-CACHE = 300_000
+CACHE = 1_000_000
+TOGETHER = 200
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -147,8 +149,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.known = Tokenizer.from_file(tokenizer), by_word, {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        vocab = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda v: v[1])
+        self.last = np.array([bool(suffix) and t.endswith(suffix) for t, _ in vocab])
+        self.n_bytes = np.array([len(t) - len(suffix) * bool(suffix and t.endswith(suffix)) for t, _ in vocab])
         self.width = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
+    def _learn_each(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode many words as one text, and cut its ids where the words' bytes end.
+
+        Cuts must fall on ends of words in every place; else the words are encoded one by one."""
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)
+        for part, e in zip(parts, found):
+            ids = np.array(e.ids, np.uint32)
+            size = [len(w) if w.isascii() else len(unicodedata.normalize("NFC", w.decode()).lower().encode()) for w in part]
+            ends, cuts = np.cumsum(self.n_bytes[ids]), np.cumsum(size)
+            at = np.searchsorted(ends, cuts)
+            if len(ids) and at[-1] == len(ids) - 1 and (ends[at] == cuts).all() and self.last[ids[at]].all():
+                data, start = ids.tobytes(), 0
+                for w, stop in zip(part, ((at + 1) * 4).tolist()):
+                    self.known[w] = data[start:stop]
+                    start = stop
+            else:
+                self._learn_each(part)
+
     def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text; words are the bytes between ASCII white space."""
         if not self.by_word:
@@ -159,10 +188,10 @@ class WordEncoder:
         new = list(set().union(*split) - self.known.keys())
         if len(self.known) + len(new) > CACHE:
             self.known, new = {}, list(set().union(*split))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
+        plain = [w for w in new if b"<|" not in w]
+        for lo in range(0, len(plain), TOGETHER * 50):
+            self._learn(plain[lo : lo + TOGETHER * 50])
+        self._learn_each([w for w in new if b"<|" in w])
         get = self.known.__getitem__
         for words in split:
             yield np.frombuffer(b"".join(map(get, words)), np.uint32)
