@@ -146,6 +146,7 @@ class WordEncoder:
     """Ids of texts by a tokenizers file, each distinct word encoded once."""
 
     def __init__(self, tokenizer: str, by_word: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.known = Tokenizer.from_file(tokenizer), by_word, {}
