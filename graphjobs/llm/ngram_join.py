@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import Forest, by_key, connected_components, materialise, pair_blocks
 from .shingles import mix, shingle_sets
 
-HEAVY = 65_536  # entries of the heavy-hitter summary: 1 MB at most
+HEAVY = 1 << 19  # entries of the heavy-hitter summary: 8 MB at most
+TIERS = 100_000  # counts above are one tier of the summary's histogram
 HEAVY_LEAST = 8  # documents that make a shingle heavy
 GATHER = 4_000_000  # shingles counted at once in a task
 DIGEST_BITS = 1 << 27
@@ -51,7 +52,7 @@ def _sets(batch: pa.RecordBatch, name: str, size: int) -> list[np.ndarray]:
 
 
 def heavy_hitters(docs: DataFrame, text: str = "text", size: int = 5, keep: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in the most documents, ascending, and about how many documents each has."""
+    """Shingles in the most documents, sorted, and about how many documents each has."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -79,18 +80,18 @@ def heavy_hitters(docs: DataFrame, text: str = "text", size: int = 5, keep: int
             fold()
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "n"])
 
-    rows = (
-        docs.select(text)
-        .mapInArrow(summary, "token long, n long")
-        .groupBy("token")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= HEAVY_LEAST)
-        .orderBy(F.desc("n"), "token")
-        .limit(keep)
-        .collect()
-    )
-    token = np.array([r.token for r in rows], np.int64).view(np.uint64)
-    count = np.array([r.n for r in rows], np.int64)
+    counts = docs.select(text).mapInArrow(summary, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.where(F.col("n") >= HEAVY_LEAST), "heavy")
+    # the least count that keeps the summary in its bound, from a histogram of counts
+    tiers = counts.groupBy(F.least("n", F.lit(TIERS)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
+    least, total = TIERS + 1, 0
+    for t in tiers:
+        total += t.k
+        if total > keep:
+            break
+        least = t.n
+    got = counts.where(F.col("n") >= least).toPandas()
+    token, count = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     o = np.argsort(token)
     return token[o], count[o]
 
@@ -118,7 +119,8 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def describe(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, prefix, bitmap) for every row."""
+    """(doc_id, n_shingles, sig, prefix, bitmap) for every row; of equal sets that meet in a task only
+    the first has prefix and bitmap, so that a large group of copies shrinks where it is read."""
     token, count = heavy_hitters(docs, text, size)
     heavy = docs.sparkSession.sparkContext.broadcast((token, count))
 
@@ -137,17 +139,26 @@ def describe(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -
             last = s[is_hot][np.lexsort((s[is_hot], df[at[is_hot]]))]
             return np.concatenate((light, last[: p - len(light)]))
 
+        none, seen = np.zeros(0, np.uint64), set()
         for whole in batches:
             for part in range(0, whole.num_rows, 500):
                 batch = whole.slice(part, 500)
                 sets = _sets(batch, "text", size)
+                sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                first = []
+                for sig, known in zip(sigs, batch.column(0).is_valid().to_pylist()):
+                    first.append(known and sig not in seen)
+                    if known:
+                        seen.add(sig)
+                if len(seen) > 1_000_000:  # forgetting costs repeats, nothing else
+                    seen = set()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        _lists([prefix(s) for s in sets]),
-                        pa.array([_bitmap(s) for s in sets], pa.binary()),
+                        pa.array(sigs, pa.binary()),
+                        _lists([prefix(s) if f else none for s, f in zip(sets, first)]),
+                        pa.array([_bitmap(s) if f else None for s, f in zip(sets, first)], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "sig", "prefix", "bitmap"],
                 )
@@ -303,23 +314,30 @@ def ngram_jaccard_classes(
     classes = (
         rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
         .groupBy("sig")
-        .agg(F.min("doc_id").alias("head"))
+        .agg(F.min("doc_id").alias("head"), F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
     )
     classes = materialise(classes, "classes")
-    heads = classes.select(F.col("head").alias("doc_id"), "sig")
-    chosen = rows.join(heads, ["doc_id", "sig"], "left_semi")
-    entries = chosen.select("doc_id", F.explode("prefix").alias("token")).repartition("token")
+    entries = rows.select("doc_id", F.explode("prefix").alias("token")).repartition("token")
     hosts = entries.groupBy("token").agg(F.min("doc_id").alias("host"), F.count("*").alias("k")).where("k > 1")
     near = entries.join(hosts.drop("k"), "token").where("doc_id <> host").select("host", "doc_id").distinct()
+    # copies that met in lists give way to the document that stands for them
+    stands = rows.where("n_shingles > 0").select("doc_id", "sig").join(classes.select("sig", "head"), "sig").where("doc_id <> head")
+    stands = materialise(stands.select("doc_id", "head").distinct(), "stands")
+    plain = stands.join(classes.select(F.col("head").alias("doc_id")), "doc_id", "left_anti")
+    for end in ("doc_id", "host"):
+        swap = plain.select(F.col("doc_id").alias(end), "head")
+        near = near.join(swap, end, "left").withColumn("as", F.coalesce("head", end)).drop(end, "head").withColumnRenamed("as", end)
+    near = near.where("host <> doc_id").select("host", "doc_id").distinct()
     near = near.union(near.select("host", F.col("host").alias("doc_id")).distinct())
     width = math.log(100 / percent) + 1e-9 if percent < 100 else 1e-9  # linked sizes lie in one band or in neighbours
-    shape = chosen.select("doc_id", "n_shingles", F.floor(F.log("n_shingles") / width).cast("int").alias("own"))
+    shape = classes.select(F.col("head").alias("doc_id"), "n_shingles", F.floor(F.log("n_shingles") / width).cast("int").alias("own"))
     banded = near.join(shape, "doc_id").withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     banded = materialise(banded, "near")
     sizes = banded.groupBy("host", "band").agg(F.count("*").alias("k"), F.max("own").alias("top")).where("k > 1 AND top = band").drop("top")
     blocks = pair_blocks(banded.join(sizes, ["host", "band"]), F.col("doc_id"), "k", chunk)
     keys = ["host", "band", "i", "j"]
-    blocks = blocks.join(chosen.select("doc_id", "bitmap"), "doc_id").select(*keys, "c", "doc_id", "own", "n_shingles", "bitmap")
+    maps = classes.select(F.col("head").alias("doc_id"), "n_shingles", "bitmap")
+    blocks = blocks.join(maps, ["doc_id", "n_shingles"]).select(*keys, "c", "doc_id", "own", "n_shingles", "bitmap")
     blocks = blocks.repartition(*keys).sortWithinPartitions(*keys)
     kept = materialise(blocks.mapInArrow(_plausible(percent), "host long, band int, i int, j int, c int, doc_id long"), "plausible")
 
@@ -341,12 +359,11 @@ def ngram_jaccard_classes(
     sets = texts.mapInArrow(tokens, "doc_id long, tokens array<long>").where(F.size("tokens") > 0)
     found = kept.join(sets, "doc_id").select(*keys, "c", "doc_id", "tokens").repartition(*keys).sortWithinPartitions(*keys)
     links = found.mapInArrow(_search(percent), "a long, b long")
-    copies = rows.where("n_shingles > 0").join(classes, "sig").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    # copies hang on their head alone, so only links between heads, and ids with several texts, need rounds
-    several = copies.groupBy("a").agg(F.countDistinct("b").alias("k")).where("k > 1").select("a")
-    odd = copies.join(several, "a", "left_semi").union(copies.join(heads.select(F.col("doc_id").alias("a")), "a", "left_semi"))
+    # copies hang on their head alone; only ids that are a head too, or have several heads, need rounds
+    several = stands.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    odd = stands.join(several.union(classes.select("head")).distinct(), "doc_id", "left_semi")
     groups = connected_components(links.union(odd))
-    head = rows.join(classes, "sig", "left")
+    head = rows.select("doc_id", "n_shingles", "sig").join(classes.select("sig", "head"), "sig", "left")
     out = head.join(groups.withColumnRenamed("node", "head"), "head", "left")
     return out.select(
         "doc_id",
