@@ -92,9 +92,13 @@ def elu(vec: Column) -> Column:
 def row_layer_norm(vec: Column, scale: Column | None = None, offset: Column | None = None) -> Column:
     """(x - mean) / sqrt(population variance + 1e-9) * scale + offset within the row."""
     n = F.size(vec)
-    mean = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(vec, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    out = F.transform(vec, lambda x: (x - mean) / F.sqrt(var + F.lit(1e-9)))
+
+    def centred(total: Column) -> Column:  # sums are lambda variables here, so each is computed once a row
+        mean = total / n
+        square = lambda s, x: s + (x - mean) * (x - mean)
+        return F.aggregate(vec, F.lit(0.0), square, lambda q: F.transform(vec, lambda x: (x - mean) / F.sqrt(q / n + F.lit(1e-9))))
+
+    out = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x, centred)
     if scale is not None:
         out = F.zip_with(out, scale, lambda x, y: x * y)
     return out if offset is None else F.zip_with(out, offset, lambda x, y: x + y)
@@ -118,8 +122,7 @@ def elu_and_norm(df: DataFrame, vec: str, scale: np.ndarray | None = None, offse
 
 
 def l2_normalize(vec: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(vec, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+    return F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x, lambda q: F.transform(vec, lambda x: x / F.greatest(F.sqrt(q), F.lit(1e-12))))
 
 
 def sigmoid(vec: Column) -> Column:
@@ -127,9 +130,10 @@ def sigmoid(vec: Column) -> Column:
 
 
 def softmax(vec: Column) -> Column:
-    top = F.array_max(vec)
-    e = F.transform(vec, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    def shifted(top: Column) -> Column:
+        return F.aggregate(vec, F.lit(0.0), lambda s, x: s + F.exp(x - top), lambda q: F.transform(vec, lambda x: F.exp(x - top) / q))
+
+    return F.aggregate(vec, F.lit(float("-inf")), lambda s, x: F.greatest(s, x), shifted)
 
 
 def concat_self_and_neighbors(own: DataFrame, agg: DataFrame) -> DataFrame:

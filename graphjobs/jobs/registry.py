@@ -230,7 +230,7 @@ query("m4_weighted_sample", _DRAW + "SELECT * FROM drawn")(lambda s, d: M.weight
 query(
     "m5_sampled_layer",
     _DRAW
-    + ", pos AS (SELECT batch_id, node, row_number() OVER (PARTITION BY batch_id ORDER BY node) - 1 AS pos FROM every), fp AS (SELECT batch_id, node, row_number() OVER (PARTITION BY batch_id ORDER BY node) - 1 AS pos FROM batches) SELECT f.batch_id, e.src, e.dst, f.pos AS src_pos, k.pos AS dst_pos, round(1.0 / (SELECT count(*) FROM e x WHERE x.src = e.src) / least(greatest(s * p, 1e-10), 1), 6) AS value FROM fp f JOIN e ON e.src = f.node JOIN pos k ON k.batch_id = f.batch_id AND k.node = e.dst JOIN prob ON prob.batch_id = f.batch_id AND prob.node = e.dst JOIN s ON s.batch_id = f.batch_id",
+    + ", pos AS (SELECT batch_id, node, row_number() OVER (PARTITION BY batch_id ORDER BY node) - 1 AS pos FROM every), fp AS (SELECT batch_id, node, row_number() OVER (PARTITION BY batch_id ORDER BY node) - 1 AS pos FROM batches) SELECT f.batch_id, e.src, e.dst, f.pos AS src_pos, k.pos AS dst_pos, round(1.0 / least(greatest(s * p, 1e-10), 1) / (SELECT count(*) FROM e x WHERE x.src = e.src), 6) AS value FROM fp f JOIN e ON e.src = f.node JOIN pos k ON k.batch_id = f.batch_id AND k.node = e.dst JOIN prob ON prob.batch_id = f.batch_id AND prob.node = e.dst JOIN s ON s.batch_id = f.batch_id",
 )(lambda s, d: _r(M.sampled_layer(X.g_next(s, d), _batches(s, d), 128, X.SEED, 0)[0], "value"))
 query("m5_sampled_layer_nodes", _DRAW + "SELECT every.batch_id, every.node, row_number() OVER (PARTITION BY every.batch_id ORDER BY every.node) - 1 AS pos, b.node IS NOT NULL AS is_prev, round(coalesce(p, 0), 9) AS prob FROM every LEFT JOIN batches b ON b.batch_id = every.batch_id AND b.node = every.node LEFT JOIN prob ON prob.batch_id = every.batch_id AND prob.node = every.node")(
     lambda s, d: _r(M.sampled_layer(X.g_next(s, d), _batches(s, d), 128, X.SEED, 0)[1], "prob", places=9)
@@ -303,7 +303,7 @@ def _v9(s, d):
 @query("v10_sampled_infer")
 def _v10(s, d):
     layers, head = E.encoder_params([64, 16], [1, 0], 10)
-    blocks, sets = M.layerwise_sample(X.g_next(s, d), _batches(s, d), [256], [1, 0], X.SEED)
+    blocks, sets = M.layerwise_sample(X.g_next(s, d), _batches(s, d), [256, 256], [1, 0], X.SEED)
     return _spread(E.sampled_infer(materialise(blocks, "blocks"), sets, _inputs(s, d), layers, [1, 0], head), "scores", "batch_id", "node")
 
 
