@@ -33,14 +33,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written by materialise, in order.
+written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write as a table in the shared folder and read it back: cuts lineage, survives lost
-    executors, and gives the optimiser true sizes, so that it broadcasts only what is small."""
+    executors, and gives the optimiser true sizes, so that it broadcasts only what is small.
+    The table stays while the application may read it; ``drop_tables`` removes it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
