@@ -122,24 +122,19 @@ def _route(books: tuple, dims: int, cells: int):
     half, (b1, b2) = dims // 2, books
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cell", "head", "v", "copies", "home", "way"]
         for whole in batches:
             for part in range(0, whole.num_rows, 2048):
                 batch = whole.slice(part, 2048)
                 x = _units(batch.column(1), dims)
                 way = traverse(_distances(x[:, :half], b1), _distances(x[:, half:], b2), cells)
                 n, t = way.shape
-                row = np.repeat(np.arange(n), t)
-                ends = np.arange(0, n * t * t + 1, t, dtype=np.int32) if n * t * t < 1 << 31 else None
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(way.ravel().astype(np.int64)),
-                        batch.column(0).take(pa.array(row)),
-                        batch.column(1).take(pa.array(row)),
-                        batch.column(2).take(pa.array(row)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(way[row].ravel().astype(np.int32))),
-                    ],
-                    ["cell", "head", "v", "copies", "way"],
-                )
+                home, ends = way[:, 0].astype(np.int64), np.arange(0, n * t + 1, t, dtype=np.int32)
+                whole_way = pa.ListArray.from_arrays(pa.array(ends), pa.array(way.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(home), *batch.columns, pa.array(home), whole_way], names)
+                for k in range(1, t):
+                    none = pa.nulls(n, pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(way[:, k].astype(np.int64)), *batch.columns, pa.array(home), none], names)
 
     return run
 
@@ -152,17 +147,23 @@ def _verify(dims: int, threshold: float):
             cell, i, j = (g[k][0].as_py() for k in ("cell", "i", "j"))
             ids, c, copies = g["head"].to_numpy(), g["c"].to_numpy(), g["copies"].to_numpy()
             x = _units(g["v"].combine_chunks(), dims)
-            way = g["way"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            home = way[:, 0]
+            home = g["home"].to_numpy()
+            member = home == cell
+            ways = g["way"].combine_chunks().flatten().to_numpy().reshape(member.sum(), -1) if member.any() else np.zeros((0, 1), np.int32)
+            row = np.cumsum(member) - 1
             left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
             a, b = np.nonzero(x[left] @ x[right].T >= threshold)
             a, b = left[a], right[b]
             once = (a < b) if i == j else np.ones(len(a), bool)
-            once &= (home[a] == cell) | (home[b] == cell)  # two visitors meet elsewhere
+            once &= member[a] | member[b]  # two visitors meet elsewhere
             a, b = a[once], b[once]
             # a visitor and a member whose ways cross both cells meet in the smaller one
-            q, y = np.where(home[a] == cell, b, a), np.where(home[a] == cell, a, b)
-            skip = (home[q] < cell) & (way[y] == home[q][:, None]).any(1)
+            q, y = np.where(member[a], b, a), np.where(member[a], a, b)
+            skip = np.zeros(len(a), bool)
+            low = np.flatnonzero(home[q] < cell)
+            for at in range(0, len(low), 100_000):
+                some = low[at : at + 100_000]
+                skip[some] = (ways[row[y[some]]] == home[q[some]][:, None]).any(1)
             a, b = a[~skip], b[~skip]
             if not len(a):
                 continue
@@ -218,13 +219,13 @@ def embedding_classes(
     cells = _cells_needed(indexed, books, dims, threshold, target, probes) if len(x) else 1
     routed = materialise(
         indexed.select("head", "v", "copies").mapInArrow(
-            _route(books, dims, cells), "cell long, head long, v array<double>, copies long, way array<int>"
+            _route(books, dims, cells), "cell long, head long, v array<double>, copies long, home long, way array<int>"
         ),
         "visits",
     )
     sizes = routed.groupBy("cell").agg(F.count("*").alias("k"))
     keys = ["cell", "i", "j"]
-    blocks = pair_blocks(routed.join(sizes, "cell"), F.col("head"), "k", chunk).select(*keys, "c", "head", "v", "copies", "way")
+    blocks = pair_blocks(routed.join(sizes, "cell"), F.col("head"), "k", chunk).select(*keys, "c", "head", "v", "copies", "home", "way")
     found = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(dims, threshold), "a long, n long, b long")
     found = materialise(found, "links")
     links = found.groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n"))
