@@ -94,7 +94,7 @@ class Trees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         mean = float(y.mean()) if len(y) else 0.5
         self.base = float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
-        if 0 < mean < 1:
+        if len(y) and 0 < mean < 1:
             self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
             binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T)], 1)
             margin = np.full(len(y), self.base)
