@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE = 700_000
+CACHE = 500_000
 TOGETHER = 50
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -130,7 +130,13 @@ class SentencePieceCodec:
         self.cut = self.model.cuttable()
         self.segment = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if self.cut else re.compile(r".+", re.S)
         self.n_bytes = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in self.model.pieces])
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        #: what each id stands for: nothing for control pieces, the library's sign for the unknown one
+        self.surface = [
+            b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode()
+            for p, _, kind in self.model.pieces
+        ]
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # segments on which the libraries differ
         self.spp = None
         if verify:
             import sentencepiece
@@ -154,7 +160,9 @@ class SentencePieceCodec:
         found = [e.ids for e in self.tokenizer.encode_batch(segments, add_special_tokens=False)]
         same = [a == b for a, b in zip(found, self._told(segments))] if self.spp is not None else [True] * len(segments)
         for s, ids, ok in zip(segments, found, same):
-            self.known[s] = np.array(ids, np.uint32).tobytes(), ok
+            self.known[s] = np.array(ids, np.uint32).tobytes()
+            if not ok:
+                self.odd.add(s)
 
     def _learn(self, segments: list[str]) -> None:
         """Encode many segments as one text, and cut its ids where the segments' bytes end."""
@@ -174,7 +182,7 @@ class SentencePieceCodec:
             if (other is None or e.ids == other) and at[-1] == len(ids) - 1 and (ends[at] == cuts).all():
                 data, start = ids.tobytes(), 0
                 for s, stop in zip(part, ((at + 1) * 4).tolist()):
-                    self.known[s] = data[start:stop], True
+                    self.known[s] = data[start:stop]
                     start = stop
             else:
                 self._learn_each(part)
@@ -184,16 +192,22 @@ class SentencePieceCodec:
         split = [self.segment.findall(self.normalise(t)) for t in texts]
         new = list(set().union(*split) - self.known.keys())
         if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(set().union(*split))
+            self.known, self.odd, new = {}, set(), list(set().union(*split))
         self._learn(new)
+        get = self.known.__getitem__
         for segments in split:
-            got = [self.known[s] for s in segments]
-            yield np.frombuffer(b"".join([g[0] for g in got]), np.uint32), all(g[1] for g in got)
+            yield np.frombuffer(b"".join(map(get, segments)), np.uint32), self.odd.isdisjoint(segments)
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of the ids; the marker that encoding put first goes."""
-        out = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        return [t[1:] if self.model.prefix and t[:1] == " " else t for t in out]
+    def decode(self, ids: list[int]) -> str:
+        """The text of the ids; the marker that encoding put first goes.
+
+        Pieces are joined as bytes, byte pieces as what they are; where that isn't valid text, the
+        library's decoder says what stands for the bytes that aren't."""
+        try:
+            text = b"".join(map(self.surface.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            text = self.tokenizer.decode(ids, skip_special_tokens=False)
+        return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
 @lru_cache(2)
@@ -236,9 +250,10 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                ids = batch["ids"].to_pylist()
-                texts = iter(codec.decode([i for i in ids if i is not None]))
-                text = pa.array([None if i is None else next(texts) for i in ids], pa.string())
+                ids = batch["ids"]
+                off, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)  # of the whole batch
+                out = [codec.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(off, off[1:], ids.is_valid().to_pylist())]
+                text = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "decoded_text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
