@@ -11,7 +11,7 @@ a temporary name and moved, so a repeated task replaces its file by an equal one
 cluster's shared one, reached through ``pyarrow.fs``.
 
 Texts are encoded whole. The tokenizer splits at white space, so its ids for a text are the ids of
-the text's words in order; each task encodes a distinct word once, and keeps at most ``CACHE`` words.
+the text's words in order; each worker encodes a distinct word once, and keeps at most ``CACHE`` words.
 A vocabulary without this property is encoded text by text (``by_word=False``).
 
 Null text counts as empty (the end id only); null doc_id sorts first; rows with equal doc_id sort by
@@ -26,6 +26,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from .common import materialise, new_path
 
 BLOCK = 1 << 16
 MAGIC = b"IDPACK01"
-CACHE = 1_000_000
+CACHE = 1_500_000
 TOGETHER = 200
 
 
@@ -154,6 +155,8 @@ class WordEncoder:
         vocab = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda v: v[1])
         self.last = np.array([bool(suffix) and t.endswith(suffix) for t, _ in vocab])
         self.n_bytes = np.array([len(t) - len(suffix) * bool(suffix and t.endswith(suffix)) for t, _ in vocab])
+        self.lowers = [e.ids for e in self.tokenizer.encode_batch(["AZ", "az"], add_special_tokens=False)]
+        self.lowers = self.lowers[0] == self.lowers[1]
         self.width = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
     def _learn_each(self, words: list[bytes]) -> None:
@@ -185,7 +188,8 @@ class WordEncoder:
             for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False):
                 yield np.array(e.ids, np.uint32)
             return
-        split = [t.split() for t in texts]
+        # without markup of special tokens, ids depend on the text in lower case if the tokenizer lowers it
+        split = [(t.lower() if self.lowers and b"<|" not in t else t).split() for t in texts]
         new = list(set().union(*split) - self.known.keys())
         if len(self.known) + len(new) > CACHE:
             self.known, new = {}, list(set().union(*split))
@@ -198,6 +202,12 @@ class WordEncoder:
             yield np.frombuffer(b"".join(map(get, words)), np.uint32)
 
 
+@lru_cache(2)
+def _encoder(tokenizer: str, by_word: bool) -> WordEncoder:
+    """One per worker process: later tasks find the words that earlier ones met."""
+    return WordEncoder(tokenizer, by_word)
+
+
 def write_token_files(
     docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text", by_word: bool = True
 ) -> DataFrame:
@@ -211,7 +221,7 @@ def write_token_files(
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                encoder = encoder or WordEncoder(tokenizer, by_word)
+                encoder = encoder or _encoder(tokenizer, by_word)
                 writer = writer or Writer(name, max(encoder.width, int(end_id).bit_length()))
                 texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
                 end = np.array([end_id], np.uint32)
