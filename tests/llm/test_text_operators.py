@@ -277,3 +277,35 @@ def test_simhash_and_block_keys(spark):
     p = spark.createDataFrame(pairs, "a bigint, b bigint").withColumn("n", F.monotonically_increasing_id())
     both = p.select("n", line_dedup._block_keys("a").alias("key")).intersect(p.select("n", line_dedup._block_keys("b").alias("key")))
     assert both.select("n").distinct().count() == 60
+
+
+def test_line_dedup_recall(spark):
+    """Lines with a replaced word, an inserted phrase or three typos meet their originals, short ones too."""
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+
+    def word(n):
+        return "".join(rng.choice(letters, n))
+
+    known = [word(int(n)) for n in rng.integers(2, 9, 600)]
+    pairs = []
+    for k in range(240):
+        a = [known[int(i)] for i in rng.integers(0, 600, (3, 10, 20, 40)[k % 4])]
+        b = list(a)
+        at = int(rng.integers(0, len(a)))
+        if k % 3 == 0:
+            b[at] = word(len(b[at]))
+        elif k % 3 == 1:
+            b.insert(at, word(3))
+        else:
+            for i in rng.integers(0, len(b), 3):
+                b[int(i)] = b[int(i)][:-1] + "z"
+        pairs.append((" ".join(a), " ".join(b)))
+    pairs = [(a, b) for a, b in pairs if a != b and levenshtein(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9]
+    assert len(pairs) >= 120 and sum(len(a.split()) == 3 for a, _ in pairs) >= 5
+    texts = [a for a, _ in pairs] + [b for _, b in pairs]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_report(frame(spark, texts)).collect()}
+    found = sum(got[len(pairs) + k] == 1 for k in range(len(pairs)))
+    print("recall", found, len(pairs))
+    assert found >= 0.95 * len(pairs)
+    assert sum(got[k] for k in range(len(pairs))) == 0
