@@ -309,3 +309,15 @@ def test_line_dedup_recall(spark):
     print("recall", found, len(pairs))
     assert found >= 0.95 * len(pairs)
     assert sum(got[k] for k in range(len(pairs))) == 0
+
+
+def test_line_dedup_long_lines(spark):
+    """An insertion that shifts every later chunk, and one replaced stretch of a chunk, are still near."""
+    rng = np.random.default_rng(12)
+    a, b = words(rng, 700, 5000), words(rng, 1500, 5000)
+    shifted = a[:40] + "an inserted phrase of more than fifty characters in front " + a[40:]
+    replaced = b[:3000] + words(rng, 40, 5000) + b[3200:]
+    far = words(rng, 700, 5000)
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (1, 5)], "h_a bigint, h_b bigint")
+    texts = spark.createDataFrame(list(enumerate([a, shifted, b, replaced, far], 1)), "h bigint, norm string")
+    assert {(r.h_a, r.h_b) for r in line_dedup._alike(pairs, texts, 0.9).collect()} == {(1, 2), (3, 4)}
