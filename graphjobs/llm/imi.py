@@ -3,7 +3,9 @@
 Unit vectors are cut into halves, each half with its own k-means codebook; a vector's cell is its
 pair of nearest centroids, so K + K centroids give K * K cells. A query's multi-sequence traversal
 visits cells by rising sum of its two distances; as many as a calibration against brute force (a
-bounded set of query vectors against *all* rows) needs for the target recall. Every pair met in a
+bounded set of query vectors against *all* rows) needs for the target recall, and as many as made
+partners of those vectors at the threshold need, so that a table with few links or none is calibrated
+too. Every pair met in a
 cell is verified by its cosine in double precision, so no pair below the threshold ever links.
 
 * Bounds: codebooks are fitted on ``sample`` vectors and calibrated on ``probes`` vectors at most,
@@ -84,8 +86,26 @@ def _ranks(first: np.ndarray, second: np.ndarray, cell: np.ndarray, k2: int) ->
     return np.array([(a[:, None] + b[None] < s).sum() for a, b, s in zip(first, second, own)], np.int64) + 1
 
 
+def _made_ranks(q: np.ndarray, books: tuple, threshold: float, each: int = 16, seed: int = 9) -> np.ndarray:
+    """After how many cells each vector and partners made at cosine ``threshold`` meet, by either's way."""
+    q = q.repeat(each, 0)
+    side = np.random.default_rng(seed).normal(size=q.shape)
+    side -= (side * q).sum(1, keepdims=True) * q
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    y = threshold * q + math.sqrt(max(0.0, 1 - threshold * threshold)) * side
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    half, (b1, b2) = q.shape[1] // 2, books
+    ranks = []
+    for lo in range(0, len(q), 1024):
+        d = [(_distances(x[lo : lo + 1024, :half], b1), _distances(x[lo : lo + 1024, half:], b2)) for x in (q, y)]
+        cell = [one.argmin(1) * len(b2) + two.argmin(1) for one, two in d]
+        ranks.append(np.minimum(_ranks(*d[0], cell[1], len(b2)), _ranks(*d[1], cell[0], len(b2))))
+    return np.concatenate(ranks)
+
+
 def _cells_needed(heads: DataFrame, books: tuple, dims: int, threshold: float, target: float, probes: int) -> int:
-    """Cells to visit for the target recall, by brute force of the probes against all rows."""
+    """Cells to visit for the target recall, by brute force of the probes against all rows and by made
+    partners, whichever needs more."""
     rows = heads.orderBy(F.xxhash64("head", F.lit(1)), "head").limit(probes).select("head", "v").collect()
     q = _units(pa.array([r.v for r in rows], pa.list_(pa.float64())), dims)
     ids = np.array([r.head for r in rows], np.int64)
@@ -109,12 +129,14 @@ def _cells_needed(heads: DataFrame, books: tuple, dims: int, threshold: float, t
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["r", "n"])
 
     found = heads.select("head", "v").mapInArrow(run, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).orderBy("r").collect()
+    made = np.sort(_made_ranks(q, books, threshold))
+    least = max(2, int(made[math.ceil(target * len(made)) - 1]))
     total, reached = sum(f.n for f in found), 0
     for f in found:
         reached += f.n
         if reached >= target * total:
-            return max(2, int(f.r))
-    return 8
+            return max(least, int(f.r))
+    return least
 
 
 def _route(books: tuple, dims: int, cells: int):

@@ -200,3 +200,21 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, D).count() == 0
+
+
+def test_embedding_rare_pairs(spark):
+    """Few planted pairs at the threshold in a table of unique vectors are found too."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(400, 64))
+    side -= (side * x[:400]).sum(1, keepdims=True) * x[:400]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([x[:400], 0.901 * x[:400] + np.sqrt(1 - 0.901**2) * side, x[400:]])
+    # ids by the hash that draws the probes, so that no probe has a partner
+    ids = [r.id for r in spark.range(len(x)).orderBy(F.xxhash64("id", F.lit(1)), "id").collect()][::-1]
+    table = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))})
+    got = {r.vec_id: r.n_links for r in imi.embedding_classes(spark.createDataFrame(table)).collect()}
+    found = sum(got[i] for i in ids[:400])
+    print("found", found)
+    assert found >= 0.96 * 400 and sum(got.values()) == 2 * found
