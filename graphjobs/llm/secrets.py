@@ -2,9 +2,10 @@
 
 Base patterns find assigned secrets, access keys and long hex strings. The method adds strings that a
 vocabulary learned from ordinary text compresses badly: runs of ``[A-Za-z0-9+/_=-]`` of ``LEAST``
-characters or more whose characters per token fall below ``RATIO``. Excluded are known digests and
-identifiers (hex of a digest's length, UUIDs, pure numbers, words joined by one kind of separator) and
-runs that overlap a base span. Texts are read whole; no text is cut, whatever its length.
+characters or more whose characters per token fall below ``RATIO``, and where a run as a whole doesn't,
+the stretches of its parts (between separators) that do. Excluded are known digests and identifiers (hex
+of a digest's length, UUIDs, pure numbers, words joined by one kind of separator whose characters per
+token are many) and runs that overlap a base span. Texts are read whole; no text is cut, whatever its length.
 
 Offsets count code points, ends are exclusive. Null text counts as empty. Empty table: no rows.
 """
@@ -33,7 +34,10 @@ UUID = re.compile(r"(?ai:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})")
 DIGEST = re.compile(r"(?ai:[0-9a-f]+)")
 #: Lengths in hex digits of md5, sha1, sha224, sha256, sha384 and sha512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-JOINED = re.compile(r"[A-Za-z]*(?:([-_/+=])[A-Za-z]*)*|[0-9+/_=-]+")
+NUMBERS = re.compile(r"[0-9+/_=-]+")
+#: Plain words, joined by one kind of separator.
+JOINED = re.compile(r"W(?:([-_/+=])W(?:\1W)*)?".replace("W", "(?:[A-Z]?[a-z]*|[A-Z]*)"))
+PART = re.compile(UUID.pattern + r"(?![A-Za-z0-9])|[A-Za-z0-9]+|[-_/+=]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -59,22 +63,70 @@ def _encoding(ranks: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def excluded(run: str) -> bool:
+def _tokens(text: str, ranks: str) -> int:
+    return len(_encoding(ranks).encode_ordinary(text))
+
+
+def _known(run: str) -> bool:
+    return bool(UUID.fullmatch(run) or DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS)
+
+
+def excluded(run: str, ranks: str, ratio: float = RATIO) -> bool:
     """Known digests, identifiers and plain words that are no secrets."""
-    return bool(
-        UUID.fullmatch(run) or DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or JOINED.fullmatch(run) or not re.search("[0-9]", run) and re.fullmatch("[a-z]+|[A-Z]+|[A-Z][a-z]+", run)
-    )
+    if _known(run) or NUMBERS.fullmatch(run):
+        return True
+    if not JOINED.fullmatch(run):
+        return False
+    words = re.findall("[A-Za-z]+", run)
+    return sum(map(len, words)) >= ratio * sum(_tokens(w, ranks) for w in words)
+
+
+def _stretches(run: str, ranks: str, ratio: float) -> list[tuple[int, int]]:
+    """Stretches of whole parts, ``LEAST`` characters or more, whose characters per token are few: the one
+    with most tokens over its share first, then on both its sides. Known identifiers are in none."""
+    parts = [(m.start(), m.end(), m[0]) for m in PART.finditer(run)]
+    over = [None if _known(t) else ratio * _tokens(t, ranks) - (e - s) for s, e, t in parts]
+    found, todo = [], [(0, len(parts))]
+    while todo:
+        lo, hi = todo.pop()
+        best, total, least, sums, ready = None, 0.0, None, [0.0], lo
+        first = lo  # no stretch reaches back over a known identifier
+        for k in range(lo, hi):
+            if over[k] is None:
+                first, ready, least = k + 1, k + 1, None
+                sums.append(total)
+                continue
+            total += over[k]
+            sums.append(total)
+            while ready <= k and parts[k][1] - parts[ready][0] >= LEAST:
+                if ready >= first and (least is None or sums[ready - lo] < least[0]):
+                    least = (sums[ready - lo], ready)
+                ready += 1
+            if least and total > least[0] and (best is None or total - least[0] > best[0]):
+                best = (total - least[0], least[1], k + 1)
+        if best is None:
+            continue
+        _, a, b = best
+        todo += [(lo, a), (b, hi)]
+        s, e = parts[a][0], parts[b - 1][1]
+        s, e = e - len(run[s:e].lstrip("-_/+=")), s + len(run[s:e].rstrip("-_/+="))
+        if e - s >= LEAST and not excluded(run[s:e], ranks, ratio) and e - s < ratio * _tokens(run[s:e], ranks):
+            found.append((s, e))
+    return sorted(found)
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], ranks: str, ratio: float = RATIO) -> list[tuple[int, int, str]]:
-    """Runs whose characters per token are few, outside the base spans."""
+    """Runs, or stretches of runs, whose characters per token are few, outside the base spans."""
     found = []
     for m in RUN.finditer(text):
         s, e = m.span()
-        if any(s < b and a < e for a, b, _ in base) or excluded(m[0]):
+        if any(s < b and a < e for a, b, _ in base) or excluded(m[0], ranks, ratio):
             continue
-        if len(m[0]) < ratio * len(_encoding(ranks).encode_ordinary(m[0])):
+        known = any(_known(p) for p in PART.findall(m[0]))
+        if not known and len(m[0]) < ratio * _tokens(m[0], ranks):
             found.append((s, e, "random"))
+        else:
+            found += [(s + a, s + b, "random") for a, b in _stretches(m[0], ranks, ratio)]
     return found
 
 

@@ -321,3 +321,21 @@ def test_line_dedup_long_lines(spark):
     pairs = spark.createDataFrame([(1, 2), (3, 4), (1, 5)], "h_a bigint, h_b bigint")
     texts = spark.createDataFrame(list(enumerate([a, shifted, b, replaced, far], 1)), "h bigint, norm string")
     assert {(r.h_a, r.h_b) for r in line_dedup._alike(pairs, texts, 0.9).collect()} == {(1, 2), (3, 4)}
+
+
+def test_secrets_of_letters_and_inside_runs():
+    """Keys without digits, and keys after a path or a name, are found; plain words and known values aren't."""
+    import random
+
+    rng, ranks = random.Random(3), pt.path("byte_bpe_50k.tiktoken")
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for least, before, chars, n in ((58, "", letters, 32), (55, "/usr/local/share/documents/settings/", letters + "0123456789", 24), (55, "connection_string=", letters + "0123456789", 24), (55, "/services/webhooks/incoming/", letters + "0123456789", 24)):
+        hits = 0
+        for _ in range(60):
+            key = "".join(rng.choice(chars) for _ in range(n))
+            text = f"see {before}{key} for it"
+            hits += any(text[s:e].endswith(key) for s, e, _ in secrets.random_spans(text, [], ranks))
+        print("found", before, hits)
+        assert hits >= least, before
+    for text in ("/usr/local/share/documents/settings/index", "state-of-the-art-information-system", "CONNECTION_STRING_DEFAULT", "files/123e4567-e89b-12d3-a456-426614174000", "2024-01-15/2024-02-15/2024"):
+        assert secrets.random_spans(f"see {text} for it", [], ranks) == [], text
