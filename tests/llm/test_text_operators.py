@@ -339,3 +339,14 @@ def test_secrets_of_letters_and_inside_runs():
         assert hits >= least, before
     for text in ("/usr/local/share/documents/settings/index", "state-of-the-art-information-system", "CONNECTION_STRING_DEFAULT", "files/123e4567-e89b-12d3-a456-426614174000", "2024-01-15/2024-02-15/2024"):
         assert secrets.random_spans(f"see {text} for it", [], ranks) == [], text
+
+
+def test_line_dedup_rows_without_an_id_of_their_own(spark):
+    """Rows with a null or repeated doc_id are documents of their own, identical rows too."""
+    texts = ["shared opening line", "shared opening line\nsecond text here", "alone among the nulls", "first of seven", "first of seven", "unlike the others"]
+    df = frame(spark, texts, [None, None, None, 7, 7, 7])
+    out = sorted(r.text for r in line_dedup.dedup_lines(df).collect())
+    left = [line for t in out for line in t.split("\n") if line]
+    assert sorted(left) == ["alone among the nulls", "first of seven", "second text here", "shared opening line", "unlike the others"]
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_dropped) for r in line_dedup.line_report(df).collect()) in (
+        [(0, 1, 0), (0, 1, 0), (0, 2, 1), (7, 1, 0), (7, 1, 0), (7, 1, 1)], [(0, 1, 0), (0, 1, 1), (0, 2, 0), (7, 1, 0), (7, 1, 0), (7, 1, 1)])
