@@ -154,6 +154,19 @@ query(
     ", l0 AS (SELECT node, 1.0::DOUBLE AS score FROM train WHERE node % 20 = 1), l1 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l0 ON src = node GROUP BY dst), l2 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l1 ON src = node GROUP BY dst) SELECT 0 AS level, node FROM l0 UNION ALL (SELECT 1, node FROM l1 ORDER BY score DESC, node LIMIT 100) UNION ALL (SELECT 2, node FROM l2 ORDER BY score DESC, node LIMIT 100)",
 )(lambda s, d: N.skewed_node_sets(X.g_next(s, d), X.nodes(s, d), X.train(s, d).where("node % 20 = 1"), 3, 100))
 
+# the same over the whole train set, all its blocks, and the real buffers with the production top
+query("n1_neighbors_train", "SELECT dst AS node FROM e WHERE src IN (SELECT node FROM train) GROUP BY dst HAVING sum(weight) <> 0")(lambda s, d: N.neighbors(X.g_next(s, d), X.train(s, d)))
+_ALL_HOPS = ", t AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM train), h0 AS (SELECT {} AS g, node FROM t), h1 AS (SELECT g, dst AS node FROM h0 JOIN e ON src = node UNION SELECT * FROM h0), h2 AS (SELECT g, dst AS node FROM h1 JOIN e ON src = node UNION SELECT * FROM h1) "
+_FIRST_HOP = "node, min(hop)::INT AS hop FROM (SELECT g, node, 0 AS hop FROM h0 UNION ALL SELECT g, node, 1 FROM h1 UNION ALL SELECT g, node, 2 FROM h2) GROUP BY g, node"
+query("n2_k_hop_train", _ALL_HOPS.format("0") + "SELECT " + _FIRST_HOP)(lambda s, d: N.k_hop(X.g_next(s, d), X.train(s, d), 2))
+query("n3_k_hop_by_block", _ALL_HOPS.format("(pos // greatest(1, (SELECT count(*) FROM t) // 20))::INT") + 'SELECT g AS "group", ' + _FIRST_HOP)(
+    lambda s, d: N.k_hop_by_group(X.g_next(s, d), P.partition_blocks(R.rank_globally(X.train(s, d), ["node"], "pos")).select(F.col("block").alias("group"), "node"), 2)
+)
+query(
+    "n8_skewed_node_sets_buffers",
+    ", l0 AS (SELECT DISTINCT node, 1.0::DOUBLE AS score FROM buffer), l1 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l0 ON src = node GROUP BY dst), l2 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l1 ON src = node GROUP BY dst) SELECT 0 AS level, node FROM l0 UNION ALL (SELECT 1, node FROM l1 WHERE score > 0 ORDER BY score DESC, node LIMIT 8192) UNION ALL (SELECT 2, node FROM l2 WHERE score > 0 ORDER BY score DESC, node LIMIT 8192)",
+)(lambda s, d: N.skewed_node_sets(X.g_next(s, d), X.nodes(s, d), _snake(s, d)[0], 3))
+
 # placement
 _SLICE = "SELECT (rank // rows)::INT AS device, (rank % rows)::INT AS slot, node FROM (SELECT node, row_number() OVER (ORDER BY {}) - 1 AS rank FROM n), size WHERE rank < 4 * rows"
 query("p1_buffer_rows", "SELECT rows FROM size")(lambda s, d: X.nodes(s, d).agg(F.floor(X.RATIO * F.count("*")).cast("long").alias("rows")))

@@ -36,3 +36,8 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("n5_access_score", "m1_layer_importance", "p12_resolve_location"):
         plan = registry.QUERIES[name](spark, D)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["n1_neighbors_train", "n2_k_hop_train", "n3_k_hop_by_block", "n8_skewed_node_sets_buffers"])
+def test_whole_sets_against_sql(spark, name):
+    test_against_sql(spark, name)
