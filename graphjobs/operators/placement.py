@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import materialise
@@ -122,46 +122,45 @@ def partition_blocks(train: DataFrame, nblocks: int = 20) -> DataFrame:
     return train.select("pos", "node", F.floor(F.col("pos") / size).cast("int").alias("block"))
 
 
-def _greedy(masks: list[tuple[int, int]], blocks: int, devices: int, total: int) -> list[int]:
-    """Worker of each block, from counts of nodes by the set of blocks that reach them."""
-    mask = np.array([m for m, _ in masks], np.uint64)
-    count = np.array([c for _, c in masks], np.int64)
-    bit = [np.uint64(1 << b) for b in range(blocks)]
-    have, load, owner = np.zeros((devices, len(mask)), bool), np.ones(devices), []
+def _greedy(masks: DataFrame, blocks: int, devices: int, total: int) -> list[int]:
+    """Worker of each block, from masks(mask, n), counts of nodes by the set of blocks that reach them.
+    A pass over that table gives a block's overlaps and the workers' sizes in one row."""
+
+    def count(cond) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+
+    def meets(bits: int) -> Column:
+        return F.col("mask").bitwiseAND(F.lit(bits).cast("long")) != 0
+
+    reached = masks.agg(*[count(meets(1 << b)) for b in range(blocks)]).first()
+    owned, load, owner = [0] * devices, np.ones(devices), []
     for b in range(blocks):
-        mine = (mask & bit[b]) != 0
         if b < devices:
             best = b
         else:
-            size = have @ count
-            score = ((have & mine) @ count) * (total - size) / load
-            best = int(np.argmax(np.abs(score)))
-        have[best] |= mine
-        load[best] += count[mine].sum()
+            row = masks.agg(*[count(meets(o)) for o in owned], *[count(meets(o) & meets(1 << b)) for o in owned]).first()
+            size, overlap = np.array(row[:devices], np.int64), np.array(row[devices:], np.int64)
+            best = int(np.argmax(np.abs(overlap * (total - size) / load)))
+        owned[best] |= 1 << b
+        load[best] += reached[b]
         owner.append(best)
     return owner
 
 
-MASKS = 200_000  # most distinct sets of blocks that the greedy pass takes to the driver
-
-
 def assign_blocks_greedy(e: DataFrame, blocks: DataFrame, devices: int, total: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(assignment(block, device), reach(block, node)): blocks in order go to the worker with most
     overlap * free space / load.
 
-    One grouped closure finds what each block reaches; per node the blocks become a bit mask, and only
-    (mask, count) pairs meet the driver: at most ``MASKS``, else it fails rather than gather more."""
+    One grouped closure finds what each block reaches; per node the blocks become a bit mask, and the
+    counts by mask stay a table: the driver sees one row of numbers per block."""
     reach = k_hop_by_group(e, blocks.select(F.col("block").alias("group"), "node"), k).select(F.col("group").alias("block"), "node")
     reach = materialise(reach, "reach")
     nblocks = blocks.agg(F.max("block")).first()[0] + 1
     if nblocks > 63:
         raise ValueError("at most 63 blocks")
     one = F.expr("shiftleft(1L, block)")
-    masks = reach.groupBy("node").agg(F.bit_or(one).alias("mask")).groupBy("mask").agg(F.count("*").alias("n"))
-    rows = masks.limit(MASKS + 1).collect()
-    if len(rows) > MASKS:
-        raise ValueError(f"more than {MASKS} distinct sets of blocks")
-    owner = _greedy([(r["mask"], r["n"]) for r in rows], nblocks, devices, total)
+    masks = materialise(reach.groupBy("node").agg(F.bit_or(one).alias("mask")).groupBy("mask").agg(F.count("*").alias("n")), "masks")
+    owner = _greedy(masks, nblocks, devices, total)
     return e.sparkSession.createDataFrame(list(enumerate(owner)), "block int, device int"), reach
 
 

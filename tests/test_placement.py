@@ -134,3 +134,9 @@ def test_more_cached_than_nodes_and_one_worker(spark, scores):
     assert P.place_contiguous(n, 2, 4).count() == 6
     assert P.place_contiguous(n, 2, 0).count() == 0
     assert G.union_nodes(n, n).count() == 6
+
+
+def test_greedy_blocks_with_more_sets_than_a_driver_takes(spark, monkeypatch):
+    """However many distinct sets of blocks there are, all are counted by tasks."""
+    monkeypatch.setattr(P, "MASKS", 3, raising=False)
+    test_greedy_blocks_against_sets(spark)
