@@ -55,6 +55,23 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise wrote and nothing reads any more."""
+    for t in tables:
+        drop_tables(t.sparkSession, sorted({f.rpartition("/")[0] for f in t.inputFiles()}))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made unlike any column of df whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
