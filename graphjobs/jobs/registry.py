@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -48,6 +48,12 @@ def _spread(df: DataFrame, vec: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(vec).alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
+def _whole() -> Column:
+    """A number that every dimension of the features and its place count in."""
+    weighed = F.transform("features", lambda v, i: v.cast("double") * (i + 1))
+    return F.round(F.aggregate(weighed, F.lit(0.0), lambda a, v: a + v), 4).alias("whole")
+
+
 def _rows(s, d) -> int:
     return P.buffer_rows(X.nodes(s, d), X.RATIO)
 
@@ -106,7 +112,7 @@ query("a7_mean_std", "SELECT round(avg(weight), 6) AS mean, round(stddev_pop(wei
 query("a8_skew_ratio", "SELECT round(count(*) * max(k) / sum(k), 6) AS skew_ratio FROM (SELECT count(*) AS k FROM hub GROUP BY dst)")(lambda s, d: _r(A.skew_ratio(X.g_hub(s, d), "dst"), "skew_ratio"))
 query(
     "a9_standard_scale",
-    ", x AS (SELECT node, unnest(range(len(features)))::INT AS i, unnest(features)::DOUBLE AS v FROM feat), m AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM x JOIN train USING (node) GROUP BY i) SELECT node, x.i, round((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS v FROM x JOIN m ON x.i = m.i",
+    ", x AS MATERIALIZED (SELECT node, unnest(range(len(features)))::INT AS i, unnest(features)::DOUBLE AS v FROM feat), t AS MATERIALIZED (SELECT node FROM roles WHERE role = 'tr'), m AS MATERIALIZED (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM x SEMI JOIN t ON x.node = t.node GROUP BY i) SELECT node, x.i, round((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS v FROM x JOIN m ON x.i = m.i",
 )(lambda s, d: _spread(A.standard_scale(X.features(s, d), X.roles(s, d)), "features", "node"))
 query("a10_num_classes", "SELECT (max(label) - min(label) + 1)::BIGINT AS num_classes FROM lab")(lambda s, d: A.num_classes(X.labels(s, d)))
 _VEC = ", x AS (SELECT label, unnest(range(len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT label, i, round({}(v), 6) AS v FROM x GROUP BY label, i"
@@ -124,8 +130,8 @@ _HOT = ", span AS (SELECT min(label) AS lo, max(label) AS hi FROM lab) SELECT no
 query("f1_one_hot", _HOT.format("(label - lo = i)::INT", "(SELECT * FROM lab WHERE label IS NOT NULL),"))(lambda s, d: A.one_hot(X.labels(s, d).where("label is not null")).select("node", F.posexplode("one_hot").alias("i", "v")))
 query("f2_multi_hot", "SELECT doc_id AS node, 0 AS class_idx FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 1 FROM labels WHERE toxic = 1")(lambda s, d: A.multi_hot(X.doc_labels(s, d)))
 query("f3_one_hot_with_missing", _HOT.format("coalesce(label - lo = i, false)::INT", "lab,"))(lambda s, d: A.one_hot_with_missing(X.nodes(s, d), X.labels(s, d)).select("node", F.posexplode("one_hot").alias("i", "v")))
-query("f4_gather", "SELECT l_orderkey * 10 + l_linenumber AS pos, l_partkey AS node, features[1]::DOUBLE AS first FROM lineitem JOIN feat ON node = l_partkey")(
-    lambda s, d: A.gather(X.features(s, d), X.table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("node"))).select("pos", "node", F.col("features")[0].cast("double").alias("first"))
+query("f4_gather", "SELECT l_orderkey * 10 + l_linenumber AS pos, l_partkey AS node, round(list_sum(list_transform(features, lambda v, i: v::DOUBLE * i)), 4) AS whole, features[1]::DOUBLE AS first FROM lineitem JOIN feat ON node = l_partkey")(
+    lambda s, d: A.gather(X.features(s, d), X.table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("node"))).select("pos", "node", _whole(), F.col("features")[0].cast("double").alias("first"))
 )
 _MAP = ", m AS (SELECT node, row_number() OVER (ORDER BY coalesce((SELECT sum(weight) FROM e WHERE src = node), 0)::BIGINT DESC, node) - 1 AS new_id FROM n) "
 query("f5_relabel_by_degree", _MAP + "SELECT * FROM m")(lambda s, d: L.relabel_by_degree(X.nodes(s, d), X.g_next(s, d)))
@@ -169,7 +175,7 @@ query(
 
 # placement
 _SLICE = "SELECT (rank // rows)::INT AS device, (rank % rows)::INT AS slot, node FROM (SELECT node, row_number() OVER (ORDER BY {}) - 1 AS rank FROM n), size WHERE rank < 4 * rows"
-query("p1_buffer_rows", "SELECT rows FROM size")(lambda s, d: X.nodes(s, d).agg(F.floor(X.RATIO * F.count("*")).cast("long").alias("rows")))
+query("p1_buffer_rows", "SELECT rows FROM size")(lambda s, d: X.nodes(s, d).agg(F.lit(_rows(s, d)).cast("long").alias("rows")))
 query("p2_place_contiguous", _SLICE.format("node"))(lambda s, d: P.place_contiguous(X.nodes(s, d), X.DEVICES, _rows(s, d)))
 query("p3_place_random", _SLICE.format("md5('7|' || node), node"))(lambda s, d: P.place_random(X.nodes(s, d), X.DEVICES, _rows(s, d), X.SEED))
 query("p4_rank_by_score", "SELECT node, round(score, 6) AS score, rank FROM ranked, size WHERE rank < 4 * rows")(lambda s, d: _r(P.rank_by_score(_scores(s, d), X.DEVICES * _rows(s, d)), "score"))
@@ -180,7 +186,7 @@ query(
     "p5_place_hot_exact",
     # with two workers a round has one candidate, so the fold is a recursion over rounds
     ", sw AS (SELECT c.rank - rows AS i, c.node, c.score, (2 * rows - 1 - c.rank)::INT AS slot FROM ranked c, size, ranked p WHERE c.rank >= rows AND c.rank < 2 * rows AND p.rank = 2 * rows - 1 - c.rank AND c.score >= 0.5 * p.score), fold AS (SELECT -1::BIGINT AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, NULL::INT AS taker, NULL::BIGINT AS node, NULL::INT AS slot UNION ALL SELECT sw.i, CASE WHEN a <= b THEN a + score ELSE a END, CASE WHEN a <= b THEN b ELSE b + score END, CASE WHEN a <= b THEN 0 ELSE 1 END::INT, sw.node, sw.slot FROM fold JOIN sw ON sw.i = fold.i + 1) SELECT i, node, slot, taker FROM fold WHERE i >= 0",
-)(lambda s, d: P.hot_swaps(_scores(s, d), 2, _rows(s, d), 0.5)[1].select("i", "node", "slot", "taker"))
+)(lambda s, d: P.hot_swaps(_scores(s, d), 2, _rows(s, d), 0.5, "exact")[1].select("i", "node", "slot", "taker"))
 _BLK = ", t AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM train) "
 query("p6_partition_blocks", _BLK + "SELECT pos, node, (pos // greatest(1, (SELECT count(*) FROM t) // 20))::INT AS block FROM t")(lambda s, d: P.partition_blocks(R.rank_globally(X.train(s, d), ["node"], "pos")))
 
@@ -197,6 +203,9 @@ query("p8_top_rows_per_device", "SELECT device, slot::INT AS slot, node FROM (SE
 query("p9_location_table", "SELECT v.device AS viewer, node, (rank // rows)::INT AS holder, (rank % rows)::INT AS slot FROM (SELECT node, row_number() OVER (ORDER BY node) - 1 AS rank FROM n), size, dev v WHERE rank < 4 * rows")(
     lambda s, d: P.location_table(P.place_contiguous(X.nodes(s, d), X.DEVICES, _rows(s, d)), X.DEVICES)
 )
+query("p10_choose_placement_contiguous", _SLICE.format("node"))(lambda s, d: P.choose_placement("contiguous", X.DEVICES, _rows(s, d), X.nodes(s, d))[0])
+query("p10_choose_placement_hot", "SELECT device, slot, node FROM buffer")(lambda s, d: P.choose_placement("hot", X.DEVICES, _rows(s, d), X.nodes(s, d), _scores(s, d), 0.5)[0])
+query("w1_placement_job", "SELECT * FROM location")(lambda s, d: W.placement_job(X.g_next(s, d), X.train(s, d), X.nodes(s, d), X.DEVICES, X.RATIO, 0.5, 3)[1])
 query("p10_choose_placement", _SLICE.format("md5('7|' || node), node"))(lambda s, d: P.choose_placement("random", X.DEVICES, _rows(s, d), X.nodes(s, d), seed=X.SEED)[0])
 query("p11_train_order_for_greedy", _BLK + "SELECT node, row_number() OVER (ORDER BY node % 4, pos // 10, pos) - 1 AS pos FROM t")(
     lambda s, d: P.train_order_for_greedy(R.rank_globally(X.train(s, d), ["node"], "pos").select((F.col("node") % 4).alias("device"), F.floor(F.col("pos") / 10).alias("block"), "pos", "node"))
@@ -217,14 +226,14 @@ query(
 query("p13_holder_totals", _RES + "SELECT rank, holder, count(*) AS n FROM res GROUP BY ROLLUP (rank, holder)")(lambda s, d: P.holder_totals(_resolved(s, d)))
 
 
-@query("p14_gather_by_location", _RES + "SELECT batch_id, res.rank, res.node, holder, features[1]::DOUBLE AS first FROM res JOIN feat ON feat.node = res.node")
+@query("p14_gather_by_location", _RES + "SELECT batch_id, res.rank, res.node, holder, round(list_sum(list_transform(features, lambda v, i: v::DOUBLE * i)), 4) AS whole, features[1]::DOUBLE AS first FROM res JOIN feat ON feat.node = res.node")
 def _p14(s, d):
     buffer, location = _snake(s, d)
     features = X.features(s, d)
     batches = materialise(_batches(s, d), "batches")
     resolved = P.resolve_location(W.batch_closures(X.g_next(s, d), batches), location)
     got = P.gather_by_location(resolved, buffer.join(features, "node"), features)
-    return got.select("batch_id", "rank", "node", "holder", F.col("features")[0].cast("double").alias("first"))
+    return got.select("batch_id", "rank", "node", "holder", _whole(), F.col("features")[0].cast("double").alias("first"))
 
 
 # ranks, tops, sampling
@@ -352,5 +361,14 @@ def _w2(s, d):
     return W.locality_job(X.g_next(s, d), X.train(s, d).withColumn("pos", F.col("node")), _snake(s, d)[1], X.DEVICES, X.BATCH, [256, 256], [1, 1], X.SEED, 64)
 
 
+@query("w2_locality_job_favoured")
+def _w2_favoured(s, d):
+    """Every worker favours what it holds, and what is often met from there."""
+    edges = X.g_next(s, d)
+    buffer, location = _snake(s, d)
+    favoured = W.favoured_nodes(edges, X.nodes(s, d), buffer, X.DEVICES, 2)
+    return W.locality_job(edges, X.train(s, d).withColumn("pos", F.col("node")), location, X.DEVICES, X.BATCH, [256, 256], [1, 1], X.SEED, 64, favoured, 4.0)
+
+
 query("w3_scoring_job")(lambda s, d: _r(W.scoring_job(X.g_next(s, d), X.features(s, d), X.roles(s, d), X.labels(s, d), 16, [1, 1], 10), "micro", "macro"))
 query("w4_greedy_buffers")(lambda s, d: _greedy(s, d)[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.tables import materialise
 from ..operators import graph, placement, propagate, sampling, scoring, stats
 
 
-def placement_job(edges: DataFrame, train: DataFrame, nodes: DataFrame, devices: int, ratio: float, alpha: float, k: int, balance: str = "exact") -> tuple[DataFrame, DataFrame]:
+def placement_job(edges: DataFrame, train: DataFrame, nodes: DataFrame, devices: int, ratio: float, alpha: float, k: int, balance: str = "snake") -> tuple[DataFrame, DataFrame]:
     """(buffer, location): normalise, score, rank, place."""
     norm = materialise(graph.row_normalize(edges), "normalised")
     scores = propagate.access_score(norm, train, k)
@@ -23,10 +25,20 @@ def batch_closures(edges: DataFrame, batches: DataFrame) -> DataFrame:
     return reach.join(batches.select("batch_id", "rank").distinct(), "batch_id")
 
 
-def locality_job(edges: DataFrame, train: DataFrame, location: DataFrame, devices: int, batch: int, ks: list[int], orders: list[int], seed: int, dims: int) -> DataFrame:
-    """Movement report of one epoch of layer-wise samples."""
+def favoured_nodes(edges: DataFrame, nodes: DataFrame, buffer: DataFrame, devices: int, layers: int, top: int = 8192) -> list[DataFrame]:
+    """For each layer, 0 the input side, (rank, node): what each worker holds, and what is often met from there."""
+    by_worker = []
+    for rank in range(devices):
+        held = buffer.where(F.col("device") == rank)
+        by_worker.append(propagate.skewed_node_sets(edges, nodes, held, layers, top).withColumn("rank", F.lit(rank)))
+    every = materialise(reduce(DataFrame.unionByName, by_worker), "favoured")
+    return [every.where(F.col("level") == layer).select("rank", "node") for layer in range(layers)]
+
+
+def locality_job(edges: DataFrame, train: DataFrame, location: DataFrame, devices: int, batch: int, ks: list[int], orders: list[int], seed: int, dims: int, favoured: list[DataFrame] | None = None, factor: float = 1.0) -> DataFrame:
+    """Movement report of one epoch of layer-wise samples, biased to favoured nodes if given."""
     batches = materialise(sampling.make_train_batches(train, devices, batch, seed), "batches")
-    _, layers = sampling.layerwise_sample(edges, batches, ks, orders, seed)
+    _, layers = sampling.layerwise_sample(edges, batches, ks, orders, seed, favoured, factor)
     inputs = sampling.batch_inputs(layers).join(batches.select("batch_id", "rank").distinct(), "batch_id")
     return placement.movement_report(placement.resolve_location(inputs, location), dims)
 

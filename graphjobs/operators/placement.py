@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import materialise
 from .propagate import k_hop_by_group
-from .ranking import rank_globally, top_k_per_group
+from .ranking import rank_globally
 
 HOST = -1
 
@@ -72,14 +72,15 @@ def _fold(devices: int):
     return run
 
 
-def hot_swaps(scores: DataFrame, devices: int, rows: int, alpha: float, balance: str = "exact") -> tuple[DataFrame, DataFrame]:
+def hot_swaps(scores: DataFrame, devices: int, rows: int, alpha: float, balance: str = "snake") -> tuple[DataFrame, DataFrame]:
     """(ranked, swaps): swaps(i, node, score, slot, evicted, taker, keeper).
 
     Candidates are the ranks after the first ``rows``; round i // (devices - 1) evicts slot
     rows - 1 - round. As candidates' scores fall and evicted ones rise, "stop at the first failure" is
-    a plain filter. Only the balance of load needs order: 'exact' folds the swaps in rank order with
-    one float per worker, on at most rows * (devices - 1) narrow rows; 'snake' is column arithmetic
-    and keeps loads within one candidate's score per round."""
+    a plain filter. Only the balance of load needs order: 'snake' is column arithmetic and keeps loads
+    within one candidate's score per round; 'exact' gives each round to the workers by their load so far,
+    which folds the swaps in rank order in one task with one float per worker, on at most
+    rows * (devices - 1) narrow rows."""
     ranked = materialise(rank_by_score(scores, devices * rows), "ranked")
     if devices < 2 or rows < 1:
         none = ranked.select(F.col("rank").alias("i"), "node", "score", F.lit(0).alias("slot"), F.col("node").alias("evicted"), F.lit(0).alias("taker"), F.lit(0).alias("keeper"))
@@ -97,7 +98,7 @@ def hot_swaps(scores: DataFrame, devices: int, rows: int, alpha: float, balance:
     return ranked, ordered.mapInArrow(_fold(devices), schema)
 
 
-def place_hot_replicated(scores: DataFrame, devices: int, rows: int, alpha: float = 0.0, balance: str = "exact") -> tuple[DataFrame, DataFrame]:
+def place_hot_replicated(scores: DataFrame, devices: int, rows: int, alpha: float = 0.0, balance: str = "snake") -> tuple[DataFrame, DataFrame]:
     """(buffer, location): the hottest nodes on every worker, warm ones on one, by ``hot_swaps``.
 
     location(viewer, node, holder, slot) has cached nodes only; a missing row means the host."""
@@ -167,7 +168,11 @@ def assign_blocks_greedy(e: DataFrame, blocks: DataFrame, devices: int, total: i
 def top_rows_per_device(device_nodes: DataFrame, scores: DataFrame, rows: int) -> DataFrame:
     """(device, slot, node): each worker's best-scored nodes of its own set, ties by id."""
     have = device_nodes.select("device", "node").distinct().join(scores, "node", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 12))
-    return top_k_per_group(have, "device", rows).select("device", "slot", "node")
+    # ranked over all workers in range partitions, so that no worker's candidates meet in one task
+    ranked = rank_globally(have.select("device", "node", "score"), ["device", F.desc("score"), "node"])
+    first = ranked.groupBy("device").agg(F.min("rank").alias("first"))  # a row per worker
+    kept = ranked.join(F.broadcast(first), "device").withColumn("slot", (F.col("rank") - F.col("first")).cast("int"))
+    return kept.where(F.col("slot") < rows).select("device", "slot", "node")
 
 
 def place_greedy_blocks(e: DataFrame, train: DataFrame, scores: DataFrame, devices: int, rows: int, total: int, k: int, nblocks: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -187,10 +192,10 @@ def location_table(buffer: DataFrame, devices: int, shared: bool = True) -> Data
     return buffer.join(viewers).select("viewer", "node", F.col("device").alias("holder"), "slot")
 
 
-def choose_placement(strategy: str, devices: int, rows: int, nodes: DataFrame, scores: DataFrame | None = None, alpha: float = 0.0, seed: int = 0, **greedy) -> tuple[DataFrame, DataFrame]:
-    """(buffer, location) by strategy: contiguous, random, hot or greedy_blocks."""
+def choose_placement(strategy: str, devices: int, rows: int, nodes: DataFrame, scores: DataFrame | None = None, alpha: float = 0.0, seed: int = 0, balance: str = "snake", **greedy) -> tuple[DataFrame, DataFrame]:
+    """(buffer, location) by strategy: contiguous, random, hot (by balance) or greedy_blocks."""
     if strategy == "hot":
-        return place_hot_replicated(scores, devices, rows, alpha)
+        return place_hot_replicated(scores, devices, rows, alpha, balance)
     if strategy == "greedy_blocks":
         return place_greedy_blocks(scores=scores, devices=devices, rows=rows, **greedy)[:2]
     place = {"contiguous": lambda: place_contiguous(nodes, devices, rows), "random": lambda: place_random(nodes, devices, rows, seed)}

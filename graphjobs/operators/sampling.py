@@ -26,12 +26,16 @@ def layer_importance(e: DataFrame, frontier: DataFrame) -> DataFrame:
     return step.groupBy("batch_id", F.col("dst").alias("node")).agg(F.count("*").cast("double").alias("imp"))
 
 
-def bias_local(imp: DataFrame, favoured: DataFrame, factor: float) -> DataFrame:
-    """Importance times factor for favoured nodes, if factor is above 1."""
+def bias_local(imp: DataFrame, favoured: DataFrame, factor: float, ranks: DataFrame | None = None) -> DataFrame:
+    """Importance times factor for favoured nodes, if factor is above 1. favoured(node) holds for all batches;
+    favoured(rank, node) for those of a worker, by ranks(batch_id, rank)."""
     if factor <= 1:
         return imp
-    flag = favoured.select("node").distinct().withColumn("_fav", F.lit(True))
-    return imp.join(flag, "node", "left").withColumn("imp", F.col("imp") * F.when(F.col("_fav"), factor).otherwise(1.0)).drop("_fav")
+    keys = ["rank", "node"] if "rank" in favoured.columns else ["node"]
+    flag = favoured.select(*keys).distinct().withColumn("_fav", F.lit(True))
+    known = imp.join(ranks.select("batch_id", "rank"), "batch_id", "left") if "rank" in keys else imp
+    biased = known.join(flag, keys, "left").withColumn("imp", F.col("imp") * F.when(F.col("_fav"), factor).otherwise(1.0))
+    return biased.select(*imp.columns)
 
 
 def to_probability(imp: DataFrame) -> DataFrame:
@@ -58,7 +62,8 @@ def _factors(p: DataFrame, k: int, floor: float) -> DataFrame:
 
 
 def sampled_layer(
-    e: DataFrame, frontier: DataFrame, k: int, seed: int, layer: int, favoured: DataFrame | None = None, factor: float = 1.0, prob_floor: float = 1e-10
+    e: DataFrame, frontier: DataFrame, k: int, seed: int, layer: int, favoured: DataFrame | None = None, factor: float = 1.0, prob_floor: float = 1e-10,
+    ranks: DataFrame | None = None, entries: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(block, nodes): the layer's edges with values, and its node set.
 
@@ -67,7 +72,7 @@ def sampled_layer(
     prob): the drawn nodes and the frontier."""
     imp = layer_importance(e, frontier)
     if favoured is not None:
-        imp = bias_local(imp, favoured, factor)
+        imp = bias_local(imp, favoured, factor, ranks)
     p = materialise(to_probability(imp), "probabilities")
     drawn = weighted_sample_without_replacement(p, k, seed, layer).select("batch_id", "node")
     prev = frontier.select("batch_id", "node").distinct()
@@ -79,11 +84,19 @@ def sampled_layer(
         F.coalesce("p", F.lit(0.0)).alias("prob"), F.coalesce("factor", F.lit(1 / prob_floor)).alias("factor"),
     )
     nodes = materialise(nodes, "layer")
-    return _block(e, prev, nodes), nodes.drop("factor")
+    return _block(e, prev, nodes, row_entries(e) if entries is None else entries), nodes.drop("factor")
 
 
-def _block(e: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    full = e.groupBy("src").agg(F.count("*").alias("_n"))
+def row_entries(e: DataFrame) -> DataFrame:
+    """(src, _n): the stored entries of each row."""
+    return e.groupBy("src").agg(F.count("*").alias("_n"))
+
+
+def _ranks(batches: DataFrame) -> DataFrame | None:
+    return batches.select("batch_id", "rank").distinct() if "rank" in batches.columns else None
+
+
+def _block(e: DataFrame, rows: DataFrame, nodes: DataFrame, full: DataFrame) -> DataFrame:
     order = Window.partitionBy("batch_id").orderBy("src")
     src = rows.select("batch_id", F.col("node").alias("src")).withColumn("src_pos", (F.row_number().over(order) - 1).cast("long"))
     dst = nodes.select("batch_id", F.col("node").alias("dst"), F.col("pos").alias("dst_pos"), "factor")
@@ -94,14 +107,16 @@ def _block(e: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def layerwise_sample(
     e: DataFrame, batches: DataFrame, ks: list[int], orders: list[int], seed: int, favoured: list[DataFrame] | None = None, factor: float = 1.0
 ) -> tuple[DataFrame, DataFrame]:
-    """(blocks, layer_nodes) with a layer column, 0 the input side; layers of order 0 have no block."""
+    """(blocks, layer_nodes) with a layer column, 0 the input side; layers of order 0 have no block. favoured has a
+    (node) or (rank, node) table for each layer."""
+    ranks, entries = _ranks(batches), materialise(row_entries(e), "entries")  # counted once for all layers
     frontier, blocks, sets = batches.select("batch_id", "node"), None, None
     for d, order in enumerate(reversed(orders)):
         if order == 0:
             continue
         layer = len(orders) - 1 - d
         fav = favoured[layer] if favoured else None
-        block, nodes = sampled_layer(e, frontier, ks[d], seed, layer, fav, factor)
+        block, nodes = sampled_layer(e, frontier, ks[d], seed, layer, fav, factor, ranks=ranks, entries=entries)
         block, nodes = block.withColumn("layer", F.lit(layer)), nodes.withColumn("layer", F.lit(layer))
         blocks = block if blocks is None else blocks.unionByName(block)
         sets = nodes if sets is None else sets.unionByName(nodes)
@@ -117,7 +132,7 @@ def subgraph_sample(e: DataFrame, batches: DataFrame, k: int, orders: list[int],
     top = len(orders) - 1 - first
     imp = layer_importance(e, batches)
     if favoured is not None:
-        imp = bias_local(imp, favoured, factor)
+        imp = bias_local(imp, favoured, factor, _ranks(batches))
     p = materialise(to_probability(imp), "probabilities")
     prev = batches.select("batch_id", "node").distinct()
     every = weighted_sample_without_replacement(p, k, seed, top).select("batch_id", "node").union(prev).distinct()

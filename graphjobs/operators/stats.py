@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import segment_vector_sum
+
+SALT = 16
+
 
 def mean_std(df: DataFrame, col: str) -> DataFrame:
     """One row: mean and population standard deviation."""
@@ -72,19 +76,20 @@ def gather(features: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(features, "node")
 
 
-def vector_sum(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Element-wise sum of equal-length vectors per key."""
-    return _vector(df, key, vec, F.sum)
+def vector_sum(df: DataFrame, key: str, vec: str, salt: int = SALT) -> DataFrame:
+    """Element-wise sum of equal-length vectors per key, in two stages, as few keys may hold most rows."""
+    return _summed(df, key, vec, salt).select(key, F.col("x").alias(vec))
 
 
-def vector_mean(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Element-wise mean of equal-length vectors per key."""
-    return _vector(df, key, vec, F.avg)
+def vector_mean(df: DataFrame, key: str, vec: str, salt: int = SALT) -> DataFrame:
+    """Element-wise mean of equal-length vectors per key: their sum with a one behind each, by its last element."""
+    counted = df.select(key, F.concat(F.col(vec).cast("array<double>"), F.array(F.lit(1.0))).alias(vec))
+    n = F.element_at("x", -1)
+    return _summed(counted, key, vec, salt).select(key, F.transform(F.slice("x", F.lit(1), F.size("x") - 1), lambda v: v / n).alias(vec))
 
 
-def _vector(df: DataFrame, key: str, vec: str, how) -> DataFrame:
-    each = df.select(key, F.posexplode(vec).alias("i", "x")).groupBy(key, "i").agg(how("x").alias("x"))
-    return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(key, F.col("p.x").alias(vec))
+def _summed(df: DataFrame, key: str, vec: str, salt: int) -> DataFrame:
+    return segment_vector_sum(df.where(F.col(vec).isNotNull()).select(key, F.lit(1.0).alias("_one"), vec), [key], "_one", vec, salt)
 
 
 def clip_by_global_norm(df: DataFrame, vec: str, max_norm: float = 5.0) -> DataFrame:
