@@ -3,11 +3,13 @@ streaming over key-sorted Arrow batches. Everything here keeps memory bounded by
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a new one on a local master, and an
+    error on a cluster, whose machines don't share a folder of the driver's."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -56,9 +61,30 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete the files of tables that materialise wrote and nothing reads any more."""
+    """Delete the files of tables that materialise wrote and nothing reads any more, and have Spark's cleaner drop the
+    shuffle files of finished jobs, which it does when the driver collects its garbage."""
     for t in tables:
         drop_tables(t.sparkSession, sorted({f.rpartition("/")[0] for f in t.inputFiles()}))
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches of at most so many bytes, where the session sets no bound of its own: rows are whole texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > most * 8:
+        spark.conf.set(key, most)
+
+
+def parts(batch: pa.RecordBatch, column: int, rows: int = 500, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most so many rows, and of about so many bytes in a text column."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.column(column).slice(at, n).nbytes > most:
+            n = max(1, n // 2)
+        yield batch.slice(at, n)
+        at += n
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -72,6 +98,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def place_of_row() -> Column:
+    """Where a row of a file stands: the hash of the file's path and the row's number in it."""
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a long that tells rows apart, the same in every pass: a hash of file and place in it where docs come from
+    files as they are, else a number that is written with them."""
+    try:
+        return docs.withColumn(row, F.xxhash64(place_of_row()))
+    except AnalysisException:
+        return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
@@ -92,7 +132,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "n").where("x > n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), "m")
-        e = materialise(moved.union(parent.select("u", "m")).distinct().select("u", F.col("m").alias("v")), "edges")
+        old, e = e, materialise(moved.union(parent.select("u", "m")).distinct().select("u", F.col("m").alias("v")), "edges")
+        drop_tables(e.sparkSession, sorted({f.rpartition("/")[0] for f in old.inputFiles()}))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

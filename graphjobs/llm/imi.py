@@ -13,27 +13,32 @@ cell is verified by its cosine in double precision, so no pair below the thresho
 * Equal vectors are one entry with a multiplicity. A cell's members and visitors meet in pair blocks
   of bounded size, so a hot cell is spread over many tasks. A pair that two visits would meet is
   compared in the smaller cell only; each block adds counts and root edges per vector, not pairs.
-* Null, zero and non-finite vectors, and those whose length isn't the table's most common one, link
-  with nothing: n_links 0, component_id the own id. Rows with one vec_id are one node. Null vec_id:
-  links count as for others, component null. Empty table: empty result.
+* Null, zero and non-finite vectors link with nothing: n_links 0, component_id the own id. Vectors of
+  different lengths don't link; each length has an index of its own, built one after the other. Rows with
+  one vec_id are one node. Null vec_id: links count as for others and join what they meet (under numbers
+  from ``UNKNOWN`` on, above every vec_id), component null. Further columns aren't read, whatever their
+  names; no column is so long that it is cut. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, connected_components, materialise, pair_blocks
+from .common import by_key, connected_components, materialise, pair_blocks, release
 
 SAMPLE = 20_000
 PROBES = 256
 CELL = 32  # vectors in a cell on average, until K reaches its limit
-MAX_K = 512
+MAX_K = 4096
+EACH = 8  # vectors in the sample for each centroid at least
+UNKNOWN = 1 << 62
 CHUNK = 1024
 
 
@@ -57,7 +62,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
     """Lloyd's rounds from distinct random rows; an empty centre stays where it is."""
     centres = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = _distances(x, centres).argmin(1)
+        own = np.concatenate([_distances(x[lo : lo + 4096], centres).argmin(1) for lo in range(0, len(x), 4096)])
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
         n = np.bincount(own, minlength=len(centres))
@@ -207,6 +212,26 @@ def _verify(dims: int, threshold: float):
     return run
 
 
+def _links(indexed: DataFrame, dims: int, threshold: float, target: float, sample: int, probes: int, chunk: int) -> DataFrame:
+    """(a, n, b) of the vectors of one length: how many links a has in a block, and an edge to its block root."""
+    n = indexed.count()
+    k = min(MAX_K, max(2, 1 << round(math.log2(max(4, math.sqrt(max(1, n) / CELL))))))
+    drawn = indexed.orderBy(F.xxhash64("head"), "head").limit(max(sample, EACH * k)).select("v").collect()
+    x = _units(pa.array([r.v for r in drawn], pa.list_(pa.float64())), dims)
+    half = dims // 2
+    books = kmeans(x[:, :half], min(k, len(x))), kmeans(x[:, half:], min(k, len(x)), seed=8)
+    cells = _cells_needed(indexed, books, dims, threshold, target, probes)
+    routed = indexed.mapInArrow(_route(books, dims, cells), "cell long, head long, v array<double>, copies long, home long, way array<int>")
+    routed = materialise(routed, "visits")
+    sizes = routed.groupBy("cell").agg(F.count("*").alias("k"))
+    keys = ["cell", "i", "j"]
+    blocks = pair_blocks(routed.join(sizes, "cell"), F.col("head"), "k", chunk).select(*keys, "c", "head", "v", "copies", "home", "way")
+    found = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(dims, threshold), "a long, n long, b long")
+    found = materialise(found, "links")
+    release(routed)
+    return found
+
+
 def embedding_classes(
     vectors: DataFrame,
     vec_id: str = "vec_id",
@@ -220,41 +245,20 @@ def embedding_classes(
     """One row per input row: vec_id, n_links, component_id, kept."""
     v = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(_usable(v), v).alias("v"))
-    common = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dims = common.d
-    rows = rows.withColumn("v", F.when(F.size("v") == dims, F.col("v")))
     heads = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"))
-    # several vectors under one id, or none, stay apart in the index by a position of their own
-    heads = materialise(heads.select("head", "v", "copies"), "vectors")
-    indexed = heads.where("head is not null")
-    n = indexed.count()
-    drawn = indexed.orderBy(F.xxhash64("head"), "head").limit(sample).select("v").collect()
-    k = min(MAX_K, max(2, 1 << round(math.log2(max(4, math.sqrt(max(1, n) / CELL))))))
-    x = _units(pa.array([r.v for r in drawn], pa.list_(pa.float64())), dims) if drawn else np.zeros((0, dims))
-    half = dims // 2
-    if not len(x):
-        books = (np.zeros((1, half)), np.zeros((1, dims - half)))
-    else:
-        books = kmeans(x[:, :half], min(k, len(x))), kmeans(x[:, half:], min(k, len(x)), seed=8)
-    cells = _cells_needed(indexed, books, dims, threshold, target, probes) if len(x) else 1
-    routed = materialise(
-        indexed.select("head", "v", "copies").mapInArrow(
-            _route(books, dims, cells), "cell long, head long, v array<double>, copies long, home long, way array<int>"
-        ),
-        "visits",
-    )
-    sizes = routed.groupBy("cell").agg(F.count("*").alias("k"))
-    keys = ["cell", "i", "j"]
-    blocks = pair_blocks(routed.join(sizes, "cell"), F.col("head"), "k", chunk).select(*keys, "c", "head", "v", "copies", "home", "way")
-    found = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(dims, threshold), "a long, n long, b long")
-    found = materialise(found, "links")
+    # several vectors under one id stay apart in the index; those under none get a number of their own
+    known = F.coalesce("head", F.monotonically_increasing_id() + F.lit(UNKNOWN))
+    heads = materialise(heads.select(known.alias("head"), "v", "copies", F.size("v").alias("dims")), "vectors")
+    lengths = [r.dims for r in heads.groupBy("dims").count().orderBy("dims").collect()]
+    found = [_links(heads.where(F.col("dims") == d).select("head", "v", "copies"), d, threshold, target, sample, probes, chunk) for d in lengths]
+    if not found:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    found = reduce(DataFrame.unionByName, found)
     links = found.groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n"))
     groups = connected_components(found).withColumnRenamed("node", "head")
     own = heads.join(links, "head", "left").join(groups, "head", "left")
     out = rows.join(own.select("head", "v", "copies", "n", "component"), "v", "left")
-    component = F.when(F.col("vec_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "head", "vec_id"))
+    component = F.when(F.col("vec_id").isNull(), F.lit(None).cast("long")).otherwise(F.least(F.coalesce("component", "head", "vec_id"), "vec_id"))
     return out.select(
         "vec_id",
         (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),

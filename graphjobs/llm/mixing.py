@@ -1,20 +1,24 @@
 """Mixing sources to target weights by Pareto order sampling (operator 5), in DataFrame functions.
 
 A source's target is its weight's share of the whole budget, held at ``most`` times the source's size;
-what is above goes to the others by weight until none is above (solved in closed form over the sources
-in the order in which they fill up). A source that is asked for ``target / size = c + f`` times its
-size gives every document c whole copies. The rest, ``f`` of its size, is an order sample: documents
-are ranked by the odds of a uniform number over the odds of their inclusion, u / (1 - u) over
-p / (1 - p), and the ranking is cut where the source's taken size comes nearest to the target.
+what is above goes to the others by weight, round by round until none is above (a round is one sum over
+the sources, of which the driver sees a single row). A source that is asked for ``target / size = c + f``
+times its size gives every document c whole copies. The rest, ``f`` of its size, is an order sample with
+unequal odds: a document's inclusion p is proportional to the number of binary digits of its size, so
+that longer documents are likelier, and scaled so that the expected size is the rest; where p reaches 1
+the document is certain. Documents are ranked by the odds of a uniform number over the odds of their
+inclusion, u / (1 - u) over p / (1 - p), and the ranking is cut where the source's taken size comes
+nearest to the target.
 
 The cut is found without ranking a source in one place: sizes are summed by (source, slice of the rank
-key), a window over at most ``SLICES`` rows per source finds the slice of the cut, and only that
-slice's documents, one in thousands, are ranked. The uniform number is a hash of seed and doc_id, so
-reruns agree and the work is one pass of text and narrow shuffles.
+key), a window over at most ``SLICES`` rows per source finds the slice of the cut, the same is done with
+that slice's own slices, and only the last one's documents, one in millions, are ranked. The uniform
+number is a hash of seed and doc_id, so reruns agree and the work is one pass of text and narrow shuffles.
 
 Null text has size 0. Null source is a source of its own, last in order; null doc_id draws like an
 empty id. Documents of size 0 are taken 0 words of. Repeated rows are separate documents with equal
-draws. Empty table: empty result.
+draws. Very long texts are counted whole. Further columns aren't read, whatever their names, but those
+in ``keep``, which must not be called like a result. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import rank_globally
 from .common import WORD, materialise
 
 SLICES = 4096
@@ -40,25 +45,38 @@ def word_count(text: Column) -> Column:
 
 def cyclic_weights(sources: DataFrame) -> DataFrame:
     """Weights 1, 2, 3, repeating, over the sources by code point, null last. One row per source."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    return sources.select("source", ((place - 1) % 3 + 1).cast("double").alias("weight"))
+    ranked = rank_globally(sources.select("source", F.col("source").isNull().alias("unknown")), ["unknown", "source"])
+    return ranked.select("source", (F.col("rank") % 3 + 1).cast("double").alias("weight"))
 
 
 def targets(totals: DataFrame, weights: DataFrame, most: int = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size) and (source, weight)."""
     given = weights.select(F.col("source").alias("given"), "weight")
     s = totals.join(given, F.col("source").eqNullSafe(F.col("given"))).drop("given")
-    s = s.withColumn("cap", (F.col("source_size") * most).cast("double"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    s = s.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    s = s.withColumn("share", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", F.col("left") / F.col("share"))
-    # the level of the first source in this order that doesn't fill up holds for all that follow
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything)
-    target = F.least(F.col("cap"), level["level"] * F.col("weight"))
-    return s.select("source", "source_size", F.coalesce(target, F.col("cap")).alias("target"))
+    s = materialise(s.withColumn("cap", (F.col("source_size") * most).cast("double")), "caps")
+    level = 0.0
+    while True:  # the sources that are full at one level stay full at the next
+        full = F.col("cap") < level * F.col("weight")
+        left, share = s.agg(F.sum("source_size") - F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if not share or left / share <= level:
+            break
+        level = left / share
+    target = F.least(F.col("cap"), F.lit(level) * F.col("weight")) if share else F.col("cap")
+    return s.select("source", "source_size", target.alias("target"))
+
+
+def _digits(size: Column) -> Column:
+    """The number of binary digits of a size, 1 at least: what a document's inclusion is proportional to."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def _cut(drawn: DataFrame, slice_: str, before: Column, rest: Column) -> DataFrame:
+    """(cut_source, cut, before): the slice of each source in which its ranking is cut, and the size before it."""
+    per_slice = drawn.groupBy("source", slice_).agg(F.sum("size").alias("n"), F.first(before).alias("start"), F.first(rest).alias("rest"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("source").orderBy(slice_))
+    cut = per_slice.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("rest") > 0))
+    cut = cut.groupBy(F.col("source").alias("cut_source")).agg(F.min(F.struct(slice_, (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
+    return materialise(cut.select("cut_source", F.col(f"cut.{slice_}").alias("cut"), "cut.before"), "cuts")
 
 
 def mix(
@@ -75,39 +93,41 @@ def mix(
     weights: (source, weight), every source once; without it ``cyclic_weights``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *keep)
     rows = materialise(rows, "sizes")
-    totals = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
-    goal = targets(totals, cyclic_weights(totals) if weights is None else weights, most)
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * _digits(F.col("size"))).alias("digits"))
+    totals = materialise(totals, "totals")
+    goal = targets(totals.drop("digits"), cyclic_weights(totals) if weights is None else weights, most)
+    goal = goal.join(totals.select(F.col("source").alias("own"), "digits"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
     goal = goal.withColumn("asked", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    goal = goal.withColumn("whole", F.floor("asked").cast("long")).withColumn("p", F.col("asked") - F.col("whole"))
+    goal = goal.withColumn("whole", F.floor("asked").cast("long")).withColumn("f", F.col("asked") - F.col("whole"))
     goal = goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "goal_source")
     goal = materialise(goal, "goals")
+    p = F.when(F.col("digits") > 0, F.least(F.col("f") * _digits(F.col("size")) * F.col("source_size") / F.col("digits"), F.lit(1.0))).otherwise(F.col("f"))
     u = F.col("u")
     odds = (u * (1 - F.col("p"))) / (u * (1 - F.col("p")) + (1 - u) * F.col("p"))  # Pareto's quotient q as q / (1 + q)
     drawn = (
         rows.join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
         .drop("goal_source")
+        .withColumn("p", p)
         .withColumn("u", uniform(seed, F.col("doc_id")))
         .withColumn("key", odds)
         .withColumn("slice", F.floor(F.col("key") * SLICES).cast("int"))
+        .withColumn("part", F.floor((F.col("key") * SLICES - F.col("slice")) * SLICES).cast("int"))
     )
-    per_slice = drawn.groupBy("source", "slice").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy("slice"))
-    cut = (
-        per_slice.withColumn("before", upto - F.col("n"))
-        .where((F.col("before") + F.col("n") >= F.col("rest")) & (F.col("rest") > 0))
-        .groupBy(F.col("source").alias("cut_source"))
-        .agg(F.min(F.struct("slice", "before")).alias("cut"))
-    )
-    cut = materialise(cut.select("cut_source", F.col("cut.slice").alias("cut_slice"), F.col("cut.before").alias("before")), "cuts")
-    drawn = drawn.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    at_cut = F.col("slice") == F.col("cut_slice")
-    # only the cut's slice of each source is ranked; other rows stay out of its windows
+    coarse = _cut(drawn, "slice", F.lit(0).cast("long"), F.col("rest"))
+    drawn = drawn.join(coarse.select("cut_source", F.col("cut").alias("cut_slice"), F.col("before").alias("start")), F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+    in_slice = F.col("slice") == F.col("cut_slice")
+    fine = _cut(drawn.where(in_slice), "part", F.col("start"), F.col("rest"))
+    fine = fine.select("cut_source", F.col("cut").alias("cut_part"), "before")
+    drawn = drawn.join(fine, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+    at_cut = in_slice & (F.col("part") == F.col("cut_part"))
+    # only the documents at the cut of each source are ranked; other rows stay out of its windows
     order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     edge = drawn.where(at_cut).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("ahead")
     clear = drawn.where(~F.coalesce(at_cut, F.lit(False)))
     # a source without a cut takes none beyond its whole copies, or all where rounding left its cut beyond the last row
-    clear = clear.withColumn("more", F.when(F.col("rest") <= 0, 0).otherwise(F.coalesce(F.col("slice") < F.col("cut_slice"), F.lit(True)).cast("long")))
+    early = (F.col("slice") < F.col("cut_slice")) | (in_slice & (F.col("part") < F.col("cut_part")))
+    clear = clear.withColumn("more", F.when(F.col("rest") <= 0, 0).otherwise(F.coalesce(early, F.lit(True)).cast("long")))
     out = clear.unionByName(edge).withColumn("copies", F.least(F.col("whole") + F.col("more"), F.lit(most)).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
@@ -118,7 +138,8 @@ WITH d AS (
          (('0x' || substr(md5('5|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size * length(bin(size)))::BIGINT AS digits,
+         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
   FROM d GROUP BY source),
 c AS (
   SELECT *, (source_size * 3)::DOUBLE AS cap,
@@ -128,15 +149,16 @@ c AS (
 l AS (
   SELECT arg_min(rest_size / share, cap / weight) AS level FROM c WHERE rest_size / share * weight <= cap),
 g AS (
-  SELECT source, source_size, coalesce(least(cap, level * weight), cap) AS target FROM c, l),
+  SELECT source, source_size, digits, coalesce(least(cap, level * weight), cap) AS target FROM c, l),
 a AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS asked FROM g),
 w AS (
-  SELECT *, floor(asked)::BIGINT AS whole, asked - floor(asked) AS p, target - floor(asked) * source_size AS rest FROM a),
-k AS (
-  SELECT d.doc_id, d.size, w.source_size, w.target, w.whole, w.rest, d.source,
-         (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) AS key
+  SELECT *, floor(asked)::BIGINT AS whole, asked - floor(asked) AS f, target - floor(asked) * source_size AS rest FROM a),
+i AS (
+  SELECT d.doc_id, d.size, d.u, w.source_size, w.target, w.whole, w.rest, d.source,
+         CASE WHEN digits > 0 THEN least(f * length(bin(d.size)) * w.source_size / digits, 1.0) ELSE f END AS p
   FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
+k AS (SELECT *, (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) AS key FROM i),
 r AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k),
 t AS (

@@ -21,7 +21,8 @@ Every text becomes its set of five-word shingles (``shingles.py``). Two document
    that reach the required overlap are links. A block hands on edges to its roots, not pairs.
 
 Null doc_id: never linked, component null. Rows with one doc_id: one node, whose texts' links join.
-Null or wordless text: empty set, component is the own id. Empty table: empty result.
+Null or wordless text: empty set, component is the own id. Very long texts are hashed whole, block by
+block. Further columns aren't read, whatever their names. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -35,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, by_key, connected_components, materialise, pair_blocks
+from .common import Forest, bounded_batches, by_key, connected_components, materialise, pair_blocks, parts, release
 from .shingles import mix, shingle_sets
 
 HEAVY = 1 << 19  # entries of the heavy-hitter summary: 8 MB at most
 TIERS = 100_000  # counts above are one tier of the summary's histogram
 HEAVY_LEAST = 8  # documents that make a shingle heavy
 GATHER = 4_000_000  # shingles counted at once in a task
-DIGEST_BITS = 1 << 27
+DIGEST_BITS = 1 << 23
 PROBE = 4000  # postings merged in the time of probing for one document
 CHUNK = 512  # documents in one side of a pair block
 
@@ -71,8 +72,8 @@ def heavy_hitters(docs: DataFrame, text: str = "text", size: int = 5, keep: int
 
         n = 0
         for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                held += _sets(batch.slice(part, 500), text, size)
+            for part in parts(batch, 0):
+                held += _sets(part, text, size)
                 n = sum(map(len, held))
                 if n >= GATHER:
                     fold()
@@ -91,6 +92,7 @@ def heavy_hitters(docs: DataFrame, text: str = "text", size: int = 5, keep: int
             break
         least = t.n
     got = counts.where(F.col("n") >= least).toPandas()
+    release(counts)
     token, count = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     o = np.argsort(token)
     return token[o], count[o]
@@ -121,7 +123,7 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 def describe(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, sig, prefix, bitmap) for every row; of equal sets that meet in a task only
     the first has prefix and bitmap, so that a large group of copies shrinks where it is read."""
-    token, count = heavy_hitters(docs, text, size)
+    token, count = heavy_hitters(docs.select(text), text, size)
     heavy = docs.sparkSession.sparkContext.broadcast((token, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +143,7 @@ def describe(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -
 
         none, seen = np.zeros(0, np.uint64), set()
         for whole in batches:
-            for part in range(0, whole.num_rows, 500):
-                batch = whole.slice(part, 500)
+            for batch in parts(whole, 1):
                 sets = _sets(batch, "text", size)
                 sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 first = []
@@ -282,12 +283,12 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def id_digest(ids: DataFrame) -> np.ndarray | None:
-    """A bitmap of hashed ids, 16 MB at most, to leave most other rows' texts where they are; None
-    where there are too many ids for it. Only the join that follows decides, so it never changes results."""
+    """A bitmap of hashed ids, 1 MB at most, to leave most other rows' texts where they are; None where there are too
+    many ids for it, and a join (with a runtime filter of Spark's own) does the same. Only the join that follows decides, so it never changes results."""
     n = ids.count()
-    if n * 8 > DIGEST_BITS:
+    if n * 16 > DIGEST_BITS:
         return None
-    bits = max(1024, 1 << (16 * n).bit_length())
+    bits = max(1024, 1 << (16 * n - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,6 +311,7 @@ def ngram_jaccard_classes(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
+    bounded_batches(docs.sparkSession)
     rows = materialise(describe(docs, doc_id, text, size, percent), "sets")
     classes = (
         rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -340,6 +342,7 @@ def ngram_jaccard_classes(
     blocks = blocks.join(maps, ["doc_id", "n_shingles"]).select(*keys, "c", "doc_id", "own", "n_shingles", "bitmap")
     blocks = blocks.repartition(*keys).sortWithinPartitions(*keys)
     kept = materialise(blocks.mapInArrow(_plausible(percent), "host long, band int, i int, j int, c int, doc_id long"), "plausible")
+    release(banded)
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     wanted = kept.select("doc_id").distinct()
@@ -352,8 +355,7 @@ def ngram_jaccard_classes(
         for whole in batches:
             if sent.value is not None:
                 whole = whole.filter(pa.array(in_digest(sent.value, whole.column(0))))
-            for part in range(0, whole.num_rows, 500):
-                batch = whole.slice(part, 500)
+            for batch in parts(whole, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_sets(batch, "text", size))], ["doc_id", "tokens"])
 
     sets = texts.mapInArrow(tokens, "doc_id long, tokens array<long>").where(F.size("tokens") > 0)
@@ -363,6 +365,7 @@ def ngram_jaccard_classes(
     several = stands.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     odd = stands.join(several.union(classes.select("head")).distinct(), "doc_id", "left_semi")
     groups = connected_components(links.union(odd))
+    release(kept, stands)
     head = rows.select("doc_id", "n_shingles", "sig").join(classes.select("sig", "head"), "sig", "left")
     out = head.join(groups.withColumnRenamed("node", "head"), "head", "left")
     return out.select(

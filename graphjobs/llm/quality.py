@@ -7,7 +7,9 @@ of a batch through all trees level by level, without Python recursion.
 
 Null and empty texts have statistics of their own (all zero) and a score like any text. Labels that
 are null are no training rows; with fewer than two classes among the labels the score is their mean
-(0.5 without any). Null doc_id: scored, never used for training. Empty table: no rows.
+(0.5 without any). Null doc_id: scored, never used for training.
+Repeated rows: rows of their own; of several labels of one doc_id the greatest counts. doc_id may be of any type. Very long
+texts are counted whole. Further columns pass through. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, parts
 from .shingles import word_hashes
 
 SAMPLE = 20_000
@@ -166,35 +169,41 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     known = known.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold() != 0)).groupBy("doc_id").agg(F.max("y").alias("y"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")  # sample rows at most
+    rows = rows.select(F.xxhash64("doc_id").alias("place"), "text", "y")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for batch in parts(whole, whole.schema.get_field_index("text")):
                 x = statistics(batch["text"])
                 flat = pa.array(x.ravel())
                 ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["y"], pa.ListArray.from_arrays(ends, flat)], ["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([batch["place"], batch["y"], pa.ListArray.from_arrays(ends, flat)], ["place", "y", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id", "x").collect()
+    got = rows.mapInArrow(run, "place long, y int, x array<double>").orderBy("place", "x").collect()
     x = np.array([r.x for r in got]).reshape(-1, len(FEATURES))
     return Trees(**params).fit(x, np.array([r.y for r in got], float))
 
 
-def score_quality(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, with quality_score and quality_predicted."""
+def score_quality(
+    docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("quality_score", "quality_predicted")
+) -> DataFrame:
+    """All columns of docs, with the score and the predicted label under the given names; columns that are called so
+    already give way."""
+    docs = docs.drop(*names)
+    bounded_batches(docs.sparkSession)
+    score, predicted = names
     sent = docs.sparkSession.sparkContext.broadcast(trees)
-    names = [f.name for f in docs.schema.fields]
+    columns = [f.name for f in docs.schema.fields]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                s = sent.value.score(statistics(batch.column(names.index(text))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "quality_score", "quality_predicted"])
+            for batch in parts(whole, columns.index(text)):
+                s = sent.value.score(statistics(batch.column(columns.index(text))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*columns, score, predicted])
 
-    return docs.mapInArrow(run, f"{kinds}, quality_score double, quality_predicted int")
+    return docs.mapInArrow(run, f"{kinds}, `{score}` double, `{predicted}` int")
 
 
 def crc_fold(doc_id: int) -> int:

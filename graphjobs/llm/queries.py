@@ -13,7 +13,7 @@ from .line_dedup import line_report
 from .ngram_join import ngram_jaccard_classes
 from .quality import fit_quality, fold, score_quality
 from .secrets import digest, scan
-from .sentencepiece_job import decode_documents, encode_documents
+from .sentencepiece_job import encode_documents
 from .token_files import read_token_files, write_token_files
 
 
@@ -39,7 +39,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     model = vocabulary("piece_bpe_32k.model")
-    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), model), model)
+    coded = encode_documents(table(spark, sf_dir, "documents"), model, decode=True)
     return coded.select(
         "doc_id", "n_ids", "ids_crc32", "parity", F.sha2("decoded_text", 256).alias("decoded_sha256"), F.length("decoded_text").cast("long").alias("decoded_chars")
     )

@@ -7,7 +7,8 @@ the stretches of its parts (between separators) that do. Excluded are known dige
 of a digest's length, UUIDs, pure numbers, words joined by one kind of separator whose characters per
 token are many) and runs that overlap a base span. Texts are read whole; no text is cut, whatever its length.
 
-Offsets count code points, ends are exclusive. Null text counts as empty. Empty table: no rows.
+Offsets count code points, ends are exclusive. Null text counts as empty. Null and repeated doc_id: rows of their
+own. Further columns aren't read, whatever their names. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, parts
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -117,10 +120,12 @@ def _stretches(run: str, ranks: str, ratio: float) -> list[tuple[int, int]]:
 
 def random_spans(text: str, base: list[tuple[int, int, str]], ranks: str, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     """Runs, or stretches of runs, whose characters per token are few, outside the base spans."""
-    found = []
+    found, at, reach = [], 0, 0  # reach: the end of all base spans that begin before the run does
     for m in RUN.finditer(text):
         s, e = m.span()
-        if any(s < b and a < e for a, b, _ in base) or excluded(m[0], ranks, ratio):
+        while at < len(base) and base[at][0] < e:
+            reach, at = max(reach, base[at][1]), at + 1
+        if reach > s or excluded(m[0], ranks, ratio):
             continue
         known = any(_known(p) for p in PART.findall(m[0]))
         if not known and len(m[0]) < ratio * _tokens(m[0], ranks):
@@ -136,8 +141,8 @@ def scan(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch, out = whole.slice(lo, 1000), []
+            for batch in parts(whole, 1):
+                out = []
                 for t in batch.column(1).to_pylist():
                     t = t or ""
                     base = base_spans(t)
@@ -145,6 +150,7 @@ def scan(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: str = "text"
                     out.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, spans array<struct<start: bigint, `end`: bigint, kind: string>>")

@@ -9,7 +9,9 @@ segments, and each task encodes a distinct segment once, in multithreaded batche
 Parity: every distinct segment that a task meets is also encoded by the sentencepiece library, and
 the result says per document whether all of its segments agree.
 
-Null text counts as empty: no ids, empty text. Empty table: no rows.
+Null text counts as empty: no ids, empty text. Null and repeated doc_id: rows of their own. Very long texts are encoded
+whole, and batches and known segments are bounded by bytes. Further columns aren't read, whatever their names. Empty
+table: no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, parts
+
 MARK = "▁"
-CACHE = 500_000
+CACHE = 64 << 20  # bytes of known segments, about
 TOGETHER = 50
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -136,6 +140,7 @@ class SentencePieceCodec:
             for p, _, kind in self.model.pieces
         ]
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.odd: set[str] = set()  # segments on which the libraries differ
         self.spp = None
         if verify:
@@ -191,8 +196,11 @@ class SentencePieceCodec:
         """(ids, parity) of each text."""
         split = [self.segment.findall(self.normalise(t)) for t in texts]
         new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known, self.odd, new = {}, set(), list(set().union(*split))
+        size = sum(map(len, new)) * 3 + 200 * len(new)  # a string, its ids and their places in the table
+        if self.held + size > CACHE and self.known:
+            self.known, self.odd, self.held, new = {}, set(), 0, list(set().union(*split))
+            size = sum(map(len, new)) * 3 + 200 * len(new)
+        self.held += size
         self._learn(new)
         get = self.known.__getitem__
         for segments in split:
@@ -215,31 +223,32 @@ def _codec(path: str, verify: bool) -> SentencePieceCodec:
     return SentencePieceCodec(path, verify)
 
 
-def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", verify: bool = True) -> DataFrame:
-    """One row per input row: doc_id, ids, n_ids, ids_crc32 (of 32-bit little-endian ids), parity."""
+def encode_documents(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", verify: bool = True, decode: bool = False) -> DataFrame:
+    """One row per input row: doc_id, ids, n_ids, ids_crc32 (of 32-bit little-endian ids), parity, and on request
+    decoded_text, what the ids decode to, by the same codec in the same pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, verify)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for batch in parts(whole, 1):
                 done = list(codec.encode([t or "" for t in batch.column(1).to_pylist()]))
                 ids = [d[0] for d in done]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))),
-                        pa.array(np.diff(ends).astype(np.int64)),
-                        pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()),
-                        pa.array([d[1] for d in done]),
-                    ],
-                    ["doc_id", "ids", "n_ids", "ids_crc32", "parity"],
-                )
-
+                columns = {
+                    "doc_id": batch.column(0),
+                    "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))),
+                    "n_ids": pa.array(np.diff(ends).astype(np.int64)),
+                    "ids_crc32": pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()),
+                    "parity": pa.array([d[1] for d in done]),
+                }
+                if decode:
+                    columns["decoded_text"] = pa.array([codec.decode(i.tolist()) for i in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids long, ids_crc32 long, parity boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids long, ids_crc32 long, parity boolean" + ", decoded_text string" * decode)
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
@@ -248,8 +257,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, False)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for batch in parts(whole, whole.schema.get_field_index("ids")):
                 ids = batch["ids"]
                 off, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)  # of the whole batch
                 out = [codec.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(off, off[1:], ids.is_valid().to_pylist())]

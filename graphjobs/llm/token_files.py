@@ -11,17 +11,20 @@ a temporary name and moved, so a repeated task replaces its file by an equal one
 cluster's shared one, reached through ``pyarrow.fs``.
 
 Texts are encoded whole. The tokenizer splits at white space, so its ids for a text are the ids of
-the text's words in order; each worker encodes a distinct word once, and keeps at most ``CACHE`` words.
-A vocabulary without this property is encoded text by text (``by_word=False``).
+the text's words in order; each worker encodes a distinct word once, and keeps at most ``CACHE`` bytes of
+them. Whether a tokenizer has this property is checked where it is read (``splits_at_space``); texts of one
+without it are encoded whole, as are all with ``by_word=False``.
 
 Null text counts as empty (the end id only); null doc_id sorts first; rows with equal doc_id sort by
-a hash of their text. Empty table: no rows.
+a hash of their text. Further columns aren't read, whatever their names. Very long texts are encoded and
+written whole. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 import uuid
 import zlib
@@ -35,11 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import bounded_batches, materialise, new_path, parts
 
 BLOCK = 1 << 16
 MAGIC = b"IDPACK01"
-CACHE = 1_500_000
+CACHE = 160 << 20  # bytes of known words, about
 TOGETHER = 200
 
 
@@ -143,14 +146,50 @@ class Reader:
         return self.ids(int(self.ends[k]), int(self.ends[k + 1]))
 
 
+def _skips_space(pattern: str | None) -> bool:
+    """Whether nothing that a pattern says can match white space: its negated classes name it, and nothing else does."""
+    if pattern is None:
+        return False
+    negated = re.findall(r"\[\^[^\]]*\]", pattern)
+    rest = re.sub(r"\[\^[^\]]*\]", "", pattern).replace("\\p{", "")
+    return all(r"\s" in c for c in negated) and not re.search(r"\s|\\[sSDWPX]|(?<!\\)\.|\\[tnrvf]", rest)
+
+
+def splits_at_space(tokenizer: str) -> bool:
+    """Whether a tokenizers file treats the words between ASCII white space independently of each other: its first
+    pre-tokenizer drops white space, its normalisers look at characters and their marks only, nothing is put in front
+    or cut off, and no added token holds white space or takes it along."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def steps(part: dict | None, name: str) -> list[dict]:
+        if part is None:
+            return []
+        return [y for x in part[name] for y in steps(x, name)] if part["type"] == "Sequence" else [part]
+
+    before, cuts = steps(spec.get("normalizer"), "normalizers"), steps(spec.get("pre_tokenizer"), "pretokenizers")
+    kept = {"Lowercase", "NFC", "NFD", "NFKC", "NFKD", "StripAccents", "Replace"}
+    # a replacement may only make one space of white space
+    plain = all(x["type"] in kept and (x["type"] != "Replace" or x.get("content") == " " and x["pattern"].get("Regex") in (r"\s+", r"\s")) for x in before)
+    dropped = bool(cuts) and (
+        cuts[0]["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+        or cuts[0]["type"] == "Split" and cuts[0].get("behavior") == "Removed" and bool(cuts[0].get("invert")) and _skips_space(cuts[0]["pattern"].get("Regex"))
+    )
+    later = all(not x.get("add_prefix_space") for x in cuts)
+    alone = not any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens") or [])
+    return plain and dropped and later and alone
+
+
 class WordEncoder:
     """Ids of texts by a tokenizers file, each distinct word encoded once."""
 
-    def __init__(self, tokenizer: str, by_word: bool = True):
+    def __init__(self, tokenizer: str, by_word: bool | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(tokenizer), by_word, {}
+        if by_word is None:
+            by_word = splits_at_space(tokenizer)
+        self.tokenizer, self.by_word, self.known, self.held = Tokenizer.from_file(tokenizer), by_word, {}, 0
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
         vocab = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda v: v[1])
         self.last = np.array([bool(suffix) and t.endswith(suffix) for t, _ in vocab])
@@ -191,8 +230,11 @@ class WordEncoder:
         # without markup of special tokens, ids depend on the text in lower case if the tokenizer lowers it
         split = [(t.lower() if self.lowers and b"<|" not in t else t).split() for t in texts]
         new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(set().union(*split))
+        size = sum(map(len, new)) * 2 + 200 * len(new)  # a word, its ids and their places in the table
+        if self.held + size > CACHE and self.known:
+            self.known, self.held, new = {}, 0, list(set().union(*split))
+            size = sum(map(len, new)) * 2 + 200 * len(new)
+        self.held += size
         plain = [w for w in new if b"<|" not in w]
         for lo in range(0, len(plain), TOGETHER * 50):
             self._learn(plain[lo : lo + TOGETHER * 50])
@@ -203,24 +245,24 @@ class WordEncoder:
 
 
 @lru_cache(2)
-def _encoder(tokenizer: str, by_word: bool) -> WordEncoder:
+def _encoder(tokenizer: str, by_word: bool | None) -> WordEncoder:
     """One per worker process: later tasks find the words that earlier ones met."""
     return WordEncoder(tokenizer, by_word)
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text", by_word: bool = True
+    docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text", by_word: bool | None = None
 ) -> DataFrame:
     """Encode and write; the manifest: path, start (ids in earlier files), documents, ids per file."""
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, writer = TaskContext.get().partitionId(), None, None
         name = f"{path}/part-{part:06d}.ids"
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for batch in parts(whole, 1):
                 encoder = encoder or _encoder(tokenizer, by_word)
                 writer = writer or Writer(name, max(encoder.width, int(end_id).bit_length()))
                 texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
@@ -265,4 +307,5 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return manifest.select("path", "start").repartition(F.col("path")).mapInArrow(run, schema)
+    # an explicit number of partitions, which adaptive execution keeps: a task for each file
+    return manifest.select("path", "start").repartition(max(1, manifest.count())).mapInArrow(run, schema)
