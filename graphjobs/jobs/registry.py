@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.tables import materialise
+from ..functions.tables import materialise, shared_dir
 from ..operators import graph as G
 from ..operators import placement as P
 from ..operators import propagate as N
@@ -17,6 +18,7 @@ from ..operators import relabel as L
 from ..operators import sampling as M
 from ..operators import scoring as E
 from ..operators import stats as A
+from ..sources import readers as S
 from . import fixtures as X
 from . import workloads as W
 
@@ -173,6 +175,44 @@ query(
     ", l0 AS (SELECT DISTINCT node, 1.0::DOUBLE AS score FROM buffer), l1 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l0 ON src = node GROUP BY dst), l2 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l1 ON src = node GROUP BY dst) SELECT 0 AS level, node FROM l0 UNION ALL (SELECT 1, node FROM l1 WHERE score > 0 ORDER BY score DESC, node LIMIT 8192) UNION ALL (SELECT 2, node FROM l2 WHERE score > 0 ORDER BY score DESC, node LIMIT 8192)",
 )(lambda s, d: N.skewed_node_sets(X.g_next(s, d), X.nodes(s, d), _snake(s, d)[0], 3))
 
+# sources: tables written in the readers' formats and read back
+def _written(s, df: DataFrame, fmt: str) -> str:
+    path = f"{shared_dir(s)}/source-{uuid.uuid4().hex}"
+    df.write.format(fmt).option("header", True).save(path)
+    return path
+
+
+for _fmt in ("csv", "json", "parquet"):
+    query(f"s1_read_edges_{_fmt}", "SELECT * FROM e")(lambda s, d, fmt=_fmt: S.read_edges(s, _written(s, X.g_next(s, d), fmt), fmt))
+query("s3_read_features", "SELECT node, round(list_sum(list_transform(features, lambda v, i: v::DOUBLE * i)), 4) AS whole FROM feat")(
+    lambda s, d: S.read_features(s, _written(s, X.features(s, d), "parquet")).select("node", _whole())
+)
+query("s4_read_class_map", "SELECT node, coalesce(label, -1)::INT AS label FROM lab")(
+    lambda s, d: S.read_class_map(s, _written(s, X.labels(s, d), "json"), lines=True).withColumn("label", F.coalesce("label", F.lit(-1)))
+)
+query("s5_read_index_file", "SELECT node AS id FROM train")(lambda s, d: S.read_index_file(s, _written(s, X.train(s, d).select(F.col("node").cast("string")), "text")))
+
+
+@query("s6_save_or_load", "SELECT node, round(score, 6) AS score FROM score")
+def _s6(s, d):
+    """Made and written once, and found the second time."""
+    folder = f"{shared_dir(s)}/results-{uuid.uuid4().hex}"
+    S.save_or_load(lambda: _scores(s, d), s, folder, {"k": 3})
+    return _r(S.save_or_load(lambda: 1 / 0, s, folder, {"k": 3}), "score")
+
+
+query("s7_label_coverage", "SELECT (SELECT count(*) FROM n WHERE node NOT IN (SELECT doc_id FROM labels)) AS missing, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT node FROM n)) AS extra")(
+    lambda s, d: S.label_coverage(X.nodes(s, d), X.table(s, d, "labels").withColumnRenamed("doc_id", "node"))
+)
+
+
+@query("s8_write_buffers", "SELECT device, slot, buffer.node, round(list_sum(list_transform(features, lambda v, i: v::DOUBLE * i)), 4) AS whole FROM buffer JOIN feat ON feat.node = buffer.node")
+def _s8(s, d):
+    path = f"{shared_dir(s)}/buffers-{uuid.uuid4().hex}"
+    S.write_buffers(_snake(s, d)[0], X.features(s, d), path)
+    return s.read.parquet(path).select("device", "slot", "node", _whole())
+
+
 # placement
 _SLICE = "SELECT (rank // rows)::INT AS device, (rank % rows)::INT AS slot, node FROM (SELECT node, row_number() OVER (ORDER BY {}) - 1 AS rank FROM n), size WHERE rank < 4 * rows"
 query("p1_buffer_rows", "SELECT rows FROM size")(lambda s, d: X.nodes(s, d).agg(F.lit(_rows(s, d)).cast("long").alias("rows")))

@@ -17,13 +17,14 @@ def aggregate_neighbors(e: DataFrame, x: DataFrame, nodes: DataFrame | None = No
     out = segment_vector_sum(step.select(F.col("src").alias("node"), "weight", "x"), ["node"], "weight", "x", salt)
     if nodes is None:
         return out
-    zero = x.limit(1).select(F.transform("x", lambda v: F.lit(0.0)).alias("_zero"))
+    # one row, also where x has none
+    zero = x.limit(1).agg(F.max(F.size("x")).alias("_d")).select(F.array_repeat(F.lit(0.0), F.coalesce("_d", F.lit(0))).alias("_zero"))
     return nodes.select("node").join(out, "node", "left").join(F.broadcast(zero)).select("node", F.coalesce("x", "_zero").alias("x"))
 
 
-def aggregate_transposed(e: DataFrame, g: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def aggregate_transposed(e: DataFrame, g: DataFrame, nodes: DataFrame | None = None, salt: int = 1) -> DataFrame:
     """The same along reversed edges."""
-    return aggregate_neighbors(transpose(e), g, nodes)
+    return aggregate_neighbors(transpose(e), g, nodes, salt)
 
 
 def aggregate_neighbors_by_columns(e: DataFrame, x: DataFrame, dims: int) -> DataFrame:

@@ -69,10 +69,16 @@ def save_or_load(make: Callable[[], DataFrame], spark: SparkSession, folder: str
     return spark.read.parquet(path)
 
 
+def label_coverage(n: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: missing, the nodes without a label, and extra, the labels without a node."""
+    a = n.select("node").distinct().withColumn("known", F.lit(True))
+    b = labels.select("node").distinct().withColumn("labelled", F.lit(True))
+    return a.join(b, "node", "full_outer").agg(F.count_if(F.col("labelled").isNull()).alias("missing"), F.count_if(F.col("known").isNull()).alias("extra"))
+
+
 def check_label_coverage(n: DataFrame, labels: DataFrame) -> None:
     """Fails with counts unless labels cover the nodes exactly."""
-    a, b = n.select("node").distinct(), labels.select("node").distinct()
-    missing, extra = a.join(b, "node", "left_anti").count(), b.join(a, "node", "left_anti").count()
+    missing, extra = label_coverage(n, labels).first()
     if missing or extra:
         raise ValueError(f"{missing} nodes without a label, {extra} labels without a node")
 
