@@ -369,6 +369,13 @@ def _v10(s, d):
     return _spread(E.sampled_infer(materialise(blocks, "blocks"), sets, _inputs(s, d), layers, [1, 0], head), "scores", "batch_id", "node")
 
 
+@query("v10_sampled_infer_gcn")
+def _v10_gcn(s, d):
+    layers, head = E.encoder_params([64, 16], [1, 0], 10, "gcn")
+    blocks, sets = M.layerwise_sample(X.g_next(s, d), _batches(s, d), [256, 256], [1, 0], X.SEED)
+    return _spread(E.sampled_infer(materialise(blocks, "blocks"), sets, _inputs(s, d), layers, [1, 0], head, "gcn"), "scores", "batch_id", "node")
+
+
 _PRED = ", y AS (SELECT node, c, x, ((node + c) % 3 = 0)::INT AS y FROM pred) "
 
 

@@ -67,11 +67,13 @@ def gcn_infer(e: DataFrame, x: DataFrame, layers: list[dict], orders: list[int],
     return _head(x, head)
 
 
-def sampled_infer(blocks: DataFrame, layer_nodes: DataFrame, x: DataFrame, layers: list[dict], orders: list[int], head: dict) -> DataFrame:
-    """(batch_id, node, scores) of each batch's seeds from sampled blocks; layer t uses block t."""
-    deepest = min(t for t, o in enumerate(orders) if o)
+def sampled_infer(blocks: DataFrame, layer_nodes: DataFrame, x: DataFrame, layers: list[dict], orders: list[int], head: dict, kind: str = "graphsage") -> DataFrame:
+    """(batch_id, node, scores) of each batch's seeds from sampled blocks; layer t uses block t. kind: graphsage or gcn.
+    Where all orders are 0 there are no blocks, and layer_nodes holds the seeds."""
+    used = [t for t, o in enumerate(orders) if o]
     key = ["batch_id", "node"]
-    h = layer_nodes.where(F.col("layer") == deepest).select(*key).join(x, "node").select(*key, "x")
+    start = layer_nodes.where(F.col("layer") == used[0]) if used else layer_nodes
+    h = start.select(*key).distinct().join(x, "node").select(*key, "x")
     for t, (p, order) in enumerate(zip(layers, orders)):
         if not order:
             h = elu_and_norm(linear(h, "x", *_dense(p, "w")), "x", p.get("scale"), p.get("offset"))
@@ -80,12 +82,13 @@ def sampled_infer(blocks: DataFrame, layer_nodes: DataFrame, x: DataFrame, layer
         step = block.join(h.select("batch_id", F.col("node").alias("dst"), "x"), ["batch_id", "dst"])
         agg = segment_vector_sum(step.select("batch_id", F.col("src").alias("node"), "value", "x"), key, "value", "x")
         prev = layer_nodes.where((F.col("layer") == t) & F.col("is_prev")).select(*key)
-        own = linear(prev.join(h, key), "x", *_dense(p, "self"))
         zero = [0.0] * p["w.w"].shape[1]
         agg = prev.join(agg, key, "left").withColumn("x", F.coalesce("x", F.array(*map(F.lit, zero))))
-        agg = linear(agg, "x", *_dense(p, "w")).withColumnRenamed("x", "_agg")
-        h = own.join(agg, key).select(*key, F.concat("x", "_agg").alias("x"))
-        h = materialise(elu_and_norm(h, "x", p.get("scale"), p.get("offset")), "layer")
+        agg = linear(agg, "x", *_dense(p, "w"))
+        if kind == "graphsage":
+            own = linear(prev.join(h, key), "x", *_dense(p, "self"))
+            agg = own.join(agg.withColumnRenamed("x", "_agg"), key).select(*key, F.concat("x", "_agg").alias("x"))
+        h = materialise(elu_and_norm(agg, "x", p.get("scale"), p.get("offset")), "layer")
     return _head(h, head)
 
 

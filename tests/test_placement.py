@@ -41,7 +41,7 @@ def plain(scores, devices, rows, alpha):
 
 @pytest.mark.parametrize(("devices", "rows", "alpha"), [(2, 3, 0.0), (2, 3, 0.5), (2, 3, 1e9), (2, 2, 0.5), (2, 2, 0.9), (3, 2, 0.0)])
 def test_hot_replicated(spark, scores, devices, rows, alpha):
-    buffer, location = P.place_hot_replicated(scores, devices, rows, alpha)
+    buffer, location = P.place_hot_replicated(scores, devices, rows, alpha, "exact")
     buffers, seen = plain(SCORES, devices, rows, alpha)
     got = {(r.device, r.slot): r.node for r in buffer.collect()}
     assert got == {(d, s): v for d in range(devices) for s, v in enumerate(buffers[d])}
@@ -51,7 +51,7 @@ def test_hot_replicated(spark, scores, devices, rows, alpha):
 
 
 def test_known_buffers(spark, scores):
-    buffer, _ = P.place_hot_replicated(scores, 3, 2, 0.0)
+    buffer, _ = P.place_hot_replicated(scores, 3, 2, 0.0, "exact")
     assert [[r.node for r in buffer.where(f"device = {d}").orderBy("slot").collect()] for d in range(3)] == [[2, 1], [5, 0], [3, 4]]
 
 
@@ -59,7 +59,7 @@ def test_exact_balance_on_random_scores(spark):
     rng = np.random.default_rng(3)
     values = [round(float(x), 6) for x in rng.random(60)]
     df = spark.createDataFrame(list(enumerate(values)), "node bigint, score double")
-    buffer, _ = P.place_hot_replicated(df, 4, 9, 0.3)
+    buffer, _ = P.place_hot_replicated(df, 4, 9, 0.3, "exact")
     buffers, _ = plain(values, 4, 9, 0.3)
     assert {(r.device, r.slot): r.node for r in buffer.collect()} == {(d, s): v for d in range(4) for s, v in enumerate(buffers[d])}
 
@@ -121,7 +121,7 @@ def test_inclusion_follows_probability(spark):
 
 
 def test_movement_adds_up(spark, scores):
-    _, location = P.place_hot_replicated(scores, 2, 2, 0.0)
+    _, location = P.place_hot_replicated(scores, 2, 2, 0.0, "exact")
     inputs = spark.createDataFrame([(0, 0, i) for i in range(6)] + [(1, 1, i) for i in range(6)], "batch_id bigint, rank int, node bigint")
     for r in P.movement_report(P.resolve_location(inputs, location), 8).collect():
         assert r.local + r.remote + r.host == r.total == 6 and r.bytes == 6 * 32
@@ -140,3 +140,16 @@ def test_greedy_blocks_with_more_sets_than_a_driver_takes(spark, monkeypatch):
     """However many distinct sets of blocks there are, all are counted by tasks."""
     monkeypatch.setattr(P, "MASKS", 3, raising=False)
     test_greedy_blocks_against_sets(spark)
+
+
+def test_favoured_by_rank(spark):
+    """A worker's favoured nodes count for its own batches only."""
+    from graphjobs.operators import sampling as M
+
+    imp = spark.createDataFrame([(0, 5, 1.0), (1, 5, 1.0), (1, 6, 2.0)], "batch_id bigint, node bigint, imp double")
+    ranks = spark.createDataFrame([(0, 0), (1, 1)], "batch_id bigint, rank int")
+    own = spark.createDataFrame([(1, 5), (0, 6)], "rank int, node bigint")
+    got = {(r.batch_id, r.node): r.imp for r in M.bias_local(imp, own, 4.0, ranks).collect()}
+    assert got == {(0, 5): 1.0, (1, 5): 4.0, (1, 6): 2.0}
+    every = {(r.batch_id, r.node): r.imp for r in M.bias_local(imp, own.select("node").where("node = 5"), 4.0).collect()}
+    assert every == {(0, 5): 4.0, (1, 5): 4.0, (1, 6): 2.0}

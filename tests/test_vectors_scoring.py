@@ -74,6 +74,14 @@ def test_sampled_encoder_with_everything_drawn(spark, data):
     h = _norm(np.hstack([x @ p["self.w"].T + p["self.b"], b @ x @ p["w.w"].T + p["w.b"]]))
     assert sorted(got) == [0, 3, 5]
     assert all(np.allclose(got[k], _head(h, head)[k]) for k in got)
+    layers, head = E.encoder_params([5, 3], [1], 2, "gcn")
+    got = {r.node: r.scores for r in E.sampled_infer(blocks, sets, f, layers, [1], head, "gcn").collect()}
+    h = _norm(b @ x @ layers[0]["w.w"].T + layers[0]["w.b"])
+    assert sorted(got) == [0, 3, 5] and all(np.allclose(got[k], _head(h, head)[k]) for k in got)
+    layers, head = E.encoder_params([5, 3], [0], 2, "gcn")
+    got = {r.node: r.scores for r in E.sampled_infer(None, seeds, f, layers, [0], head, "gcn").collect()}
+    h = _norm(x @ layers[0]["w.w"].T + layers[0]["w.b"])
+    assert sorted(got) == [0, 3, 5] and all(np.allclose(got[k], _head(h, head)[k]) for k in got)
 
 
 def test_row_functions(spark, data):
