@@ -131,8 +131,8 @@ def test_pages(spark):
 def test_inclusion_follows_size(spark):
     """Documents enter the rest of a source in proportion to the digits of their sizes, near enough."""
     sizes = [1, 3, 7, 15, 31, 63] * 400
-    df = spark.createDataFrame([(i, "w " * n, "ab"[i % 12 == 0]) for i, n in enumerate(sizes)], "doc_id bigint, text string, source string")
-    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    df = spark.createDataFrame([(i, "w " * n, "ab"[i // 6 % 2]) for i, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, weight double")
     taken = {}
     for seed in (1, 2):
         for r in mixing.mix(df, weights, seed=seed).where("copies < 3").collect():
