@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter
+from . import centroids, exact_dedup, mixing, url_filter, vector_codes
+from .centroids import cluster_vectors
 from .common import table
 from .exact_dedup import exact_classes
 from .imi import embedding_classes
+from .language import learn_languages, predict_languages
 from .line_dedup import line_report
 from .ngram_join import ngram_jaccard_classes
 from .quality import fit_quality, fold, score_quality
 from .secrets import digest, scan
 from .sentencepiece_job import encode_documents
 from .token_files import read_token_files, write_token_files
+from .vector_codes import compress_vectors
 
 
 def vocabulary(name: str) -> str:
@@ -71,9 +74,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"), list(url_filter.RULES))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, learn_languages(docs))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_token_files, op3_exact_dedup, op4_sentencepiece, op5_mixing, op6_line_dedup,
     op7_ngram_join, op8_secrets, op9_quality, op10_url_filter,
+    op11_vector_codes, op12_language_id, op13_centroids,
 )}
 
-SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op10_url_filter": url_filter.SQL}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op10_url_filter": url_filter.SQL,
+    "op11_vector_codes": vector_codes.SQL, "op13_centroids": centroids.SQL,
+}
