@@ -38,6 +38,8 @@ from .integer_vectors import finite, rows_of, scaled, squares, summed_by
 SCALE, DIMS, K, ROUNDS = 64, 64, 16, 3
 BLOCK, LEAF = 4096, 64
 MOST = np.iinfo(np.int64).max
+#: A tree's arrays are written as bytes, which no encoding of the files makes small and a reader large again.
+TYPES = {"x": np.int32, "lo": np.int32, "hi": np.int32, "sums": np.int64}
 
 
 def node_ranges(n: int) -> list[tuple[int, int, int]]:
@@ -97,11 +99,9 @@ def _grow(dims: int):
             x = rows_of(batch.column(1), dims)
             order, *nodes = build_tree(x)
 
-            def one(values: pa.Array) -> pa.ListArray:
-                return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-            cols = [batch.column(0).take(pa.array(order)), pa.array(x[order].ravel(), pa.int32()), *(pa.array(n.ravel(), pa.int64()) for n in nodes)]
-            return pa.RecordBatch.from_arrays([one(c) for c in cols], ["ids", "x", "lo", "hi", "sums"])
+            ids = batch.column(0).take(pa.array(order))
+            packed = [pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in zip((x[order], *nodes), TYPES.values())]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *packed], ["ids", *TYPES])
 
         waiting: list[pa.RecordBatch] = []
         rows = 0
@@ -123,9 +123,7 @@ def _grow(dims: int):
 def _trees(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {c: batch[c][k].values for c in batch.schema.names}
-            arrays = [row[c].to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims) for c in ("x", "lo", "hi", "sums")]
-            yield row["ids"], *arrays
+            yield batch["ids"][k].values, *(np.frombuffer(batch[c][k].as_buffer(), t).astype(np.int64).reshape(-1, dims) for c, t in TYPES.items())
 
 
 def _add_up(sent, dims: int):
@@ -174,7 +172,7 @@ def cluster_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     first = rows.orderBy(hashed.asc_nulls_last(), "x").limit(k).select("x").collect()
     centroids = np.array([r.x for r in first], np.int64).reshape(-1, dims)
     kind = rows.schema["vec_id"].dataType.simpleString()
-    trees = materialise(rows.mapInArrow(_grow(dims), f"ids array<{kind}>, x array<int>, lo array<long>, hi array<long>, sums array<long>"), "trees")
+    trees = materialise(rows.mapInArrow(_grow(dims), f"ids array<{kind}>, " + ", ".join(f"{c} binary" for c in TYPES)), "trees")
     context = rows.sparkSession.sparkContext
     for _ in range(rounds if len(centroids) else 0):
         sent = context.broadcast(centroids)
