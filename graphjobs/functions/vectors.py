@@ -1,7 +1,7 @@
 """Vector columns: keyed sums, dense layers and row-wise functions.
 
-Keyed sums of weighted vectors run as numpy segment sums over key-sorted Arrow batches; a key that
-many rows share is first cut by a salt, so that no task or batch holds all of a hub's rows."""
+Keyed sums of weighted vectors run as numpy segment sums: first where the rows are read, over runs of rows of bounded
+size, so that partial sums are shuffled and not rows, then over the key-sorted partial sums."""
 
 from __future__ import annotations
 
@@ -58,16 +58,52 @@ def _segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Recor
         yield out([[k] for k in carried[0]], carried[1][None])
 
 
+#: Bytes of vectors whose rows are added up together before the shuffle.
+TOGETHER = 32 << 20
+
+
+def _partial(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sums of w * x by key over runs of rows of about ``TOGETHER`` bytes; columns are the keys, w and x."""
+
+    def out(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        names, types = waiting[0].schema.names[:keys], [f.type for f in waiting[0].schema][:keys]
+        cols = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in waiting]) for i in range(keys)]
+        x = np.concatenate([matrix(b.column(keys + 1)) * b.column(keys).to_numpy()[:, None] for b in waiting])
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        new = np.append(True, np.zeros(len(x) - 1, bool))
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        sums = np.add.reduceat(x[order], starts, axis=0)
+        return pa.RecordBatch.from_arrays([*[pa.array(c[starts].tolist(), t) for c, t in zip(cols, types)], lists(sums)], [*names, "x"])
+
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.column(keys + 1).nbytes
+            if size >= TOGETHER:
+                yield out(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield out(waiting)
+
+
 def segment_vector_sum(df: DataFrame, keys: list[str], weight: str, vec: str, salt: int = 1) -> DataFrame:
-    """(keys, x): sum of weight * vec per key. salt > 1 sums in two stages, for keys with many rows."""
+    """(keys, x): sum of weight * vec per key. Rows are added up where they are read, then partial sums by key; salt > 1
+    adds those in two stages, for keys with so many rows that their partial sums are many too."""
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    rows = df.select(*keys, F.col(weight).cast("double").alias("w"), F.col(vec).cast("array<double>").alias("v"))
+    n = len(keys)
+    rows = df.select(*keys, F.col(weight).cast("double").alias("w"), vec).mapInArrow(lambda b: _partial(b, n), f"{fields}, x array<double>")
+    one = F.lit(1.0).alias("w")
     if salt > 1:
-        rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int")).select(*keys, "_salt", "w", "v")
+        rows = rows.select(*keys, F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int").alias("_salt"), one, "x")
         first = rows.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt")
-        rows = first.mapInArrow(lambda b: _segments(b, len(keys) + 1), f"{fields}, _salt int, x array<double>").select(*keys, F.lit(1.0).alias("w"), F.col("x").alias("v"))
-    done = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return done.mapInArrow(lambda b: _segments(b, len(keys)), f"{fields}, x array<double>")
+        rows = first.mapInArrow(lambda b: _segments(b, n + 1), f"{fields}, _salt int, x array<double>")
+    done = rows.select(*keys, one, "x").repartition(*keys).sortWithinPartitions(*keys)
+    return done.mapInArrow(lambda b: _segments(b, n), f"{fields}, x array<double>")
 
 
 def linear(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray | None = None, name: str | None = None) -> DataFrame:

@@ -106,3 +106,11 @@ inputs AS (
     SELECT src, dst AS node FROM e UNION SELECT node, node FROM n) x ON x.src = b.node),
 pred AS (SELECT node, c, ((node * 31 + c * 17) % 101) / 100.0 AS x FROM n, (SELECT range AS c FROM range(10)))
 """
+
+#: Features by the train nodes' moments, as lists; continues SQL.
+SCALED = """moments AS MATERIALIZED (
+  SELECT list(m ORDER BY i) AS m, list(CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY i) AS s FROM (
+    SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM (
+      SELECT unnest(range(1, len(features) + 1)) AS i, unnest(features)::DOUBLE AS v FROM feat WHERE node % 10 <= 5) GROUP BY i)),
+scaled AS MATERIALIZED (
+  SELECT node, list_transform(range(1, len(features) + 1), lambda i: (features[i]::DOUBLE - m[i]) / s[i]) AS x FROM feat, moments)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -21,52 +21,15 @@ from ..operators import stats as A
 from ..sources import readers as S
 from . import fixtures as X
 from . import workloads as W
-
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers f(spark, d); sql continues the fixtures' common tables."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = X.SQL + ("" if sql.lstrip().startswith(",") else " ") + sql
-        return f
-
-    return add
-
-
-def _r(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in cols})
-
-
-def _scores(s, d, k: int = 3) -> DataFrame:
-    return N.access_score(G.row_normalize(X.g_next(s, d)), X.train(s, d), k)
-
-
-def _spread(df: DataFrame, vec: str, *keys: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(vec).alias("i", "v")).withColumn("v", F.round("v", 6))
-
-
-def _whole() -> Column:
-    """A number that every dimension of the features and its place count in."""
-    weighed = F.transform("features", lambda v, i: v.cast("double") * (i + 1))
-    return F.round(F.aggregate(weighed, F.lit(0.0), lambda a, v: a + v), 4).alias("whole")
-
-
-def _rows(s, d) -> int:
-    return P.buffer_rows(X.nodes(s, d), X.RATIO)
-
-
-def _snake(s, d) -> tuple[DataFrame, DataFrame]:
-    return P.place_hot_replicated(_scores(s, d), X.DEVICES, _rows(s, d), 0.5, "snake")
-
-
-def _batches(s, d) -> DataFrame:
-    return M.make_train_batches(X.train(s, d).withColumn("pos", F.col("node")), X.DEVICES, X.BATCH, X.SEED)
-
+from .register import QUERIES, SQL, query
+from .register import batches as _batches
+from .register import rounded as _r
+from .register import rows as _rows
+from .register import scores as _scores
+from .register import snake as _snake
+from .register import spread as _spread
+from .register import whole as _whole
+from .register import written as _written
 
 # edges
 query("g1_coalesce_edges", "SELECT * FROM e")(lambda s, d: G.coalesce_edges(X.g_raw(s, d)))
@@ -85,9 +48,16 @@ query("g11_intersect_count", "SELECT dst % 4 AS device, count(DISTINCT src) AS n
     lambda s, d: G.intersect_count(X.g_hub(s, d).select((F.col("dst") % 4).alias("device"), F.col("src").alias("node")), X.train(s, d))
 )
 query("g12_membership_flag", "SELECT node, node IN (SELECT node FROM train) AS is_member FROM n")(lambda s, d: G.membership_flag(X.nodes(s, d), X.train(s, d)))
-query("g13_adjacency_round_trip", "SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS at FROM e")(
-    lambda s, d: G.to_adjacency(X.g_next(s, d)).select("src", F.posexplode("nbrs").alias("at", "x")).select("src", "x.dst", "x.weight", F.col("at").cast("long").alias("at"))
+_ADJ = "SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS at FROM e"
+query("g13_adjacency_round_trip", _ADJ)(
+    lambda s, d: G.to_adjacency(X.g_next(s, d)).select("src", "piece", F.posexplode("nbrs").alias("at", "x")).select("src", "x.dst", "x.weight", (F.col("piece").cast("long") * (1 << 16) + F.col("at")).alias("at"))
 )
+query("g13_adjacency_pieces", f"SELECT src, (at // 8)::INT AS piece, count(*) AS n, min(dst) AS low, max(dst) AS high, sum(weight) AS weight FROM ({_ADJ}) GROUP BY ALL")(
+    lambda s, d: G.to_adjacency(X.g_next(s, d), 8).select(
+        "src", "piece", F.size("nbrs").cast("long").alias("n"), F.col("nbrs")[0]["dst"].alias("low"), F.element_at("nbrs", -1)["dst"].alias("high"), F.aggregate("nbrs", F.lit(0.0), lambda t, x: t + x["weight"]).alias("weight")
+    )
+)
+query("g13_from_adjacency", "SELECT * FROM e")(lambda s, d: G.from_adjacency(G.to_adjacency(X.g_next(s, d), 8)))
 query("g14_row_pointers", "SELECT node AS row, coalesce(sum(k) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, sum(k) OVER (ORDER BY node)::BIGINT AS \"end\" FROM (SELECT node, count(src) AS k FROM n LEFT JOIN e ON src = node GROUP BY node)")(
     lambda s, d: G.row_pointers(X.g_next(s, d), X.nodes(s, d))
 )
@@ -112,10 +82,9 @@ query("a5_laplacian", "SELECT src, dst, round(weight / sum(weight) OVER (PARTITI
 query("a6_zscore", "SELECT src, dst, round((weight - avg(weight) OVER ()) / stddev_pop(weight) OVER (), 6) AS z FROM e")(lambda s, d: _r(A.zscore(X.g_next(s, d), "weight").drop("weight"), "z"))
 query("a7_mean_std", "SELECT round(avg(weight), 6) AS mean, round(stddev_pop(weight), 6) AS std FROM e")(lambda s, d: _r(A.mean_std(X.g_next(s, d), "weight"), "mean", "std"))
 query("a8_skew_ratio", "SELECT round(count(*) * max(k) / sum(k), 6) AS skew_ratio FROM (SELECT count(*) AS k FROM hub GROUP BY dst)")(lambda s, d: _r(A.skew_ratio(X.g_hub(s, d), "dst"), "skew_ratio"))
-query(
-    "a9_standard_scale",
-    ", x AS MATERIALIZED (SELECT node, unnest(range(len(features)))::INT AS i, unnest(features)::DOUBLE AS v FROM feat), t AS MATERIALIZED (SELECT node FROM roles WHERE role = 'tr'), m AS MATERIALIZED (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM x SEMI JOIN t ON x.node = t.node GROUP BY i) SELECT node, x.i, round((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS v FROM x JOIN m ON x.i = m.i",
-)(lambda s, d: _spread(A.standard_scale(X.features(s, d), X.roles(s, d)), "features", "node"))
+query("a9_standard_scale", ", " + X.SCALED + " SELECT node, unnest(range(len(x)))::INT AS i, unnest(list_transform(x, lambda v: round(v, 6))) AS v FROM scaled")(
+    lambda s, d: _spread(A.standard_scale(X.features(s, d), X.roles(s, d)), "features", "node")
+)
 query("a10_num_classes", "SELECT (max(label) - min(label) + 1)::BIGINT AS num_classes FROM lab")(lambda s, d: A.num_classes(X.labels(s, d)))
 _VEC = ", x AS (SELECT label, unnest(range(len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT label, i, round({}(v), 6) AS v FROM x GROUP BY label, i"
 query("a11_vector_sum", _VEC.format("sum"))(lambda s, d: _spread(A.vector_sum(X.table(s, d, "embeddings"), "label", "embedding"), "embedding", "label"))
@@ -144,42 +113,72 @@ query("f8_split_by_position", "SELECT node, CASE WHEN row_number() OVER (ORDER B
 )
 
 # neighbourhoods
-query("n1_neighbors", "SELECT dst AS node FROM e WHERE src IN (SELECT node FROM train WHERE node % 50 = 0) GROUP BY dst HAVING sum(weight) <> 0")(lambda s, d: N.neighbors(X.g_next(s, d), X.train(s, d).where("node % 50 = 0")))
-_HOPS = ", h0 AS (SELECT node % 50 AS g, node FROM train WHERE node % 50 IN (0, 1)), h1 AS (SELECT g, dst AS node FROM h0 JOIN e ON src = node UNION SELECT * FROM h0), h2 AS (SELECT g, dst AS node FROM h1 JOIN e ON src = node UNION SELECT * FROM h1) "
-query("n2_k_hop", _HOPS.replace("IN (0, 1)", "= 0") + "SELECT node, min(hop)::INT AS hop FROM (SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node")(
-    lambda s, d: N.k_hop(X.g_next(s, d), X.train(s, d).where("node % 50 = 0"), 2)
-)
-query("n3_k_hop_by_group", _HOPS + 'SELECT g AS "group", node, min(hop)::INT AS hop FROM (SELECT g, node, 0 AS hop FROM h0 UNION ALL SELECT g, node, 1 FROM h1 UNION ALL SELECT g, node, 2 FROM h2) GROUP BY g, node')(
-    lambda s, d: N.k_hop_by_group(X.g_next(s, d), X.train(s, d).where("node % 50 in (0, 1)").select((F.col("node") % 50).alias("group"), "node"), 2)
+query("n1_neighbors", "SELECT dst AS node FROM e WHERE src IN (SELECT node FROM roles WHERE role = 'va') GROUP BY dst HAVING sum(weight) <> 0")(lambda s, d: N.neighbors(X.g_next(s, d), X.roles(s, d).where("role = 'va'")))
+_HOPS = ", h1 AS (SELECT g, dst AS node FROM h0 JOIN e ON src = node UNION SELECT * FROM h0), h2 AS (SELECT g, dst AS node FROM h1 JOIN e ON src = node UNION SELECT * FROM h1) "
+_FIRST_HOP = "node, min(hop)::INT AS hop FROM (SELECT g, node, 0 AS hop FROM h0 UNION ALL SELECT g, node, 1 FROM h1 UNION ALL SELECT g, node, 2 FROM h2) GROUP BY g, node"
+query("n2_k_hop", ", h0 AS (SELECT 0 AS g, node FROM roles WHERE role = 'te')" + _HOPS + "SELECT " + _FIRST_HOP)(lambda s, d: N.k_hop(X.g_next(s, d), X.roles(s, d).where("role = 'te'"), 2))
+query("n3_k_hop_by_group", ", h0 AS (SELECT batch_id AS g, node FROM batches)" + _HOPS + 'SELECT g AS "group", ' + _FIRST_HOP)(
+    lambda s, d: N.k_hop_by_group(X.g_next(s, d), _batches(s, d).select(F.col("batch_id").alias("group"), "node"), 2)
 )
 query("n4_propagate", "SELECT dst AS node, round(sum(node * weight), 6) AS score FROM norm JOIN n ON src = node GROUP BY dst")(lambda s, d: _r(N.propagate(X.nodes(s, d).select("node", F.col("node").cast("double").alias("score")), G.row_normalize(X.g_next(s, d))), "score"))
 query("n5_access_score", "SELECT node, round(score, 6) AS score FROM score")(lambda s, d: _r(_scores(s, d), "score"))
 _SPMM = ", x AS (SELECT node, unnest(range(len(features)))::INT AS i, unnest(features)::DOUBLE AS v FROM feat) SELECT {} AS node, i, round(sum(weight * v), 6) AS v FROM norm JOIN x ON {} = x.node GROUP BY 1, i"
-query("n6_aggregate_neighbors", _SPMM.format("src", "dst"))(lambda s, d: _spread(E.aggregate_neighbors(G.row_normalize(X.g_next(s, d)), X.features(s, d).withColumnRenamed("features", "x"), salt=4), "x", "node"))
-query("n7_aggregate_transposed", _SPMM.format("dst", "src"))(lambda s, d: _spread(E.aggregate_transposed(G.row_normalize(X.g_next(s, d)), X.features(s, d).withColumnRenamed("features", "x")), "x", "node"))
-query(
-    "n8_skewed_node_sets",
-    ", l0 AS (SELECT node, 1.0::DOUBLE AS score FROM train WHERE node % 20 = 1), l1 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l0 ON src = node GROUP BY dst), l2 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l1 ON src = node GROUP BY dst) SELECT 0 AS level, node FROM l0 UNION ALL (SELECT 1, node FROM l1 ORDER BY score DESC, node LIMIT 100) UNION ALL (SELECT 2, node FROM l2 ORDER BY score DESC, node LIMIT 100)",
-)(lambda s, d: N.skewed_node_sets(X.g_next(s, d), X.nodes(s, d), X.train(s, d).where("node % 20 = 1"), 3, 100))
+query("n6_aggregate_neighbors", _SPMM.format("src", "dst"))(lambda s, d: _spread(E.aggregate_neighbors(_normalised(s, d), X.features(s, d).withColumnRenamed("features", "x")), "x", "node"))
+query("n6_aggregate_with_hubs", ", hub_norm AS (SELECT dst AS src, src AS dst, 1.0 / count(*) OVER (PARTITION BY dst) AS weight FROM hub), x AS (SELECT node, unnest(range(len(features)))::INT AS i, unnest(features)::DOUBLE AS v FROM feat) SELECT src AS node, i, round(sum(weight * v), 6) AS v FROM hub_norm JOIN x ON dst = x.node GROUP BY 1, i")(
+    lambda s, d: _spread(_means_of_hubs(s, d), "x", "node")
+)
+query("n7_aggregate_transposed", _SPMM.format("dst", "src"))(lambda s, d: _spread(E.aggregate_transposed(_normalised(s, d), X.features(s, d).withColumnRenamed("features", "x")), "x", "node"))
+
+
+def _normalised(s, d) -> DataFrame:
+    return materialise(G.row_normalize(X.g_next(s, d)), "normalised")
+
+
+def _means_of_hubs(s, d) -> DataFrame:
+    """Means over all parts of a supplier; suppliers of more than 64 parts are cut into pieces."""
+    e = materialise(G.row_normalize(G.transpose(X.g_hub(s, d))), "normalised")
+    return E.aggregate_neighbors(e, X.features(s, d).withColumnRenamed("features", "x"), hubs=E.hub_rows(e, 64))
+
+_LEVELS = ", l1 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l0 ON src = node GROUP BY dst), l2 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l1 ON src = node GROUP BY dst) SELECT 0 AS level, node FROM l0 UNION ALL (SELECT 1, node FROM l1 WHERE score > 0 ORDER BY score DESC, node LIMIT 8192) UNION ALL (SELECT 2, node FROM l2 WHERE score > 0 ORDER BY score DESC, node LIMIT 8192)"
+query("n8_skewed_node_sets", ", l0 AS (SELECT node, 1.0::DOUBLE AS score FROM (SELECT node, row_number() OVER (ORDER BY md5('7|' || node), node) - 1 AS rank FROM n), size WHERE rank < 4 * rows)" + _LEVELS)(
+    lambda s, d: N.skewed_node_sets(X.g_next(s, d), X.nodes(s, d), P.place_random(X.nodes(s, d), X.DEVICES, _rows(s, d), X.SEED), 3)
+)
 
 # the same over the whole train set, all its blocks, and the real buffers with the production top
 query("n1_neighbors_train", "SELECT dst AS node FROM e WHERE src IN (SELECT node FROM train) GROUP BY dst HAVING sum(weight) <> 0")(lambda s, d: N.neighbors(X.g_next(s, d), X.train(s, d)))
-_ALL_HOPS = ", t AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM train), h0 AS (SELECT {} AS g, node FROM t), h1 AS (SELECT g, dst AS node FROM h0 JOIN e ON src = node UNION SELECT * FROM h0), h2 AS (SELECT g, dst AS node FROM h1 JOIN e ON src = node UNION SELECT * FROM h1) "
-_FIRST_HOP = "node, min(hop)::INT AS hop FROM (SELECT g, node, 0 AS hop FROM h0 UNION ALL SELECT g, node, 1 FROM h1 UNION ALL SELECT g, node, 2 FROM h2) GROUP BY g, node"
+_ALL_HOPS = ", t AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM train), h0 AS (SELECT {} AS g, node FROM t)" + _HOPS
+_BLOCK = "(pos // greatest(1, (SELECT count(*) FROM t) // 20))::INT"
 query("n2_k_hop_train", _ALL_HOPS.format("0") + "SELECT " + _FIRST_HOP)(lambda s, d: N.k_hop(X.g_next(s, d), X.train(s, d), 2))
-query("n3_k_hop_by_block", _ALL_HOPS.format("(pos // greatest(1, (SELECT count(*) FROM t) // 20))::INT") + 'SELECT g AS "group", ' + _FIRST_HOP)(
-    lambda s, d: N.k_hop_by_group(X.g_next(s, d), P.partition_blocks(R.rank_globally(X.train(s, d), ["node"], "pos")).select(F.col("block").alias("group"), "node"), 2)
+query("n3_k_hop_by_block", _ALL_HOPS.format(_BLOCK) + 'SELECT g AS "group", ' + _FIRST_HOP)(lambda s, d: N.k_hop_by_group(X.g_next(s, d), _block_seeds(s, d), 2))
+query("n3_k_hop_bits", _ALL_HOPS.format(_BLOCK) + 'SELECT g AS "group", ' + _FIRST_HOP)(
+    lambda s, d: N.groups_of_bits(N.k_hop_bits(X.g_next(s, d), _block_seeds(s, d).withColumn("group", F.col("group").cast("int")), 64, 2), 64)
 )
+query("n8_skewed_node_sets_buffers", ", l0 AS (SELECT DISTINCT node, 1.0::DOUBLE AS score FROM buffer)" + _LEVELS)(lambda s, d: N.skewed_node_sets(X.g_next(s, d), X.nodes(s, d), _snake(s, d)[0], 3))
 query(
-    "n8_skewed_node_sets_buffers",
-    ", l0 AS (SELECT DISTINCT node, 1.0::DOUBLE AS score FROM buffer), l1 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l0 ON src = node GROUP BY dst), l2 AS (SELECT dst AS node, sum(score * weight) AS score FROM loops JOIN l1 ON src = node GROUP BY dst) SELECT 0 AS level, node FROM l0 UNION ALL (SELECT 1, node FROM l1 WHERE score > 0 ORDER BY score DESC, node LIMIT 8192) UNION ALL (SELECT 2, node FROM l2 WHERE score > 0 ORDER BY score DESC, node LIMIT 8192)",
-)(lambda s, d: N.skewed_node_sets(X.g_next(s, d), X.nodes(s, d), _snake(s, d)[0], 3))
+    "n8_skewed_node_sets_by_rank",
+    ", l0 AS (SELECT DISTINCT device, node, 1.0::DOUBLE AS score FROM buffer), l1 AS (SELECT device, dst AS node, sum(score * weight) AS score FROM loops JOIN l0 ON src = node GROUP BY ALL), l2 AS (SELECT device, dst AS node, sum(score * weight) AS score FROM loops JOIN l1 ON src = node GROUP BY ALL), every AS (SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1 WHERE score > 0 UNION ALL SELECT 2, * FROM l2 WHERE score > 0) SELECT level, device AS rank, node FROM every QUALIFY level = 0 OR row_number() OVER (PARTITION BY level, device ORDER BY score DESC, node) <= 8192",
+)(lambda s, d: N.skewed_node_sets_by_rank(X.g_next(s, d), X.nodes(s, d), _snake(s, d)[0].withColumnRenamed("device", "rank"), 3))
+
+
+def _block_seeds(s, d) -> DataFrame:
+    """(group, node): the train set's blocks."""
+    return P.partition_blocks(R.rank_globally(X.train(s, d), ["node"], "pos")).select(F.col("block").alias("group"), "node")
+
 
 # sources: tables written in the readers' formats and read back
-def _written(s, df: DataFrame, fmt: str) -> str:
-    path = f"{shared_dir(s)}/source-{uuid.uuid4().hex}"
-    df.write.format(fmt).option("header", True).save(path)
-    return path
+PIECE = 500
+
+
+def _objects(labels: DataFrame) -> DataFrame:
+    """JSON objects of ids and labels, some hundreds of ids each."""
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "label")))
+    return labels.groupBy(F.floor(F.col("node") / PIECE).alias("piece")).agg(F.to_json(pairs).alias("value")).select("value")
+
+
+def _role_objects(s, d) -> DataFrame:
+    """Objects of id lists by role, some hundreds of ids each."""
+    lists = [F.collect_list(F.when(F.col("role") == r, F.col("node"))).alias(r) for r in ("tr", "va", "te")]
+    return X.roles(s, d).groupBy(F.floor(F.col("node") / PIECE).alias("piece")).agg(*lists).drop("piece")
 
 
 for _fmt in ("csv", "json", "parquet"):
@@ -190,6 +189,11 @@ query("s3_read_features", "SELECT node, round(list_sum(list_transform(features,
 query("s4_read_class_map", "SELECT node, coalesce(label, -1)::INT AS label FROM lab")(
     lambda s, d: S.read_class_map(s, _written(s, X.labels(s, d), "json"), lines=True).withColumn("label", F.coalesce("label", F.lit(-1)))
 )
+query("s4_read_class_map_object", "SELECT node, coalesce(label, -1)::INT AS label FROM lab")(
+    lambda s, d: S.read_class_map(s, _written(s, _objects(X.labels(s, d).withColumn("label", F.coalesce("label", F.lit(-1)))), "text", maxRecordsPerFile=1))
+)
+query("s2_read_roles", "SELECT node, role FROM roles")(lambda s, d: S.read_roles(s, _written(s, _role_objects(s, d), "json", maxRecordsPerFile=1)))
+query("s2_read_roles_lines", "SELECT node, role FROM roles")(lambda s, d: S.read_roles(s, _written(s, X.roles(s, d), "json"), lines=True))
 query("s5_read_index_file", "SELECT node AS id FROM train")(lambda s, d: S.read_index_file(s, _written(s, X.train(s, d).select(F.col("node").cast("string")), "text")))
 
 
@@ -231,12 +235,6 @@ _BLK = ", t AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM t
 query("p6_partition_blocks", _BLK + "SELECT pos, node, (pos // greatest(1, (SELECT count(*) FROM t) // 20))::INT AS block FROM t")(lambda s, d: P.partition_blocks(R.rank_globally(X.train(s, d), ["node"], "pos")))
 
 
-def _greedy(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    train = materialise(R.rank_globally(X.train(s, d), ["node"], "pos"), "train")
-    return P.place_greedy_blocks(X.g_next(s, d), train, _scores(s, d), X.DEVICES, _rows(s, d), X.nodes(s, d).count(), 1)
-
-
-query("p7_assign_blocks_greedy")(lambda s, d: _greedy(s, d)[2].groupBy("block", "device").agg(F.count("*").alias("n")))
 query("p8_top_rows_per_device", "SELECT device, slot::INT AS slot, node FROM (SELECT dst % 4 AS device, src AS node, row_number() OVER (PARTITION BY dst % 4 ORDER BY coalesce(round(any_value(score), 12), 0) DESC, src) - 1 AS slot FROM hub LEFT JOIN score ON node = src GROUP BY 1, 2), size WHERE slot < rows")(
     lambda s, d: P.top_rows_per_device(X.g_hub(s, d).select((F.col("dst") % 4).alias("device"), F.col("src").alias("node")), _scores(s, d), _rows(s, d))
 )
@@ -284,21 +282,6 @@ _IMP = ", imp AS (SELECT batch_id, dst AS node, count(*)::DOUBLE AS imp FROM bat
 query("m1_layer_importance", _IMP + "SELECT * FROM imp")(lambda s, d: M.layer_importance(X.g_next(s, d), _batches(s, d)))
 query("m2_bias_local", _IMP + "SELECT batch_id, node, imp * CASE WHEN node % 5 = 0 THEN 4.0 ELSE 1.0 END AS imp FROM imp")(lambda s, d: M.bias_local(M.layer_importance(X.g_next(s, d), _batches(s, d)), X.nodes(s, d).where("node % 5 = 0"), 4.0))
 query("m3_to_probability", _IMP + "SELECT batch_id, node, round(p, 9) AS p FROM prob")(lambda s, d: _r(M.to_probability(M.layer_importance(X.g_next(s, d), _batches(s, d))).select("batch_id", "node", "p"), "p", places=9))
-_DRAW = (
-    _IMP
-    + ", key AS (SELECT batch_id, node, p, round(-ln((('0x' || substr(md5('7|' || batch_id || '|0|' || node), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / p, 9) AS key FROM prob WHERE p > 0), drawn AS (SELECT batch_id, node FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY key, node) AS r FROM key) WHERE r <= 128), every AS (SELECT batch_id, node FROM drawn UNION SELECT batch_id, node FROM batches), s AS (SELECT batch_id, least(count(*) FILTER (p > 0), 128) AS s FROM prob GROUP BY batch_id) "
-)
-query("m4_weighted_sample", _DRAW + "SELECT * FROM drawn")(lambda s, d: M.weighted_sample_without_replacement(M.to_probability(M.layer_importance(X.g_next(s, d), _batches(s, d))), 128, X.SEED).select("batch_id", "node"))
-query(
-    "m5_sampled_layer",
-    _DRAW
-    + ", pos AS (SELECT batch_id, node, row_number() OVER (PARTITION BY batch_id ORDER BY node) - 1 AS pos FROM every), fp AS (SELECT batch_id, node, row_number() OVER (PARTITION BY batch_id ORDER BY node) - 1 AS pos FROM batches) SELECT f.batch_id, e.src, e.dst, f.pos AS src_pos, k.pos AS dst_pos, round(1.0 / least(greatest(s * p, 1e-10), 1) / (SELECT count(*) FROM e x WHERE x.src = e.src), 6) AS value FROM fp f JOIN e ON e.src = f.node JOIN pos k ON k.batch_id = f.batch_id AND k.node = e.dst JOIN prob ON prob.batch_id = f.batch_id AND prob.node = e.dst JOIN s ON s.batch_id = f.batch_id",
-)(lambda s, d: _r(M.sampled_layer(X.g_next(s, d), _batches(s, d), 128, X.SEED, 0)[0], "value"))
-query("m5_sampled_layer_nodes", _DRAW + "SELECT every.batch_id, every.node, row_number() OVER (PARTITION BY every.batch_id ORDER BY every.node) - 1 AS pos, b.node IS NOT NULL AS is_prev, round(coalesce(p, 0), 9) AS prob FROM every LEFT JOIN batches b ON b.batch_id = every.batch_id AND b.node = every.node LEFT JOIN prob ON prob.batch_id = every.batch_id AND prob.node = every.node")(
-    lambda s, d: _r(M.sampled_layer(X.g_next(s, d), _batches(s, d), 128, X.SEED, 0)[1], "prob", places=9)
-)
-query("m6_layerwise_sample")(lambda s, d: _r(M.layerwise_sample(X.g_next(s, d), _batches(s, d), [128, 128, 128], [1, 0, 1], X.SEED)[0], "value"))
-query("m7_subgraph_sample")(lambda s, d: _r(M.subgraph_sample(X.g_next(s, d), _batches(s, d), 128, [1, 1], X.SEED)[0], "value"))
 query("m8_make_train_batches", "SELECT * FROM batches")(_batches)
 query("m8_local_shuffle", _BLK + ", q AS (SELECT node, pos // chunk AS c, row_number() OVER (ORDER BY pos // chunk, md5('7|0|' || node), node) - 1 AS r FROM t, chunk) SELECT (r // chunk) * per + (r % chunk) // 512 AS batch_id, (r // chunk)::INT AS rank, ((r % chunk) % 512)::INT AS pos, node FROM q, chunk")(
     lambda s, d: M.make_train_batches(R.rank_globally(X.train(s, d), ["node"], "pos"), X.DEVICES, X.BATCH, X.SEED, local_shuffle=True)
@@ -307,7 +290,6 @@ query("m9_sample_validation", "SELECT node FROM roles WHERE role = 'va' ORDER BY
 query("m10_make_test_batches", "SELECT r // 64 AS batch_id, (r % 64)::INT AS pos, node FROM (SELECT node, row_number() OVER (ORDER BY node) - 1 AS r FROM roles WHERE role = 'te')")(
     lambda s, d: M.make_test_batches(R.rank_globally(X.roles(s, d).where("role = 'te'").select("node"), ["node"], "pos"), 64)
 )
-query("m11_batch_inputs", _DRAW + "SELECT batch_id, count(*) AS n FROM every GROUP BY batch_id")(lambda s, d: M.batch_inputs(M.layerwise_sample(X.g_next(s, d), _batches(s, d), [128], [1], X.SEED)[1]).groupBy("batch_id").agg(F.count("*").alias("n")))
 
 # vectors and scoring
 query("v1_linear", ", x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), o AS (SELECT range AS o FROM range(8)) SELECT vec_id, o::INT AS i, round(sum(v * ((o * 7 + x.i * 13) % 19 - 9) / 50.0) + any_value((o % 5 - 2) / 10.0), 6) AS v FROM x, o GROUP BY vec_id, o")(
@@ -344,38 +326,6 @@ def _own(s, d) -> DataFrame:
     return X.table(s, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("x"))
 
 
-def _inputs(s, d) -> DataFrame:
-    return materialise(A.standard_scale(X.features(s, d), X.roles(s, d)).withColumnRenamed("features", "x"), "scaled")
-
-
-@query("v8_graphsage_infer")
-def _v8(s, d):
-    layers, head = E.encoder_params([64, 16], [1, 1], 10)
-    e = materialise(G.row_normalize(X.g_next(s, d)), "normalised")
-    return _spread(E.graphsage_infer(e, _inputs(s, d), layers, [1, 1], head), "scores", "node")
-
-
-@query("v9_gcn_infer")
-def _v9(s, d):
-    layers, head = E.encoder_params([64, 16], [1, 1], 10, "gcn")
-    e = materialise(G.laplacian(X.g_next(s, d), X.nodes(s, d)), "normalised")
-    return _spread(E.gcn_infer(e, _inputs(s, d), layers, [1, 1], head), "scores", "node")
-
-
-@query("v10_sampled_infer")
-def _v10(s, d):
-    layers, head = E.encoder_params([64, 16], [1, 0], 10)
-    blocks, sets = M.layerwise_sample(X.g_next(s, d), _batches(s, d), [256, 256], [1, 0], X.SEED)
-    return _spread(E.sampled_infer(materialise(blocks, "blocks"), sets, _inputs(s, d), layers, [1, 0], head), "scores", "batch_id", "node")
-
-
-@query("v10_sampled_infer_gcn")
-def _v10_gcn(s, d):
-    layers, head = E.encoder_params([64, 16], [1, 0], 10, "gcn")
-    blocks, sets = M.layerwise_sample(X.g_next(s, d), _batches(s, d), [256, 256], [1, 0], X.SEED)
-    return _spread(E.sampled_infer(materialise(blocks, "blocks"), sets, _inputs(s, d), layers, [1, 0], head, "gcn"), "scores", "batch_id", "node")
-
-
 _PRED = ", y AS (SELECT node, c, x, ((node + c) % 3 = 0)::INT AS y FROM pred) "
 
 
@@ -402,20 +352,5 @@ query("e5_weighted_mean_f1", "SELECT round(sum(f1 * k) / sum(k), 6) AS f1 FROM (
 )
 
 
-# whole jobs
-@query("w2_locality_job")
-def _w2(s, d):
-    return W.locality_job(X.g_next(s, d), X.train(s, d).withColumn("pos", F.col("node")), _snake(s, d)[1], X.DEVICES, X.BATCH, [256, 256], [1, 1], X.SEED, 64)
-
-
-@query("w2_locality_job_favoured")
-def _w2_favoured(s, d):
-    """Every worker favours what it holds, and what is often met from there."""
-    edges = X.g_next(s, d)
-    buffer, location = _snake(s, d)
-    favoured = W.favoured_nodes(edges, X.nodes(s, d), buffer, X.DEVICES, 2)
-    return W.locality_job(edges, X.train(s, d).withColumn("pos", F.col("node")), location, X.DEVICES, X.BATCH, [256, 256], [1, 1], X.SEED, 64, favoured, 4.0)
-
-
-query("w3_scoring_job")(lambda s, d: _r(W.scoring_job(X.g_next(s, d), X.features(s, d), X.roles(s, d), X.labels(s, d), 16, [1, 1], 10), "micro", "macro"))
-query("w4_greedy_buffers")(lambda s, d: _greedy(s, d)[0])
+# queries with longer SQL
+from . import encoder_queries, greedy_queries, sampling_queries  # noqa: E402, F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +23,10 @@ def batch_closures(edges: DataFrame, batches: DataFrame) -> DataFrame:
     return reach.join(batches.select("batch_id", "rank").distinct(), "batch_id")
 
 
-def favoured_nodes(edges: DataFrame, nodes: DataFrame, buffer: DataFrame, devices: int, layers: int, top: int = 8192) -> list[DataFrame]:
+def favoured_nodes(edges: DataFrame, nodes: DataFrame, buffer: DataFrame, layers: int, top: int = 8192) -> list[DataFrame]:
     """For each layer, 0 the input side, (rank, node): what each worker holds, and what is often met from there."""
-    by_worker = []
-    for rank in range(devices):
-        held = buffer.where(F.col("device") == rank)
-        by_worker.append(propagate.skewed_node_sets(edges, nodes, held, layers, top).withColumn("rank", F.lit(rank)))
-    every = materialise(reduce(DataFrame.unionByName, by_worker), "favoured")
+    held = buffer.select(F.col("device").alias("rank"), "node")
+    every = materialise(propagate.skewed_node_sets_by_rank(edges, nodes, held, layers, top), "favoured")
     return [every.where(F.col("level") == layer).select("rank", "node") for layer in range(layers)]
 
 

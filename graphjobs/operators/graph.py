@@ -73,12 +73,21 @@ def membership_flag(every: DataFrame, subset: DataFrame, name: str = "is_member"
     return every.join(known, "node", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def to_adjacency(e: DataFrame) -> DataFrame:
-    """(src, nbrs): neighbours with weights, by dst."""
-    return e.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("nbrs"))
+def to_adjacency(e: DataFrame, longest: int = 1 << 16) -> DataFrame:
+    """(src, piece, nbrs): neighbours with weights, by dst, in pieces of at most ``longest``, numbered from 0.
+
+    A hub's row is never one value nor sorted in one task: entries are ranked over all rows in range partitions, which
+    cut between a row's entries too, and an entry's place in its row says which piece it belongs to."""
+    from .ranking import rank_globally
+
+    ranked = rank_globally(e.select(*EDGE), ["src", "dst", "weight"], "_rank")
+    first = ranked.groupBy("src").agg(F.min("_rank").alias("_first"))
+    piece = F.floor((F.col("_rank") - F.col("_first")) / longest).cast("int").alias("piece")
+    return ranked.join(first, "src").groupBy("src", piece).agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("nbrs"))
 
 
 def from_adjacency(a: DataFrame) -> DataFrame:
+    """Edges of adjacency rows, in pieces or whole."""
     return a.select("src", F.explode("nbrs").alias("x")).select("src", "x.dst", "x.weight")
 
 

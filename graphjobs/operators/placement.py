@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bitsets
 from ..functions.tables import materialise
-from .propagate import k_hop_by_group
+from .propagate import k_hop_bits, k_hop_by_group
 from .ranking import rank_globally
 
 HOST = -1
@@ -124,14 +125,14 @@ def partition_blocks(train: DataFrame, nblocks: int = 20) -> DataFrame:
 
 
 def _greedy(masks: DataFrame, blocks: int, devices: int, total: int) -> list[int]:
-    """Worker of each block, from masks(mask, n), counts of nodes by the set of blocks that reach them.
+    """Worker of each block, from masks(sets, n), counts of nodes by the set of blocks that reach them.
     A pass over that table gives a block's overlaps and the workers' sizes in one row."""
 
     def count(cond) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
 
-    def meets(bits: int) -> Column:
-        return F.col("mask").bitwiseAND(F.lit(bits).cast("long")) != 0
+    def meets(numbers: int) -> Column:
+        return bitsets.meets(F.col("sets"), numbers)
 
     reached = masks.agg(*[count(meets(1 << b)) for b in range(blocks)]).first()
     owned, load, owner = [0] * devices, np.ones(devices), []
@@ -149,22 +150,34 @@ def _greedy(masks: DataFrame, blocks: int, devices: int, total: int) -> list[int
 
 
 def assign_blocks_greedy(e: DataFrame, blocks: DataFrame, devices: int, total: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(assignment(block, device), reach(block, node)): blocks in order go to the worker with most
-    overlap * free space / load.
+    """(assignment(block, device), reach(node, sets)): blocks in order go to the worker with most
+    overlap * free space / load. Any number of blocks; sets are bit sets of blocks.
 
-    One grouped closure finds what each block reaches; per node the blocks become a bit mask, and the
-    counts by mask stay a table: the driver sees one row of numbers per block."""
-    reach = k_hop_by_group(e, blocks.select(F.col("block").alias("group"), "node"), k).select(F.col("group").alias("block"), "node")
-    reach = materialise(reach, "reach")
+    One closure over bit sets finds which blocks reach each node, and the counts by set stay a table: the driver sees one
+    row of numbers per block. Where weights are below 0 a neighbour counts by its group's sum, so the closure runs in
+    rows by block and node, and becomes bits after it."""
     nblocks = blocks.agg(F.max("block")).first()[0] + 1
-    if nblocks > 63:
-        raise ValueError("at most 63 blocks")
-    one = F.expr("shiftleft(1L, block)")
-    masks = materialise(reach.groupBy("node").agg(F.bit_or(one).alias("mask")).groupBy("mask").agg(F.count("*").alias("n")), "masks")
+    words = bitsets.words_for(nblocks)
+    e, seeds = materialise(e.select("src", "dst", "weight"), "edges"), blocks.select(F.col("block").alias("group"), "node")
+    if e.where("weight < 0").isEmpty():
+        rows = k_hop_bits(e, seeds, nblocks, k).select("node", F.col("sets").alias("s"))
+    else:
+        rows = k_hop_by_group(e, seeds, k).select("node", bitsets.single(F.col("group"), words).alias("s"))
+    reach = materialise(rows.groupBy("node").agg(bitsets.union_all(F.col("s"), words).alias("sets")), "reach")
+    masks = materialise(reach.groupBy("sets").agg(F.count("*").alias("n")), "masks")
     owner = _greedy(masks, nblocks, devices, total)
     return e.sparkSession.createDataFrame(list(enumerate(owner)), "block int, device int"), reach
 
 
+def nodes_of_devices(reach: DataFrame, owner: DataFrame, devices: int) -> DataFrame:
+    """(device, node): the nodes that any block of each worker reaches, from reach(node, sets) and owner(block, device)."""
+    own = [0] * devices
+    for r in owner.collect():  # a row a block
+        own[r.device] |= 1 << r.block
+    held = F.filter(F.array(*[F.when(bitsets.meets(F.col("sets"), o), F.lit(d)) for d, o in enumerate(own)]), lambda d: d.isNotNull())
+    return reach.select(F.explode(held).alias("device"), "node")
+
+
 def top_rows_per_device(device_nodes: DataFrame, scores: DataFrame, rows: int) -> DataFrame:
     """(device, slot, node): each worker's best-scored nodes of its own set, ties by id."""
     have = device_nodes.select("device", "node").distinct().join(scores, "node", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 12))
@@ -179,8 +192,7 @@ def place_greedy_blocks(e: DataFrame, train: DataFrame, scores: DataFrame, devic
     """(buffer, location, train_assign(node, pos, block, device)); a worker sees its own buffer only."""
     blocks = materialise(partition_blocks(train, nblocks), "blocks")
     owner, reach = assign_blocks_greedy(e, blocks, devices, total, k)
-    owner = F.broadcast(owner)  # 63 rows at most
-    buffer = materialise(top_rows_per_device(reach.join(owner, "block"), scores, rows), "buffers")
+    buffer = materialise(top_rows_per_device(nodes_of_devices(reach, owner, devices), scores, rows), "buffers")
     return buffer, location_table(buffer, devices, shared=False), blocks.join(owner, "block")
 
 

@@ -35,3 +35,12 @@ def top_k_per_group(df: DataFrame, group: str, k: int, score: str = "score", nod
     """The k largest scores of each group, with their 0-based slot."""
     order = Window.partitionBy(group).orderBy(F.desc(score), node)
     return df.withColumn("slot", F.row_number().over(order) - 1).where(F.col("slot") < k)
+
+
+def top_of_groups(df: DataFrame, group: str, order: list[str | Column], k: int, name: str = "slot") -> DataFrame:
+    """The first k rows of each group in this order, with their 0-based place. For any k and any size of group: rows are
+    ranked over all groups in range partitions, so that no group meets in one task."""
+    ranked = rank_globally(df, [group, *order], "_rank")
+    first = ranked.groupBy(F.col(group).alias("_group")).agg(F.min("_rank").alias("_first"))
+    kept = ranked.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, (F.col("_rank") - F.col("_first")).cast("int"))
+    return kept.where(F.col(name) < k).drop("_rank", "_group", "_first")

@@ -8,12 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import materialise
+from ..functions.tables import is_written, materialise, scratch
 from .graph import induced_subgraph
 from .placement import hash_order
 from .ranking import rank_globally
 
 
+#: Slices of a draw's key for each doubling of it.
+SLICES = 32
+
+
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) from the first 52 bits of the md5 of the parts."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")
@@ -46,12 +50,23 @@ def to_probability(imp: DataFrame) -> DataFrame:
 
 def weighted_sample_without_replacement(df: DataFrame, k: int, seed: int, layer: int = 0) -> DataFrame:
     """min(k, nodes with p > 0) nodes per batch, drawn by p: the k smallest of -ln(u) / p
-    (Efraimidis and Spirakis 2006), the same distribution as successive draws."""
+    (Efraimidis and Spirakis 2006), the same distribution as successive draws. df is read twice.
+
+    The k smallest are found without sorting a batch: tasks count candidates by (batch, slice of the key), 2,000 slices a
+    batch at most, whose counts combine before the shuffle. The running count finds the slice of each batch's cut; candidates
+    before it are taken where they are read, and only those in the cut's slice, some hundredths of k, are ranked."""
     u = uniform(F.lit(seed), F.col("batch_id"), F.lit(layer), F.col("node"))
-    key = F.round(-F.log(u) / F.col("p"), 9)
-    order = Window.partitionBy("batch_id").orderBy("key", "node")
-    drawn = df.where("p > 0").withColumn("key", key).withColumn("_r", F.row_number().over(order))
-    return drawn.where(F.col("_r") <= k).drop("_r", "key")
+    keyed = df.where("p > 0").withColumn("_key", F.round(-F.log(u) / F.col("p"), 9))
+    keyed = keyed.withColumn("_slice", F.floor(F.log2(F.greatest("_key", F.lit(1e-9))) * SLICES).cast("int"))
+    counts = keyed.groupBy("batch_id", "_slice").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("batch_id").orderBy("_slice"))
+    cuts = counts.withColumn("_upto", upto).where(F.col("_upto") > k).groupBy("batch_id")
+    cuts = materialise(cuts.agg(F.min(F.struct("_slice", (F.col("_upto") - F.col("_n")).alias("before"))).alias("_cut")), "cuts")
+    placed = keyed.join(cuts, "batch_id", "left")
+    early = placed.where(F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut._slice")))
+    order = Window.partitionBy("batch_id").orderBy("_key", "node")
+    edge = placed.where(F.col("_slice") == F.col("_cut._slice")).withColumn("_r", F.row_number().over(order) + F.col("_cut.before")).where(F.col("_r") <= k)
+    return early.unionByName(edge.drop("_r")).drop("_key", "_slice", "_cut")
 
 
 def _factors(p: DataFrame, k: int, floor: float) -> DataFrame:
@@ -70,6 +85,12 @@ def sampled_layer(
     block(batch_id, src, dst, src_pos, dst_pos, value): frontier rows by kept columns, value = 1 over
     the stored entries of the whole row, times the column's factor. nodes(batch_id, node, pos, is_prev,
     prob): the drawn nodes and the frontier."""
+    prev, nodes = _drawn_nodes(e, frontier, k, seed, layer, favoured, factor, prob_floor, ranks)
+    return _block(e, prev, nodes, row_entries(e) if entries is None else entries), nodes.drop("factor")
+
+
+def _drawn_nodes(e: DataFrame, frontier: DataFrame, k: int, seed: int, layer: int, favoured: DataFrame | None, factor: float, prob_floor: float, ranks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(the distinct frontier, the layer's nodes with pos, is_prev, prob and factor)."""
     imp = layer_importance(e, frontier)
     if favoured is not None:
         imp = bias_local(imp, favoured, factor, ranks)
@@ -77,14 +98,13 @@ def sampled_layer(
     drawn = weighted_sample_without_replacement(p, k, seed, layer).select("batch_id", "node")
     prev = frontier.select("batch_id", "node").distinct()
     every = drawn.union(prev).distinct()
-    order = Window.partitionBy("batch_id").orderBy("node")
+    order = Window.partitionBy("batch_id").orderBy("node")  # of at most k and the frontier's rows
     nodes = every.join(prev.withColumn("is_prev", F.lit(True)), ["batch_id", "node"], "left").join(_factors(p, k, prob_floor), ["batch_id", "node"], "left")
     nodes = nodes.select(
         "batch_id", "node", (F.row_number().over(order) - 1).cast("long").alias("pos"), F.coalesce("is_prev", F.lit(False)).alias("is_prev"),
         F.coalesce("p", F.lit(0.0)).alias("prob"), F.coalesce("factor", F.lit(1 / prob_floor)).alias("factor"),
     )
-    nodes = materialise(nodes, "layer")
-    return _block(e, prev, nodes, row_entries(e) if entries is None else entries), nodes.drop("factor")
+    return prev, materialise(nodes, "layer")
 
 
 def row_entries(e: DataFrame) -> DataFrame:
@@ -105,11 +125,11 @@ def _block(e: DataFrame, rows: DataFrame, nodes: DataFrame, full: DataFrame) ->
 
 
 def layerwise_sample(
-    e: DataFrame, batches: DataFrame, ks: list[int], orders: list[int], seed: int, favoured: list[DataFrame] | None = None, factor: float = 1.0
+    e: DataFrame, batches: DataFrame, ks: list[int], orders: list[int], seed: int, favoured: list[DataFrame] | None = None, factor: float = 1.0, entries: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(blocks, layer_nodes) with a layer column, 0 the input side; layers of order 0 have no block. favoured has a
-    (node) or (rank, node) table for each layer."""
-    ranks, entries = _ranks(batches), materialise(row_entries(e), "entries")  # counted once for all layers
+    (node) or (rank, node) table for each layer; entries are the ``row_entries`` of e, counted once for all layers."""
+    ranks, entries = _ranks(batches), materialise(row_entries(e), "entries") if entries is None else entries
     frontier, blocks, sets = batches.select("batch_id", "node"), None, None
     for d, order in enumerate(reversed(orders)):
         if order == 0:
@@ -130,32 +150,41 @@ def subgraph_sample(e: DataFrame, batches: DataFrame, k: int, orders: list[int],
     have the floor's factor there, which is large."""
     first = next(d for d, o in enumerate(reversed(orders)) if o)
     top = len(orders) - 1 - first
-    imp = layer_importance(e, batches)
-    if favoured is not None:
-        imp = bias_local(imp, favoured, factor, _ranks(batches))
-    p = materialise(to_probability(imp), "probabilities")
-    prev = batches.select("batch_id", "node").distinct()
-    every = weighted_sample_without_replacement(p, k, seed, top).select("batch_id", "node").union(prev).distinct()
-    order = Window.partitionBy("batch_id").orderBy("node")
-    nodes = every.join(prev.withColumn("is_prev", F.lit(True)), ["batch_id", "node"], "left").join(_factors(p, k, prob_floor), ["batch_id", "node"], "left")
-    nodes = nodes.select(
-        "batch_id", "node", (F.row_number().over(order) - 1).cast("long").alias("pos"), F.coalesce("is_prev", F.lit(False)).alias("is_prev"),
-        F.coalesce("p", F.lit(0.0)).alias("prob"), F.coalesce("factor", F.lit(1 / prob_floor)).alias("factor"),
-    )
-    nodes = materialise(nodes, "layer")
-    inside = materialise(induced_subgraph(e, nodes.select("node").distinct()), "induced")
-    full = e.groupBy("src").agg(F.count("*").alias("_n"))
-    src = nodes.select("batch_id", F.col("node").alias("src"), F.col("pos").alias("src_pos"))
-    dst = nodes.select("batch_id", F.col("node").alias("dst"), F.col("pos").alias("dst_pos"), "factor")
-    low = src.join(inside, "src").join(dst, ["batch_id", "dst"]).join(full, "src").select("batch_id", "src", "dst", "src_pos", "dst_pos", (F.col("factor") / F.col("_n")).alias("value"))
-    blocks = _block(e, prev, nodes).withColumn("layer", F.lit(top))
+    prev, nodes = _drawn_nodes(e, batches, k, seed, top, favoured, factor, prob_floor, _ranks(batches))
+    entries = materialise(row_entries(e), "entries")
+    blocks = _block(e, prev, nodes, entries).withColumn("layer", F.lit(top))
     sets = nodes.drop("factor").withColumn("layer", F.lit(top))
+    if top:
+        inside = materialise(induced_subgraph(e, nodes.select("node").distinct()), "induced")
+        low = _block(inside, nodes, nodes, entries)
     for layer in range(top):
         blocks = blocks.unionByName(low.withColumn("layer", F.lit(layer)))
         sets = sets.unionByName(nodes.drop("factor").withColumn("is_prev", F.lit(True)).withColumn("layer", F.lit(layer)))
     return blocks, sets
 
 
+def sample_in_waves(e: DataFrame, batches: DataFrame, path: str, waves: int, ks: list[int], orders: list[int], seed: int, favoured: list[DataFrame] | None = None, factor: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """``layerwise_sample`` of an epoch by waves of its batches, batch_id modulo ``waves``, under a path of the caller's:
+    blocks/wave=n and layer_nodes/wave=n. (blocks, layer_nodes) of all waves, with a wave column.
+
+    The rows between frontiers and importances are many times the sample, so a wave bounds the disk that they take: its
+    intermediate tables go as soon as its sample is written. A wave that is written to its end is not made again, so a
+    stopped job goes on where it was; as draws are hashes of batch and node, the waves together are the sample that
+    one job makes. A path holds one epoch: the same batches, edges and parameters."""
+    spark, root = e.sparkSession, path.rstrip("/")
+    with scratch(spark):
+        entries = materialise(row_entries(e), "entries")
+        for wave in range(waves):
+            to = [f"{root}/{name}/wave={wave}" for name in ("blocks", "layer_nodes")]
+            if all(is_written(spark, p) for p in to):
+                continue
+            with scratch(spark):
+                own = batches.where(F.pmod("batch_id", F.lit(waves)) == wave)
+                for made, p in zip(layerwise_sample(e, own, ks, orders, seed, favoured, factor, entries), to):
+                    made.write.mode("overwrite").parquet(p)
+    return spark.read.parquet(f"{root}/blocks"), spark.read.parquet(f"{root}/layer_nodes")
+
+
 def make_train_batches(train: DataFrame, world: int, batch: int, seed: int, epoch: int = 0, local_shuffle: bool = False) -> DataFrame:
     """(batch_id, rank, pos, node): every train node once; a chunk of ceil(T / world) per worker.
 

@@ -11,10 +11,34 @@ from ..functions.vectors import concat_self_and_neighbors, elu_and_norm, l2_norm
 from .graph import transpose
 
 
-def aggregate_neighbors(e: DataFrame, x: DataFrame, nodes: DataFrame | None = None, salt: int = 1) -> DataFrame:
-    """(node, x): sum over edges of weight * x[dst]. With nodes, those without edges get zeros."""
-    step = e.join(x.select(F.col("node").alias("dst"), "x"), "dst")
-    out = segment_vector_sum(step.select(F.col("src").alias("node"), "weight", "x"), ["node"], "weight", "x", salt)
+#: Edges of a row from which on it is cut into pieces.
+HUB = 1 << 20
+
+
+def hub_rows(e: DataFrame, most: int = HUB) -> DataFrame:
+    """(src, pieces): the rows of more than ``most`` edges, and into how many pieces they are cut. Mostly none; at most one
+    row for ``most`` edges."""
+    counts = e.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return materialise(counts.select("src", F.ceil(F.col("n") / most).cast("int").alias("pieces")), "hubs")
+
+
+def aggregate_neighbors(e: DataFrame, x: DataFrame, nodes: DataFrame | None = None, hubs: DataFrame | None = None) -> DataFrame:
+    """(node, x): sum over edges of weight * x[dst]. With nodes, those without edges get zeros.
+
+    Vectors are added up by row where the join makes them, and only partial sums move. The degree table ``hubs``, by
+    default ``hub_rows(e)``, says which rows are cut into pieces by a hash of dst; their pieces' sums are added in a
+    second stage, which other rows don't go through."""
+    hubs = hub_rows(e) if hubs is None else hubs
+    vectors = x.select(F.col("node").alias("dst"), "x")
+    if hubs.isEmpty():
+        step = e.join(vectors, "dst")
+        out = segment_vector_sum(step.select(F.col("src").alias("node"), "weight", "x"), ["node"], "weight", "x")
+    else:
+        cut = e.join(hubs, "src", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("dst"), "pieces").cast("int"), F.lit(-1)))
+        step = cut.join(vectors, "dst").select(F.col("src").alias("node"), "piece", "weight", "x")
+        pieces = materialise(segment_vector_sum(step, ["node", "piece"], "weight", "x"), "pieces")
+        whole = segment_vector_sum(pieces.where("piece >= 0").select("node", F.lit(1.0).alias("weight"), "x"), ["node"], "weight", "x")
+        out = pieces.where("piece < 0").select("node", "x").unionByName(whole)
     if nodes is None:
         return out
     # one row, also where x has none
@@ -22,9 +46,9 @@ def aggregate_neighbors(e: DataFrame, x: DataFrame, nodes: DataFrame | None = No
     return nodes.select("node").join(out, "node", "left").join(F.broadcast(zero)).select("node", F.coalesce("x", "_zero").alias("x"))
 
 
-def aggregate_transposed(e: DataFrame, g: DataFrame, nodes: DataFrame | None = None, salt: int = 1) -> DataFrame:
+def aggregate_transposed(e: DataFrame, g: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """The same along reversed edges."""
-    return aggregate_neighbors(transpose(e), g, nodes, salt)
+    return aggregate_neighbors(transpose(e), g, nodes)
 
 
 def aggregate_neighbors_by_columns(e: DataFrame, x: DataFrame, dims: int) -> DataFrame:
@@ -52,17 +76,17 @@ def _head(x: DataFrame, head: dict) -> DataFrame:
 
 def graphsage_infer(e: DataFrame, x: DataFrame, layers: list[dict], orders: list[int], head: dict) -> DataFrame:
     """(node, scores) of all nodes, layer by layer over all neighbours, without dropout."""
-    nodes = x.select("node")
+    nodes, hubs = x.select("node"), hub_rows(e)
     for p, order in zip(layers, orders):
-        x = materialise(_sage_layer(x, aggregate_neighbors(e, x, nodes) if order else None, p), "layer")
+        x = materialise(_sage_layer(x, aggregate_neighbors(e, x, nodes, hubs) if order else None, p), "layer")
     return _head(x, head)
 
 
 def gcn_infer(e: DataFrame, x: DataFrame, layers: list[dict], orders: list[int], head: dict) -> DataFrame:
     """The same without the self branch; e is the normalised A + I."""
-    nodes = x.select("node")
+    nodes, hubs = x.select("node"), hub_rows(e)
     for p, order in zip(layers, orders):
-        agg = aggregate_neighbors(e, x, nodes) if order else x
+        agg = aggregate_neighbors(e, x, nodes, hubs) if order else x
         x = materialise(elu_and_norm(linear(agg, "x", *_dense(p, "w")), "x", p.get("scale"), p.get("offset")), "layer")
     return _head(x, head)
 

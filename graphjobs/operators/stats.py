@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import segment_vector_sum
+from ..functions.vectors import lists, matrix, segment_vector_sum
 
 SALT = 16
+#: Tasks that merge partial moments before the last one.
+GROUPS = 32
 
 
 def mean_std(df: DataFrame, col: str) -> DataFrame:
@@ -27,16 +32,59 @@ def skew_ratio(df: DataFrame, key: str) -> DataFrame:
     return k.agg((F.count("*") * F.max("count") / F.sum("count")).alias("skew_ratio"))
 
 
-def standard_scale(features: DataFrame, roles: DataFrame, vec: str = "features") -> DataFrame:
-    """Each dimension by the mean and population std of the train nodes; a std of 0 divides by 1.
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a task's vectors: their number n, mean and m2, the sum of squared distances from the mean."""
+    kept: tuple | None = None
+    for batch in batches:
+        if batch.num_rows:
+            x = matrix(batch.column(0))
+            mean = x.mean(0)
+            kept = _merged(kept, (len(x), mean, ((x - mean) ** 2).sum(0)))
+    if kept:
+        yield _as_row(kept)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of moments as one."""
+    kept: tuple | None = None
+    for batch in batches:
+        if batch.num_rows:
+            for n, mean, m2 in zip(batch["n"].to_pylist(), matrix(batch["mean"]), matrix(batch["m2"])):
+                kept = _merged(kept, (n, mean, m2))
+    if kept:
+        yield _as_row(kept)
+
+
+def _merged(a: tuple | None, b: tuple) -> tuple:
+    """Two parts' moments as those of the whole (Chan, Golub and LeVeque 1979)."""
+    if a is None:
+        return b
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + apart * apart * (a[0] * b[0] / n)
+
 
-    Moments come from one aggregate over exploded dimensions with map-side combine, so its shuffle
-    holds one row per task and dimension; they return as two arrays in one broadcast row."""
+def _as_row(kept: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kept[0]], pa.int64()), lists(kept[1][None]), lists(kept[2][None])], ["n", "mean", "m2"])
+
+
+MOMENTS = "n long, mean array<double>, m2 array<double>"
+
+
+def vector_moments(df: DataFrame, vec: str) -> DataFrame:
+    """At most one row (n, mean, m2) of equal-length vectors: a task hands on one row for all that it reads, and ``GROUPS``
+    tasks merge those before the last one does. No value is exploded, and no pass subtracts large sums."""
+    partial = df.where(F.col(vec).isNotNull()).select(vec).mapInArrow(_moments, MOMENTS)
+    return partial.repartition(GROUPS).mapInArrow(_merge, MOMENTS).repartition(1).mapInArrow(_merge, MOMENTS)
+
+
+def standard_scale(features: DataFrame, roles: DataFrame, vec: str = "features") -> DataFrame:
+    """Each dimension by the mean and population std of the train nodes; a std of 0 divides by 1. The moments are one row.
+    Without train nodes all vectors are null."""
     train = features.join(roles.where("role = 'tr'").select("node"), "node", "left_semi")
-    moments = train.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    fitted = moments.agg(F.array_sort(F.collect_list(F.struct("i", "m", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("s")))).alias("_fit"))
-    x = F.zip_with(F.col(vec), F.col("_fit"), lambda v, f: (v.cast("double") - f["m"]) / f["s"])
-    return features.join(F.broadcast(fitted)).withColumn(vec, x).drop("_fit")
+    spread = F.transform("m2", lambda q: F.when(q == 0, 1.0).otherwise(F.sqrt(q / F.col("n"))))
+    fitted = vector_moments(train, vec).select(F.col("mean").alias("_mean"), spread.alias("_std"))
+    x = F.zip_with(F.zip_with(F.col(vec), F.col("_mean"), lambda v, m: v.cast("double") - m), F.col("_std"), lambda v, s: v / s)
+    return features.join(F.broadcast(fitted), F.lit(True), "left").withColumn(vec, x).drop("_mean", "_std")
 
 
 def _known(label: str):

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import is_written
+
 EDGES = "src bigint, dst bigint, weight double"
 
 
@@ -27,8 +29,10 @@ def read_edges(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return df.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"))
 
 
-def read_roles(spark: SparkSession, path: str) -> DataFrame:
-    """(node, role) from one JSON object of id lists, tr, va and te."""
+def read_roles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(node, role) from JSON objects of id lists, tr, va and te, one a file, or, at scale, from JSON lines of (node, role)."""
+    if lines:
+        return spark.read.schema("node bigint, role string").json(path)
     df = spark.read.schema("tr array<bigint>, va array<bigint>, te array<bigint>").json(path, multiLine=True)
     parts = [df.select(F.explode(r).alias("node"), F.lit(r).alias("role")) for r in ("tr", "va", "te")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -63,8 +67,7 @@ def save_or_load(make: Callable[[], DataFrame], spark: SparkSession, folder: str
     """The result stored under these parameters; made and written if there is none."""
     key = hashlib.sha256(repr(sorted(params.items())).encode()).hexdigest()[:24]
     path = f"{folder.rstrip('/')}/{key}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not is_written(spark, path):
         make().write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
