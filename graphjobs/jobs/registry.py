@@ -52,7 +52,7 @@ _ADJ = "SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY ds
 query("g13_adjacency_round_trip", _ADJ)(
     lambda s, d: G.to_adjacency(X.g_next(s, d)).select("src", "piece", F.posexplode("nbrs").alias("at", "x")).select("src", "x.dst", "x.weight", (F.col("piece").cast("long") * (1 << 16) + F.col("at")).alias("at"))
 )
-query("g13_adjacency_pieces", f"SELECT src, (at // 8)::INT AS piece, count(*) AS n, min(dst) AS low, max(dst) AS high, sum(weight) AS weight FROM ({_ADJ}) GROUP BY ALL")(
+query("g13_adjacency_pieces", f"SELECT src, (\"at\" // 8)::INT AS piece, count(*) AS n, min(dst) AS low, max(dst) AS high, sum(weight) AS weight FROM ({_ADJ}) GROUP BY ALL")(
     lambda s, d: G.to_adjacency(X.g_next(s, d), 8).select(
         "src", "piece", F.size("nbrs").cast("long").alias("n"), F.col("nbrs")[0]["dst"].alias("low"), F.element_at("nbrs", -1)["dst"].alias("high"), F.aggregate("nbrs", F.lit(0.0), lambda t, x: t + x["weight"]).alias("weight")
     )
