@@ -4,11 +4,11 @@ streaming over key-sorted Arrow batches. Everything here keeps memory bounded by
 from __future__ import annotations
 
 import gc
+import threading
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +27,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables written by materialise, in order.
-written: list[str] = []
+class _Written(threading.local):
+    """Paths of the tables that a thread's materialise wrote, in order."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+written = _Written()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +43,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The table stays while the application may read it; ``drop_tables`` removes it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    written.append(path)
+    written.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,10 +64,11 @@ def release(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
-def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
-    """Arrow batches of at most so many bytes, where the session sets no bound of its own: rows are whole texts."""
+def bounded_batches(spark: SparkSession, most: int = 64 << 20) -> None:
+    """Has the session hand rows to Python in Arrow batches of at most so many bytes, as rows are whole texts; a smaller
+    bound, such as Spark's own, stays. ``parts`` cuts a batch further where it is worked on."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > most * 8:
+    if int(spark.conf.get(key).rstrip("bB")) > most:
         spark.conf.set(key, most)
 
 
@@ -87,18 +94,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def place_of_row() -> Column:
-    """Where a row of a file stands: the hash of the file's path and the row's number in it."""
-    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-
-
 def numbered(docs: DataFrame, row: str) -> DataFrame:
-    """docs with a long that tells rows apart, the same in every pass: a hash of file and place in it where docs come from
-    files as they are, else a number that is written with them."""
-    try:
-        return docs.withColumn(row, F.xxhash64(place_of_row()))
-    except AnalysisException:
-        return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    """docs, written with a long that tells rows apart. Rows are told apart however docs were made: by steps that multiply
+    them, from a file that is read twice, or from no file. A row's number is the same in every pass that reads this table."""
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -171,7 +171,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, grp, first, n, sha, text): the window's group of each row; n and text on one row of it."""
     base, group = TaskContext.get().partitionId() << 33, 0
     names = ["doc_id", "grp", "first", "n", "least", "sha", "text"]
-    trie, rows, heads = Trie(1 << 62), [], []
+    trie, rows, heads, kept = Trie(1 << 62), [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         out = []
@@ -195,11 +195,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not owner[2]:
                 owner[2].append(group)
                 heads.append((hashlib.sha256(key).hexdigest(), key))
+                kept += len(key)  # a common beginning is one label in the trie, but each text is whole here
                 group += 1
             rows.append((doc_id, owner))
-            if trie.held > WINDOW or len(rows) >= 200_000:
+            if trie.held + kept > WINDOW or len(rows) >= 200_000:
                 yield from flush()
-                trie, rows, heads, start = Trie(1 << 62), [], [], group
+                trie, rows, heads, kept, start = Trie(1 << 62), [], [], 0, group
     if rows:
         yield from flush()
 

@@ -13,11 +13,12 @@ nearest to the target.
 The cut is found without ranking a source in one place: sizes are summed by (source, slice of the rank
 key), a window over at most ``SLICES`` rows per source finds the slice of the cut, the same is done with
 that slice's own slices, and only the last one's documents, one in millions, are ranked. The uniform
-number is a hash of seed and doc_id, so reruns agree and the work is one pass of text and narrow shuffles.
+number is a hash of seed, doc_id and text, and ties of the ranking go by doc_id, size and that number, so reruns agree
+on any partitioning. The work is one pass of text and narrow shuffles.
 
-Null text has size 0. Null source is a source of its own, last in order; null doc_id draws like an
-empty id. Documents of size 0 are taken 0 words of. Repeated rows are separate documents with equal
-draws. Very long texts are counted whole. Further columns aren't read, whatever their names, but those
+Null text has size 0 and draws like an empty one. Null source is a source of its own, last in order; null doc_id draws
+like an empty id, and ranks last among ties. Documents of size 0 are taken 0 words of. Rows that share a doc_id draw for
+themselves; rows that share their text too are alike in all, so that it shows in no result which of them is taken. Very long texts are counted whole. Further columns aren't read, whatever their names, but those
 in ``keep``, which must not be called like a result. Empty table: empty result.
 """
 
@@ -33,10 +34,11 @@ SLICES = 4096
 MOST = 3
 
 
-def uniform(seed: int, doc_id: Column) -> Column:
-    """A number in (0, 1) from the first 52 bits of an md5."""
-    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(4503599627370496.0)
+def uniform(seed: int, doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the first 52 bits of an md5 of the seed, the id and the text's md5."""
+    mark = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    told = F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), mark)
+    return (F.conv(F.substring(F.md5(told.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
 def word_count(text: Column) -> Column:
@@ -91,7 +93,7 @@ def mix(
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, copies, taken, and the columns in keep.
     weights: (source, weight), every source once; without it ``cyclic_weights``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *keep)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), uniform(seed, F.col(doc_id), F.col(text)).alias("u"), *keep)
     rows = materialise(rows, "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * _digits(F.col("size"))).alias("digits"))
     totals = materialise(totals, "totals")
@@ -108,7 +110,6 @@ def mix(
         rows.join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
         .drop("goal_source")
         .withColumn("p", p)
-        .withColumn("u", uniform(seed, F.col("doc_id")))
         .withColumn("key", odds)
         .withColumn("slice", F.floor(F.col("key") * SLICES).cast("int"))
         .withColumn("part", F.floor((F.col("key") * SLICES - F.col("slice")) * SLICES).cast("int"))
@@ -121,7 +122,7 @@ def mix(
     drawn = drawn.join(fine, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
     at_cut = in_slice & (F.col("part") == F.col("cut_part"))
     # only the documents at the cut of each source are ranked; other rows stay out of its windows
-    order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "u").rowsBetween(Window.unboundedPreceding, -1)
     edge = drawn.where(at_cut).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.withColumn("more", (F.col("ahead") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("ahead")
     clear = drawn.where(~F.coalesce(at_cut, F.lit(False)))
@@ -135,7 +136,7 @@ def mix(
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         (('0x' || substr(md5('5|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+         (('0x' || substr(md5('5|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, sum(size * length(bin(size)))::BIGINT AS digits,
@@ -160,7 +161,7 @@ i AS (
   FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
 k AS (SELECT *, (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) AS key FROM i),
 r AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k),
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS LAST, size, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k),
 t AS (
   SELECT *, least(whole + CASE WHEN rest > 0 AND ahead + size / 2 <= rest THEN 1 ELSE 0 END, 3)::BIGINT AS copies FROM r)
 SELECT doc_id, size, source_size, target, copies, (copies * size)::BIGINT AS taken FROM t

@@ -319,7 +319,7 @@ def ngram_jaccard_classes(
         .agg(F.min("doc_id").alias("head"), F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
     )
     classes = materialise(classes, "classes")
-    entries = rows.select("doc_id", F.explode("prefix").alias("token")).repartition("token")
+    entries = rows.select("doc_id", F.explode("prefix").alias("token"))
     hosts = entries.groupBy("token").agg(F.min("doc_id").alias("host"), F.count("*").alias("k")).where("k > 1")
     near = entries.join(hosts.drop("k"), "token").where("doc_id <> host").select("host", "doc_id").distinct()
     # copies that met in lists give way to the document that stands for them

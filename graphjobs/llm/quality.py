@@ -8,7 +8,8 @@ of a batch through all trees level by level, without Python recursion.
 Null and empty texts have statistics of their own (all zero) and a score like any text. Labels that
 are null are no training rows; with fewer than two classes among the labels the score is their mean
 (0.5 without any). Null doc_id: scored, never used for training.
-Repeated rows: rows of their own; of several labels of one doc_id the greatest counts. doc_id may be of any type. Very long
+Repeated rows: scored for themselves; of the rows of one doc_id one is learned from, that of the least statistics, so that
+the driver holds at most ``SAMPLE`` rows; of several labels of one doc_id the greatest counts. doc_id may be of any type. Very long
 texts are counted whole. Further columns pass through. Empty table: no rows.
 """
 
@@ -180,7 +181,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
                 ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([batch["place"], batch["y"], pa.ListArray.from_arrays(ends, flat)], ["place", "y", "x"])
 
-    got = rows.mapInArrow(run, "place long, y int, x array<double>").orderBy("place", "x").collect()
+    # one row of each doc_id, that of the least statistics, so that the driver gets at most ``sample``
+    each = rows.mapInArrow(run, "place long, y int, x array<double>").groupBy("place").agg(F.min(F.struct("x", "y")).alias("least"))
+    got = each.select("place", "least.*").orderBy("place").limit(sample).collect()
     x = np.array([r.x for r in got]).reshape(-1, len(FEATURES))
     return Trees(**params).fit(x, np.array([r.y for r in got], float))
 

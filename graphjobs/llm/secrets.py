@@ -3,7 +3,9 @@
 Base patterns find assigned secrets, access keys and long hex strings. The method adds strings that a
 vocabulary learned from ordinary text compresses badly: runs of ``[A-Za-z0-9+/_=-]`` of ``LEAST``
 characters or more whose characters per token fall below ``RATIO``, and where a run as a whole doesn't,
-the stretches of its parts (between separators) that do. Excluded are known digests and identifiers (hex
+the stretches of its parts (between separators) that do. Runs of ``SHORT`` characters or more, but fewer than
+``LEAST``, have too few tokens for that: they must hold a digit and ``LETTERS`` letters too, and stay below
+``SHORT_RATIO``. Excluded are known digests and identifiers (hex
 of a digest's length, UUIDs, pure numbers, words joined by one kind of separator whose characters per
 token are many) and runs that overlap a base span. Texts are read whole; no text is cut, whatever its length.
 
@@ -32,7 +34,9 @@ ASSIGN_WORDS = re.compile(r"(?ai:passw|secret|token|api)")
 
 LEAST = 20
 RATIO = 1.9
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+SHORT, SHORT_RATIO, LETTERS = 12, 1.7, 3
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORT)
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 UUID = re.compile(r"(?ai:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})")
 DIGEST = re.compile(r"(?ai:[0-9a-f]+)")
 #: Lengths in hex digits of md5, sha1, sha224, sha256, sha384 and sha512.
@@ -118,6 +122,11 @@ def _stretches(run: str, ranks: str, ratio: float) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def short_secret(run: str, ranks: str) -> bool:
+    """The test of runs of fewer than ``LEAST`` characters."""
+    return bool(DIGIT.search(run)) and len(LETTER.findall(run)) >= LETTERS and len(run) < SHORT_RATIO * _tokens(run, ranks)
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], ranks: str, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     """Runs, or stretches of runs, whose characters per token are few, outside the base spans."""
     found, at, reach = [], 0, 0  # reach: the end of all base spans that begin before the run does
@@ -125,7 +134,13 @@ def random_spans(text: str, base: list[tuple[int, int, str]], ranks: str, ratio:
         s, e = m.span()
         while at < len(base) and base[at][0] < e:
             reach, at = max(reach, base[at][1]), at + 1
-        if reach > s or excluded(m[0], ranks, ratio):
+        if reach > s:
+            continue
+        if e - s < LEAST:
+            if short_secret(m[0], ranks):
+                found.append((s, e, "random"))
+            continue
+        if excluded(m[0], ranks, ratio):
             continue
         known = any(_known(p) for p in PART.findall(m[0]))
         if not known and len(m[0]) < ratio * _tokens(m[0], ranks):

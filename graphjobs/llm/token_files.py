@@ -6,7 +6,8 @@ hold the vocabulary), each block padded to a whole byte; then the index: doc_id
 the byte offset of each block and the end (uint64); then a JSON footer, its length (uint32) and the
 magic. Any range of ids is read by seeking to its blocks and unpacking them with numpy.
 
-Files hold documents in ascending doc_id order, one file per range partition. They are written under
+Files hold documents in ascending doc_id order, one file per range partition; rows that share a doc_id, or have none, are
+cut by a hash of their text, so that no writer gets all of them. They are written under
 a temporary name and moved, so a repeated task replaces its file by an equal one; the folder is the
 cluster's shared one, reached through ``pyarrow.fs``.
 
@@ -275,7 +276,8 @@ def write_token_files(
             yield pa.RecordBatch.from_arrays(cols, ["part", "path", "documents", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     files = materialise(rows.mapInArrow(run, "part long, path string, documents long, ids long"), "manifest")
     start, out = 0, []
     for f in files.orderBy("part").collect():  # one short row per file
@@ -307,5 +309,5 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    # an explicit number of partitions, which adaptive execution keeps: a task for each file
-    return manifest.select("path", "start").repartition(max(1, manifest.count())).mapInArrow(run, schema)
+    # ranges of the files' starts, which all differ: as many as there are files, so that each has a task of its own
+    return manifest.select("path", "start").repartitionByRange(max(1, manifest.count()), "start").mapInArrow(run, schema)
