@@ -18,7 +18,11 @@ def value(v):
     return float(f"{v:.9g}") if isinstance(v, float) and not math.isnan(v) else v
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+#: Other columns of jobs that run here under another name.
+TWINS = {"m6_sample_in_waves_nodes", "p7_assign_blocks_greedy", "m5_sampled_layer_nodes"}
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - TWINS))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{D}/*.parquet"):
