@@ -260,32 +260,61 @@ def test_line_dedup(spark):
 
 
 def test_minima_and_blocks(spark):
-    """The minima of a line are those of its pairs of words; lines whose minima differ in fewer places than there are
-    blocks of neighbours share a key; packed minima agree where they are equal."""
-    lines = ["alpha beta gamma delta epsilon", "alpha beta gamma delta zeta", "| | | a b", "alpha beta gamma delta epsilon", "one"]
-    df = spark.createDataFrame([(7 if t == lines[0] else i, i, t) for i, t in enumerate(lines)], "h long, i long, norm string")
-    got = {r.h: r for r in line_dedup.sketches(df, F.col("i")).collect()}
-    assert got[7].occurrences == 2 and got[7].spot == 0 and len(got) == 4
-    for h, text in ((7, lines[0]), (1, lines[1]), (2, lines[2]), (4, lines[4])):
-        words = text.split(" ")
-        x = spark.createDataFrame(list(zip(words, words[1:] + [None])), "a string, b string").select(F.xxhash64("a", "b").alias("x"))
-        for i in (0, 5, line_dedup.DRAWS - 1):
-            assert got[h][f"m{i}"] == x.agg(F.min(F.xxhash64("x", F.lit(i)))).first()[0]
+    """Minima of lines are those of the set of their runs, cut in pieces or not; lines whose minima differ in fewer places
+    than a cut has blocks share a key; packed minima agree where their bytes do."""
+    texts = ["alpha beta gamma delta epsilon", "été à l'école 日本語 \U0001f600", "x" * 40, "ab cd " * 30]
+    whole = line_dedup.minima(texts, 5)
+    for text, row in zip(texts, whole):
+        runs = sorted({text[i : i + 5] for i in range(len(text) - 4)})
+        assert (line_dedup.minima(runs, 5).min(0) == row).all()
+    step, line_dedup.STEP = line_dedup.STEP, 7
+    try:
+        assert (line_dedup.minima(texts, 5) == whole).all()
+    finally:
+        line_dedup.STEP = step
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 1 << 62, (40, line_dedup.DRAWS))
+    a = rng.integers(0, 1 << 32, (40, line_dedup.DRAWS), dtype=np.uint32)
     b = a.copy()
     for row in b:
         row[rng.choice(line_dedup.DRAWS, line_dedup.DRAWS // 2 - 1, replace=False)] += 1
-    schema = "h long, n int, k int, " + ", ".join(f"m{i} long" for i in range(line_dedup.DRAWS))
-    keys, packed = [], []
-    for m in (a, b):
-        df = spark.createDataFrame([(i, 100, 20, *map(int, row)) for i, row in enumerate(m)], schema)
-        keys.append({(r.h, r.key) for r in line_dedup.keys_of(df, df.limit(0)).collect()})
-        packed.append(df.select("h", *line_dedup._packed("w")))
-    assert {h for h, _ in keys[0] & keys[1]} == set(range(40))
-    both = line_dedup._ended(packed[0], "a").join(line_dedup._ended(packed[1], "b"), F.col("h_a") == F.col("h_b"))
-    for r in both.select("h_a", line_dedup._agreeing("w").alias("n")).collect():
-        assert r.n == int((a[r.h_a, :14] == b[r.h_a, :14]).sum())
+    assert (line_dedup.block_keys(a, 0) == line_dedup.block_keys(b, 0)).any(1).all()
+    assert not np.isin(line_dedup.block_keys(a, 0), line_dedup.block_keys(a, 1)).any()
+    b = np.where(rng.random(a.shape) < 0.4, a, b ^ np.uint32(0x80))
+    names = [f"s{i}" for i in range(line_dedup.DRAWS // 8)]
+    packed = [np.ascontiguousarray(m.astype(np.uint8)).view(np.int64) for m in (a, b)]
+    rows = [(k, *map(int, packed[0][k]), *map(int, packed[1][k])) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c}_{end} long" for end in "ab" for c in names))
+    for r in df.select("k", line_dedup._agreeing("s").alias("n")).collect():
+        assert r.n == int(((a[r.k] & 255) == (b[r.k] & 255)).sum())
+
+
+def test_line_dedup_of_edits_all_over(spark):
+    """Lines whose single characters are replaced, left out or added all over are found, at every length and share of
+    edits, at least nine times of ten."""
+    rng = np.random.default_rng(31)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    cells = [(n, share, edit) for n in (8, 20, 40, 80) for share in (0.03, 0.06, 0.09) for edit in ("replace", "leave", "add")]
+    texts, cell = [], []
+    for c in cells:
+        n, share, edit = c
+        for _ in range(40):
+            line = words(rng, n, 3000)
+            at = rng.choice(len(line), max(1, int(share * len(line))), replace=False)
+            near = list(line)
+            for i in at:
+                x = str(rng.choice(letters))
+                near[i] = {"replace": x, "leave": "", "add": near[i] + x}[edit]
+            near = " ".join("".join(near).split())
+            if edits(line, near) <= 0.1 * max(len(line), len(near)):
+                texts.append((line, near))
+                cell.append(c)
+    half = len(texts)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.line_report(frame(spark, [a for a, _ in texts] + [b for _, b in texts])).collect()}
+    assert sum(got[k] for k in range(half)) == 0
+    found = {c: [got[half + k] for k in range(half) if cell[k] == c] for c in cells}
+    for c, hits in found.items():
+        print("found", *c, sum(hits), len(hits))
+    assert all(len(hits) >= 35 and sum(hits) >= 0.9 * len(hits) for hits in found.values())
 
 
 def edits(a, b):
