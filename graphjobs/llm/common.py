@@ -61,7 +61,7 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         drop_tables(t.sparkSession, sorted({f.rpartition("/")[0] for f in t.inputFiles()}))
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    SparkSession.active()._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession, most: int = 64 << 20) -> None:

@@ -261,7 +261,7 @@ def test_line_dedup(spark):
 
 def test_minima_and_blocks(spark):
     """Minima of lines are those of the set of their runs, cut in pieces or not; lines whose minima differ in fewer places
-    than a cut has blocks share a key; packed minima agree where their bytes do."""
+    than a cut has blocks share a key; packed minima agree where their bits do."""
     texts = ["alpha beta gamma delta epsilon", "été à l'école 日本語 \U0001f600", "x" * 40, "ab cd " * 30]
     whole = line_dedup.minima(texts, 5)
     for text, row in zip(texts, whole):
@@ -277,15 +277,21 @@ def test_minima_and_blocks(spark):
     b = a.copy()
     for row in b:
         row[rng.choice(line_dedup.DRAWS, line_dedup.DRAWS // 2 - 1, replace=False)] += 1
-    assert (line_dedup.block_keys(a, 0) == line_dedup.block_keys(b, 0)).any(1).all()
-    assert not np.isin(line_dedup.block_keys(a, 0), line_dedup.block_keys(a, 1)).any()
+    names, schema = line_dedup.PACKS["s"], "h long, " + ", ".join(f"{c} long" for c in line_dedup.ALL_PACKS)
+
+    def nodes(m, kind):
+        absent = (None,) * len(names)
+        rows = [tuple(map(int, r)) for r in line_dedup.packed(m)]
+        return spark.createDataFrame([(k, *(r if kind == "s" else absent), *(absent if kind == "s" else r)) for k, r in enumerate(rows)], schema)
+
+    for cut in range(len(line_dedup.CUTS)):
+        keys = [{(r.h, r.key) for r in line_dedup.keys_of(nodes(m, kind), cut).collect()} for m, kind in ((a, "s"), (b, "s"), (a, "l"))]
+        assert {h for h, _ in keys[0] & keys[1]} == set(range(40)) and not keys[0] & keys[2]
+        assert all(len(k) == 40 * line_dedup.DRAWS // 2 for k in keys)
     b = np.where(rng.random(a.shape) < 0.4, a, b ^ np.uint32(0x80))
-    names = [f"s{i}" for i in range(line_dedup.DRAWS // 8)]
-    packed = [np.ascontiguousarray(m.astype(np.uint8)).view(np.int64) for m in (a, b)]
-    rows = [(k, *map(int, packed[0][k]), *map(int, packed[1][k])) for k in range(40)]
-    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c}_{end} long" for end in "ab" for c in names))
-    for r in df.select("k", line_dedup._agreeing("s").alias("n")).collect():
-        assert r.n == int(((a[r.k] & 255) == (b[r.k] & 255)).sum())
+    both = nodes(a, "s").select("h", *[F.col(c).alias(f"{c}_a") for c in names]).join(nodes(b, "s").select("h", *[F.col(c).alias(f"{c}_b") for c in names]), "h")
+    for r in both.select("h", line_dedup._agreeing("s").alias("n")).collect():
+        assert r.n == int(((a[r.h] & 0xFFFF) == (b[r.h] & 0xFFFF)).sum())
 
 
 def test_line_dedup_of_edits_all_over(spark):
