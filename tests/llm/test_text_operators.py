@@ -289,9 +289,10 @@ def test_minima_and_blocks(spark):
         assert {h for h, _ in keys[0] & keys[1]} == set(range(40)) and not keys[0] & keys[2]
         assert all(len(k) == 40 * line_dedup.DRAWS // 2 for k in keys)
     b = np.where(rng.random(a.shape) < 0.4, a, b ^ np.uint32(0x80))
-    both = nodes(a, "s").select("h", *[F.col(c).alias(f"{c}_a") for c in names]).join(nodes(b, "s").select("h", *[F.col(c).alias(f"{c}_b") for c in names]), "h")
-    for r in both.select("h", line_dedup._agreeing("s").alias("n")).collect():
-        assert r.n == int(((a[r.h] & 0xFFFF) == (b[r.h] & 0xFFFF)).sum())
+    known = F.lit(0).alias("n"), F.lit(0).alias("spot")
+    ends = [line_dedup._ended(line_dedup.about_of(nodes(m, "s").select("*", *known)), end) for m, end in ((a, "a"), (b, "b"))]
+    for r in ends[0].join(ends[1], F.col("h_a") == F.col("h_b")).select("h_a", line_dedup._agreeing("s").alias("n"), line_dedup._agreeing("l").alias("none")).collect():
+        assert r.n == int(((a[r.h_a] & 255) == (b[r.h_a] & 255)).sum()) and r.none == 0
 
 
 def test_line_dedup_of_edits_all_over(spark):
