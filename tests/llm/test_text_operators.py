@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pt = pytest.importorskip("public_tokenizers")
 
-from graphjobs.llm import exact_dedup, line_dedup, mixing, ngram_join, secrets, sentencepiece_job, shingles, token_files  # noqa: E402
+from graphjobs.llm import edit_distance, exact_dedup, line_dedup, mixing, ngram_join, secrets, sentencepiece_job, shingles, token_files  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -414,6 +414,41 @@ def test_line_dedup_long_lines(spark):
     assert {(r.h_a, r.h_b) for r in line_dedup._alike(pairs, texts, 0.9).collect()} == {(1, 2), (3, 4)}
 
 
+def test_edit_distances_by_brute_force():
+    """Around the bound, with shared and strange characters, empty texts and texts without a run; also a group's limits."""
+    import random
+
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(1)
+    for letters in ("ab", "abcdefgh ", "a\u00e9\u20ac\U0001f600 "):
+        a, b = [], []
+        for _ in range(400):
+            one = "".join(rng.choices(letters, k=rng.choice([0, 1, 2, 5, 20, 40, 70])))
+            other = list(one) if rng.random() < 0.8 else rng.choices(letters, k=len(one))
+            for _ in range(rng.randint(0, 12)):
+                at = rng.randint(0, len(other))
+                other[at : at + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
+            a.append(one)
+            b.append("".join(other))
+        apart = np.array([levenshtein(x, y) for x, y in zip(a, b)])
+        cells, edit_distance.CELLS = edit_distance.CELLS, 200
+        try:
+            for off in (-2, -1, 0, 1, 5):
+                most = np.maximum(apart + off, 0)
+                assert (edit_distance.within(a, b, most) == (apart <= most)).all(), (letters, off)
+        finally:
+            edit_distance.CELLS = cells
+    assert edit_distance.within([], [], np.zeros(0, np.int64)).tolist() == []
+
+
 def test_secrets_of_letters_and_inside_runs():
     """Keys without digits, and keys after a path or a name, are found; plain words and known values aren't."""
     import random
