@@ -133,9 +133,24 @@ def encoder_params(dims: list[int], orders: list[int], classes: int, kind: str =
     return layers, {"w": w, "b": b}
 
 
+def _paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both tables by node, merged and not broadcast: estimates of sizes don't see how long computed arrays are, so a
+    broadcast chosen by them may bring every node's array to the driver."""
+    return a.join(b.hint("merge"), "node")
+
+
+def _zipped(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
+    """(node, c, x, y): the elements of a's arrays beside those of b's at the same place c, where both have one. Arrays meet
+    before they are exploded, so that a node and not each of its elements is a row of the join."""
+    n = F.greatest(F.least(F.size("_x"), F.size("_y")), F.lit(0))
+    both = _paired(a.select("node", F.col(x).alias("_x")), b.select("node", F.col(y).alias("_y")))
+    each = F.arrays_zip(F.slice("_x", F.lit(1), n).alias("x"), F.slice("_y", F.lit(1), n).alias("y"))
+    return both.select("node", F.posexplode(each).alias("c", "z")).select("node", "c", "z.x", "z.y")
+
+
 def bce_loss(pred: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: sum over rows and classes of binary cross-entropy with logits, over rows."""
-    z = pred.select("node", F.posexplode("scores").alias("c", "x")).join(labels.select("node", F.posexplode("labels").alias("c", "y")), ["node", "c"])
+    z = _zipped(pred, "scores", labels, "labels")
     each = F.greatest(F.col("x"), F.lit(0.0)) - F.col("x") * F.col("y") + F.log1p(F.exp(-F.abs("x")))
     return z.agg((F.sum(each) / F.count_distinct("node")).alias("loss"))
 
@@ -144,7 +159,7 @@ def cross_entropy_loss(pred: DataFrame, target: DataFrame) -> DataFrame:
     """One row: mean of -log softmax at the target class."""
     top = F.array_max("scores")
     lse = top + F.log(F.aggregate("scores", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    return pred.join(target, "node").agg(F.avg(lse - F.element_at("scores", (F.col("target") + 1).cast("int"))).alias("loss"))
+    return _paired(pred, target).agg(F.avg(lse - F.element_at("scores", (F.col("target") + 1).cast("int"))).alias("loss"))
 
 
 def threshold_predictions(pred: DataFrame, at: float = 0.5) -> DataFrame:
@@ -169,13 +184,13 @@ def _f1(counts: DataFrame) -> DataFrame:
 
 def f1_multilabel(true: DataFrame, predicted: DataFrame) -> DataFrame:
     """true(node, labels), predicted(node, predicted), both 0/1 arrays; all columns count."""
-    z = true.select("node", F.posexplode("labels").alias("c", "t")).join(predicted.select("node", F.posexplode("predicted").alias("c", "p")), ["node", "c"])
+    z = _zipped(true, "labels", predicted, "predicted").select("c", F.col("x").alias("t"), F.col("y").alias("p"))
     return _f1(z.groupBy("c").agg(F.sum(F.col("t") * F.col("p")).alias("tp"), F.sum((1 - F.col("t")) * F.col("p")).alias("fp"), F.sum(F.col("t") * (1 - F.col("p"))).alias("fn")))
 
 
 def f1_multiclass(true: DataFrame, predicted: DataFrame) -> DataFrame:
     """true(node, label), predicted(node, predicted); classes present in either count."""
-    z = true.join(predicted, "node")
+    z = _paired(true, predicted)
     own = F.array(F.struct(F.col("label").alias("c"), F.lit(1).alias("t"), (F.col("label") == F.col("predicted")).cast("int").alias("p")), F.struct(F.col("predicted").alias("c"), (F.col("label") == F.col("predicted")).cast("int").alias("t"), F.lit(1).alias("p")))
     each = z.select(F.explode(F.array_distinct(own)).alias("v")).select("v.c", "v.t", "v.p")
     return _f1(each.groupBy("c").agg(F.sum(F.col("t") * F.col("p")).alias("tp"), F.sum((1 - F.col("t")) * F.col("p")).alias("fp"), F.sum(F.col("t") * (1 - F.col("p"))).alias("fn")))

@@ -99,3 +99,22 @@ def test_multilabel_f1(spark):
     pred = spark.createDataFrame([(0, [0.9, 0.5]), (1, [0.4, 0.8]), (2, [0.2, 0.7]), (3, [0.6, 0.1])], "node bigint, scores array<double>")
     r = E.f1_multilabel(true, E.threshold_predictions(pred)).first()
     assert (r.micro, r.macro) == (0.75, 0.75)
+
+
+def test_losses_broadcast_no_arrays(spark, tmp_path):
+    """Estimates of sizes don't see how long computed arrays are; no side may be broadcast by them."""
+    spark.range(1000).select(F.col("id").alias("node")).write.parquet(str(tmp_path / "n"))
+    n = spark.read.parquet(str(tmp_path / "n"))
+    pred = n.select("node", F.array(*[F.lit(0.1) * c for c in range(10)]).alias("scores"))
+    true = n.select("node", F.array(*[F.lit(c % 2) for c in range(10)]).alias("labels"), F.lit(1).alias("label"), F.lit(1).alias("target"))
+    for df in (E.bce_loss(pred, true), E.cross_entropy_loss(pred, true), E.f1_multilabel(true, E.threshold_predictions(pred)), E.f1_multiclass(true, E.argmax_class(pred))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_losses_of_unequal_and_null_arrays(spark):
+    """Elements meet at the same place; places that only one side has, and null elements and arrays, don't count."""
+    pred = spark.createDataFrame([(1, [0.0, 2.0, 5.0]), (2, [1.0]), (3, None), (4, [None, 3.0]), (5, [])], "node bigint, scores array<double>")
+    true = spark.createDataFrame([(1, [1, 0]), (2, [1, 1, 1]), (3, [1]), (4, [1, 1]), (5, [1]), (6, [1])], "node bigint, labels array<int>")
+    bce = lambda x, y: max(x, 0) - x * y + np.log1p(np.exp(-abs(x)))
+    expected = (bce(0, 1) + bce(2, 0) + bce(1, 1) + bce(3, 1)) / 3
+    assert E.bce_loss(pred, true).first().loss == pytest.approx(expected)
