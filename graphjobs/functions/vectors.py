@@ -1,7 +1,8 @@
 """Vector columns: keyed sums, dense layers and row-wise functions.
 
 Keyed sums of weighted vectors run as numpy segment sums: first where the rows are read, over runs of rows of bounded
-size, so that partial sums are shuffled and not rows, then over the key-sorted partial sums."""
+size, so that partial sums are shuffled and not rows, then over the key-sorted partial sums. Sums along edges run by
+blocks of sources."""
 
 from __future__ import annotations
 
@@ -62,21 +63,25 @@ def _segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Recor
 TOGETHER = 32 << 20
 
 
+def _added(cols: list[np.ndarray], x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of x added up by key, in the order of the keys."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.append(True, np.zeros(len(x) - 1, bool))
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in cols], np.add.reduceat(x[order], starts, axis=0)
+
+
 def _partial(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """Sums of w * x by key over runs of rows of about ``TOGETHER`` bytes; columns are the keys, w and x."""
 
     def out(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
         names, types = waiting[0].schema.names[:keys], [f.type for f in waiting[0].schema][:keys]
         cols = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in waiting]) for i in range(keys)]
-        x = np.concatenate([matrix(b.column(keys + 1)) * b.column(keys).to_numpy()[:, None] for b in waiting])
-        order = np.lexsort(cols[::-1])
-        cols = [c[order] for c in cols]
-        new = np.append(True, np.zeros(len(x) - 1, bool))
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(new)
-        sums = np.add.reduceat(x[order], starts, axis=0)
-        return pa.RecordBatch.from_arrays([*[pa.array(c[starts].tolist(), t) for c, t in zip(cols, types)], lists(sums)], [*names, "x"])
+        cols, sums = _added(cols, np.concatenate([matrix(b.column(keys + 1)) * b.column(keys).to_numpy()[:, None] for b in waiting]))
+        return pa.RecordBatch.from_arrays([*[pa.array(c.tolist(), t) for c, t in zip(cols, types)], lists(sums)], [*names, "x"])
 
     waiting: list[pa.RecordBatch] = []
     size = 0
@@ -106,6 +111,87 @@ def segment_vector_sum(df: DataFrame, keys: list[str], weight: str, vec: str, sa
     return done.mapInArrow(lambda b: _segments(b, n), f"{fields}, x array<double>")
 
 
+#: Edges of a block, and edges whose weighted vectors are made at once.
+BLOCK, AT_ONCE = 1 << 19, 1 << 15
+
+
+def _edge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, dst, nodes, weights): a partition's edges (block, node, dst, w) as one row for each dst, ``BLOCK`` edges at a time."""
+
+    def out(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(waiting).combine_chunks().sort_by("dst")
+        dst = t["dst"].to_numpy()
+        starts = np.flatnonzero(np.append(True, dst[1:] != dst[:-1]))
+        ends = pa.array(np.append(starts, len(dst)), pa.int32())
+        listed = [pa.ListArray.from_arrays(ends, t[c].combine_chunks()) for c in ("node", "w")]
+        return pa.RecordBatch.from_arrays([t["block"].take(starts).combine_chunks(), t["dst"].take(starts).combine_chunks(), *listed], ["block", "dst", "nodes", "weights"])
+
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= BLOCK:
+                yield out(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield out(waiting)
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, x): sums of weight * x by node and block, from rows (block, nodes, weights, x) by block. What is held are the
+    sums of one block's nodes."""
+    block, parts, rows, settled, kind = None, [], 0, 0, None
+
+    def joined() -> tuple[list[np.ndarray], np.ndarray]:
+        return _added([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]))
+
+    def done() -> Iterator[pa.RecordBatch]:
+        (ids,), sums = joined()
+        for i in range(0, len(ids), AT_ONCE):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + AT_ONCE], kind), lists(sums[i : i + AT_ONCE])], ["node", "x"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, kind = batch["block"].to_numpy(), batch.schema.field("nodes").type.value_type
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        for low, high in zip(cuts, cuts[1:]):
+            if at[low] != block:
+                if parts:
+                    yield from done()
+                block, parts, rows, settled = at[low], [], 0, 0
+            own = batch.slice(low, high - low)
+            x, nodes, weights = matrix(own["x"]), own["nodes"].flatten().to_numpy(), own["weights"].flatten().to_numpy()
+            row = np.repeat(np.arange(len(own)), own["nodes"].value_lengths().to_numpy())
+            for i in range(0, len(nodes), AT_ONCE):
+                some = slice(i, i + AT_ONCE)
+                (ids,), sums = _added([nodes[some]], x[row[some]] * weights[some, None])
+                parts.append((ids, sums))
+                rows += len(ids)
+                if rows - settled > max(settled, 2 * AT_ONCE):
+                    (ids,), sums = joined()
+                    parts, rows, settled = [(ids, sums)], len(ids), len(ids)
+    if parts:
+        yield from done()
+
+
+def weighted_sums_by_block(e: DataFrame, x: DataFrame) -> DataFrame:
+    """(node, x): sums of weight * x[dst] over the edges e(src, dst, weight, piece), complete for each (src, piece).
+
+    Edges are dealt in blocks of sources (and pieces) next to each other, of about ``BLOCK`` edges. A vector goes once to each
+    block that needs it, with the list of its edges there; so what moves is vectors by block and not sums by edge: about
+    the vectors' own size where neighbours' ids are near each other, and never more than a vector an edge."""
+    spark = e.sparkSession
+    blocks = max(spark.sparkContext.defaultParallelism, -(-e.count() // BLOCK))
+    kinds = {c: e.schema[c].dataType.simpleString() for c in ("src", "dst")}
+    dealt = e.repartitionByRange(blocks, "src", "piece").select(F.spark_partition_id().alias("block"), F.col("src").alias("node"), "dst", F.col("weight").cast("double").alias("w"))
+    listed = dealt.mapInArrow(_edge_lists, f"block int, dst {kinds['dst']}, nodes array<{kinds['src']}>, weights array<double>")
+    met = listed.join(x.select(F.col("node").alias("dst"), "x").hint("merge"), "dst").select("block", "nodes", "weights", "x")
+    return met.repartition("block").sortWithinPartitions("block").mapInArrow(_block_sums, f"node {kinds['src']}, x array<double>")
+
+
 def linear(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray | None = None, name: str | None = None) -> DataFrame:
     """vec * w.T + b as column ``name``; w and b are model parameters of a fixed size."""
     name = name or vec

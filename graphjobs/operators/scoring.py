@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import materialise
-from ..functions.vectors import concat_self_and_neighbors, elu_and_norm, l2_normalize, linear, segment_vector_sum
+from ..functions.vectors import concat_self_and_neighbors, elu_and_norm, l2_normalize, linear, segment_vector_sum, weighted_sums_by_block
 from .graph import transpose
 
 
@@ -25,20 +25,18 @@ def hub_rows(e: DataFrame, most: int = HUB) -> DataFrame:
 def aggregate_neighbors(e: DataFrame, x: DataFrame, nodes: DataFrame | None = None, hubs: DataFrame | None = None) -> DataFrame:
     """(node, x): sum over edges of weight * x[dst]. With nodes, those without edges get zeros.
 
-    Vectors are added up by row where the join makes them, and only partial sums move. The degree table ``hubs``, by
-    default ``hub_rows(e)``, says which rows are cut into pieces by a hash of dst; their pieces' sums are added in a
-    second stage, which other rows don't go through."""
+    Vectors go once to each block of rows that needs them and are added up there (``weighted_sums_by_block``). The degree
+    table ``hubs``, by default ``hub_rows(e)``, says which rows are cut into pieces by a hash of dst, so that a block may end
+    within a row; the sums of such rows are added in a second stage, which other rows don't go through."""
     hubs = hub_rows(e) if hubs is None else hubs
-    vectors = x.select(F.col("node").alias("dst"), "x")
     if hubs.isEmpty():
-        step = e.join(vectors, "dst")
-        out = segment_vector_sum(step.select(F.col("src").alias("node"), "weight", "x"), ["node"], "weight", "x")
+        out = weighted_sums_by_block(e.withColumn("piece", F.lit(-1)), x)
     else:
         cut = e.join(hubs, "src", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("dst"), "pieces").cast("int"), F.lit(-1)))
-        step = cut.join(vectors, "dst").select(F.col("src").alias("node"), "piece", "weight", "x")
-        pieces = materialise(segment_vector_sum(step, ["node", "piece"], "weight", "x"), "pieces")
-        whole = segment_vector_sum(pieces.where("piece >= 0").select("node", F.lit(1.0).alias("weight"), "x"), ["node"], "weight", "x")
-        out = pieces.where("piece < 0").select("node", "x").unionByName(whole)
+        sums = materialise(weighted_sums_by_block(cut, x), "pieces")
+        cut_rows = hubs.select(F.col("src").alias("node"))
+        parts = sums.join(cut_rows, "node", "left_semi").select("node", F.lit(1.0).alias("weight"), "x")
+        out = sums.join(cut_rows, "node", "left_anti").unionByName(segment_vector_sum(parts, ["node"], "weight", "x"))
     if nodes is None:
         return out
     # one row, also where x has none
