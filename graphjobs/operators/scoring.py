@@ -60,11 +60,30 @@ def _dense(p: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
     return p[f"{name}.w"], p[f"{name}.b"]
 
 
-def _sage_layer(x: DataFrame, agg: DataFrame | None, p: dict) -> DataFrame:
-    if agg is None:
+def _narrows(w: np.ndarray) -> bool:
+    """Whether the layer's rows are shorter behind it: then it comes before the sums over neighbours, as w (sum of a x) is the
+    sum of a (w x), and the shorter rows move."""
+    return w.shape[0] < w.shape[1]
+
+
+def _plus(df: DataFrame, b: np.ndarray) -> DataFrame:
+    """The bias b added to every row of x."""
+    return df.withColumn("x", F.zip_with("x", F.array(*map(F.lit, b.tolist())), lambda v, c: v + c))
+
+
+def _near(e: DataFrame, x: DataFrame, nodes: DataFrame, hubs: DataFrame, p: dict) -> DataFrame:
+    """The dense layer of weighted sums over neighbours."""
+    w, b = _dense(p, "w")
+    if _narrows(w):
+        return _plus(aggregate_neighbors(e, linear(x.select("node", "x"), "x", w), nodes, hubs), b)
+    return linear(aggregate_neighbors(e, x, nodes, hubs), "x", w, b)
+
+
+def _sage_layer(x: DataFrame, near: DataFrame | None, p: dict) -> DataFrame:
+    if near is None:
         out = linear(x, "x", *_dense(p, "w"))
     else:
-        out = concat_self_and_neighbors(linear(x, "x", *_dense(p, "self")), linear(agg, "x", *_dense(p, "w")))
+        out = concat_self_and_neighbors(linear(x, "x", *_dense(p, "self")), near)
     return elu_and_norm(out, "x", p.get("scale"), p.get("offset"))
 
 
@@ -76,7 +95,7 @@ def graphsage_infer(e: DataFrame, x: DataFrame, layers: list[dict], orders: list
     """(node, scores) of all nodes, layer by layer over all neighbours, without dropout."""
     nodes, hubs = x.select("node"), hub_rows(e)
     for p, order in zip(layers, orders):
-        x = materialise(_sage_layer(x, aggregate_neighbors(e, x, nodes, hubs) if order else None, p), "layer")
+        x = materialise(_sage_layer(x, _near(e, x, nodes, hubs, p) if order else None, p), "layer")
     return _head(x, head)
 
 
@@ -84,8 +103,8 @@ def gcn_infer(e: DataFrame, x: DataFrame, layers: list[dict], orders: list[int],
     """The same without the self branch; e is the normalised A + I."""
     nodes, hubs = x.select("node"), hub_rows(e)
     for p, order in zip(layers, orders):
-        agg = aggregate_neighbors(e, x, nodes, hubs) if order else x
-        x = materialise(elu_and_norm(linear(agg, "x", *_dense(p, "w")), "x", p.get("scale"), p.get("offset")), "layer")
+        out = _near(e, x, nodes, hubs, p) if order else linear(x, "x", *_dense(p, "w"))
+        x = materialise(elu_and_norm(out, "x", p.get("scale"), p.get("offset")), "layer")
     return _head(x, head)
 
 
@@ -100,13 +119,14 @@ def sampled_infer(blocks: DataFrame, layer_nodes: DataFrame, x: DataFrame, layer
         if not order:
             h = elu_and_norm(linear(h, "x", *_dense(p, "w")), "x", p.get("scale"), p.get("offset"))
             continue
-        block = blocks.where(F.col("layer") == t)
-        step = block.join(h.select("batch_id", F.col("node").alias("dst"), "x"), ["batch_id", "dst"])
+        block, (w, b) = blocks.where(F.col("layer") == t), _dense(p, "w")
+        sent = linear(h, "x", w) if _narrows(w) else h
+        step = block.join(sent.select("batch_id", F.col("node").alias("dst"), "x"), ["batch_id", "dst"])
         agg = segment_vector_sum(step.select("batch_id", F.col("src").alias("node"), "value", "x"), key, "value", "x")
         prev = layer_nodes.where((F.col("layer") == t) & F.col("is_prev")).select(*key)
-        zero = [0.0] * p["w.w"].shape[1]
+        zero = [0.0] * min(w.shape)
         agg = prev.join(agg, key, "left").withColumn("x", F.coalesce("x", F.array(*map(F.lit, zero))))
-        agg = linear(agg, "x", *_dense(p, "w"))
+        agg = _plus(agg, b) if _narrows(w) else linear(agg, "x", w, b)
         if kind == "graphsage":
             own = linear(prev.join(h, key), "x", *_dense(p, "self"))
             agg = own.join(agg.withColumnRenamed("x", "_agg"), key).select(*key, F.concat("x", "_agg").alias("x"))

@@ -140,3 +140,21 @@ def test_sums_by_block(spark, monkeypatch, at_once):
     assert sorted(n for n, _ in got) == sorted(set(src.tolist()))
     for n, v in got:
         assert np.allclose(v, (w[src == n, None] * x[dst[src == n]]).sum(0))
+
+
+@pytest.mark.parametrize("kind", ["graphsage", "gcn"])
+def test_narrowing_layers_come_before_sums(spark, data, monkeypatch, kind):
+    """Rows of the layer's width, not of the features', go along edges; a widening layer comes after them."""
+    _, _, e, f = data
+    summed, widths = E.aggregate_neighbors, []
+
+    def seen(e, x, *more):
+        widths.append(len(x.first().x))
+        return summed(e, x, *more)
+
+    monkeypatch.setattr(E, "aggregate_neighbors", seen)
+    infer = E.graphsage_infer if kind == "graphsage" else E.gcn_infer
+    for hidden, expected in ((3, 3), (7, 5)):
+        layers, head = E.encoder_params([5, hidden], [1], 2, kind)
+        infer(e, f, layers, [1], head)
+        assert widths.pop() == expected
