@@ -26,9 +26,15 @@ def add_reverse_edges(e: DataFrame) -> DataFrame:
 
 
 def symmetrize_max(e: DataFrame) -> DataFrame:
-    """Duplicates summed, then the larger of each edge and its reverse (weights not negative)."""
-    once = coalesce_edges(e)
-    return once.union(transpose(once)).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    """Duplicates summed, then the larger of each edge and its reverse (weights not negative).
+
+    Both directions of a pair are summed in one row of one aggregation, so edges are read, shuffled and held once."""
+    pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
+    up = F.col("src") <= F.col("dst")
+    sums = e.groupBy(*pair).agg(F.sum(F.when(up, F.col("weight"))).alias("up"), F.sum(F.when(~up, F.col("weight"))).alias("down"))
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    both = sums.select(F.explode(F.array_distinct(ends)).alias("e"), F.greatest("up", "down").alias("weight"))
+    return both.select("e.src", "e.dst", "weight")
 
 
 def add_self_loops(e: DataFrame, n: DataFrame) -> DataFrame:

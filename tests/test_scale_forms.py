@@ -277,3 +277,17 @@ def test_hub_rows_of_an_adjacency_come_in_pieces(spark):
         back.setdefault(r.src, []).extend(q.dst for q in r.nbrs)
     assert back == {a: [y for x, y in pairs if x == a] for a, _ in pairs}
     assert sorted(map(tuple, G.from_adjacency(G.to_adjacency(e, 5)).collect())) == sorted(map(tuple, e.collect()))
+
+
+def test_symmetrize_max_reads_and_shuffles_edges_once(spark):
+    """Against sums by hand, with repeats, self loops and one-way pairs; one exchange and one read of the edges."""
+    r = random.Random(5)
+    rows = [(r.randrange(9), r.randrange(9), float(r.randrange(4))) for _ in range(60)]
+    once = {}
+    for a, b, w in rows:
+        once[a, b] = once.get((a, b), 0.0) + w
+    expected = {p: max(once.get(p, 0.0), once.get(p[::-1], 0.0)) for q in once for p in (q, q[::-1])}
+    out = G.symmetrize_max(spark.createDataFrame(rows, EDGES))
+    got = out.collect()
+    assert len(got) == len(expected) and {(x.src, x.dst): x.weight for x in got} == expected
+    assert plan_of(out).split("Initial Plan")[-1].count("Exchange") == 1
