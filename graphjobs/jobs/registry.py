@@ -269,7 +269,7 @@ def _p14(s, d):
     buffer, location = _snake(s, d)
     features = X.features(s, d)
     batches = materialise(_batches(s, d), "batches")
-    resolved = P.resolve_location(W.batch_closures(X.g_next(s, d), batches), location)
+    resolved = materialise(P.resolve_location(W.batch_closures(X.g_next(s, d), batches), location), "resolved")
     got = P.gather_by_location(resolved, buffer.join(features, "node"), features)
     return got.select("batch_id", "rank", "node", "holder", _whole(), F.col("features")[0].cast("double").alias("first"))
 

@@ -24,13 +24,17 @@ def neighbors(e: DataFrame, nodes: DataFrame) -> DataFrame:
 def k_hop_by_group(e: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """(group, node, hop) reached within k hops of each group's seeds, hop the first one.
 
-    Only nodes that are new in a hop are expanded in the next; each hop's new ones are written once."""
+    Only nodes that are new in a hop are expanded in the next. Whether a node is known is found by the aggregation that adds
+    up its weights, in one pass without a join. Hops that are read again are written; the last one isn't."""
     hops = [materialise(seeds.select("group", "node").distinct().withColumn("hop", F.lit(0)), "hops")]
+    none = F.lit(None).cast(e.schema["weight"].dataType).alias("weight")
     for hop in range(1, k + 1):
         front = hops[-1].select("group", F.col("node").alias("src"))
-        step = front.join(e, "src").groupBy("group", F.col("dst").alias("node")).agg(F.sum("weight").alias("w")).where("w <> 0")
-        known = reduce(DataFrame.unionByName, hops).select("group", "node")
-        hops.append(materialise(step.select("group", "node").join(known, ["group", "node"], "left_anti").withColumn("hop", F.lit(hop)), "hops"))
+        step = front.join(e, "src").select("group", F.col("dst").alias("node"), "weight", F.lit(False).alias("known"))
+        known = reduce(DataFrame.unionByName, hops).select("group", "node", none, F.lit(True).alias("known"))
+        met = step.unionByName(known).groupBy("group", "node").agg(F.sum("weight").alias("w"), F.max("known").alias("known"))
+        new = met.where("w <> 0 and not known").select("group", "node", F.lit(hop).alias("hop"))
+        hops.append(materialise(new, "hops") if hop < k else new)
     return reduce(DataFrame.unionByName, hops)
 
 

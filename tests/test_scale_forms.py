@@ -291,3 +291,24 @@ def test_symmetrize_max_reads_and_shuffles_edges_once(spark):
     got = out.collect()
     assert len(got) == len(expected) and {(x.src, x.dst): x.weight for x in got} == expected
     assert plan_of(out).split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_k_hop_by_group_finds_known_nodes_without_a_join(spark):
+    """A hop is one aggregation over its step and the known nodes; weights that cancel out reach nothing."""
+    r = random.Random(8)
+    edges = [(r.randrange(30), r.randrange(30), r.choice((-1.0, 1.0, 2.0))) for _ in range(120)]
+    seeds = [(g, r.randrange(30)) for g in range(4) for _ in range(3)]
+    expected = {(g, n): 0 for g, n in seeds}
+    front = set(expected)
+    for hop in (1, 2):
+        sums = {}
+        for g, n in front:
+            for a, b, w in edges:
+                if a == n:
+                    sums[g, b] = sums.get((g, b), 0.0) + w
+        front = {p for p, w in sums.items() if w != 0 and p not in expected}
+        expected |= {p: hop for p in front}
+    out = N.k_hop_by_group(spark.createDataFrame(edges, EDGES), spark.createDataFrame(seeds, "group int, node bigint"), 2)
+    got = out.collect()
+    assert len(got) == len(expected) and {(x.group, x.node): x.hop for x in got} == expected
+    assert "LeftAnti" not in plan_of(out) and plan_of(out).split("Initial Plan")[-1].count("HashAggregate") == 2
