@@ -42,6 +42,11 @@ _ROUNDED = "SELECT * REPLACE (round(value + 1e-10, 6) AS value) FROM ({})"
 _ONE = _DEG + "," + layer_sql("", "batches", 0, SIZE) + " "
 
 
+def edges(s, d) -> DataFrame:
+    """The graph, made once: every layer reads it several times."""
+    return materialise(X.g_next(s, d), "edges")
+
+
 def _valued(df: DataFrame) -> DataFrame:
     """Values are fractions of small numbers, some of which end just between two rounded ones; engines' last bits differ there."""
     return df.withColumn("value", F.round(F.col("value") + 1e-10, 6))
@@ -55,16 +60,15 @@ query("m4_weighted_sample", _ONE + "SELECT * FROM drawn")(lambda s, d: M.weighte
 query("m4_weighted_sample_8192", _DEG + "," + layer_sql("", "batches", 0, 8192) + " SELECT * FROM drawn")(
     lambda s, d: M.weighted_sample_without_replacement(_probabilities(s, d), 8192, X.SEED).select("batch_id", "node")
 )
-query("m5_sampled_layer", _ONE + _ROUNDED.format(f"SELECT * EXCLUDE (layer) FROM ({block_sql(0, 'front', 'pos')})"))(lambda s, d: _valued(M.sampled_layer(X.g_next(s, d), batches(s, d), SIZE, X.SEED, 0)[0]))
-query("m5_sampled_layer_nodes", _ONE + "SELECT batch_id, node, pos, is_prev, round(prob, 9) AS prob FROM pos")(lambda s, d: rounded(M.sampled_layer(X.g_next(s, d), batches(s, d), SIZE, X.SEED, 0)[1], "prob", places=9))
+query("m5_sampled_layer", _ONE + _ROUNDED.format(f"SELECT * EXCLUDE (layer) FROM ({block_sql(0, 'front', 'pos')})"))(lambda s, d: _valued(M.sampled_layer(edges(s, d), batches(s, d), SIZE, X.SEED, 0)[0]))
+query("m5_sampled_layer_nodes", _ONE + "SELECT batch_id, node, pos, is_prev, round(prob, 9) AS prob FROM pos")(lambda s, d: rounded(M.sampled_layer(edges(s, d), batches(s, d), SIZE, X.SEED, 0)[1], "prob", places=9))
 _TWO = _DEG + "," + layer_sql("a", "batches", 2, SIZE) + "," + layer_sql("b", "everya", 0, SIZE) + " "
 _BOTH = _TWO + _ROUNDED.format(block_sql(2, "fronta", "posa") + " UNION ALL " + block_sql(0, "frontb", "posb"))
-query("m6_layerwise_sample", _BOTH)(lambda s, d: _valued(M.layerwise_sample(X.g_next(s, d), batches(s, d), [SIZE] * 3, [1, 0, 1], X.SEED)[0]))
+query("m6_layerwise_sample", _BOTH)(lambda s, d: _valued(M.layerwise_sample(edges(s, d), batches(s, d), [SIZE] * 3, [1, 0, 1], X.SEED)[0]))
 
 
 def waves(s, d) -> tuple[DataFrame, DataFrame]:
-    edges = materialise(X.g_next(s, d), "edges")
-    return M.sample_in_waves(edges, materialise(batches(s, d), "batches"), new_path(s, "epoch"), 2, [SIZE] * 3, [1, 0, 1], X.SEED)
+    return M.sample_in_waves(edges(s, d), materialise(batches(s, d), "batches"), new_path(s, "epoch"), 2, [SIZE] * 3, [1, 0, 1], X.SEED)
 
 
 query("m6_sample_in_waves", _BOTH)(lambda s, d: _valued(waves(s, d)[0].drop("wave")))
@@ -73,13 +77,13 @@ query("m6_sample_in_waves_nodes", _TWO + "SELECT batch_id, node, pos, is_prev, r
 )
 _SUB = _DEG + "," + layer_sql("", "batches", 1, SIZE) + " "
 query("m7_subgraph_sample", _SUB + _ROUNDED.format(block_sql(1, "front", "pos") + " UNION ALL " + block_sql(0, "pos", "pos")))(
-    lambda s, d: _valued(M.subgraph_sample(X.g_next(s, d), batches(s, d), SIZE, [1, 1], X.SEED)[0])
+    lambda s, d: _valued(M.subgraph_sample(edges(s, d), batches(s, d), SIZE, [1, 1], X.SEED)[0])
 )
 query("m7_subgraph_sample_nodes", _SUB + "SELECT batch_id, node, pos, is_prev, round(prob, 9) AS prob, 1 AS layer FROM pos UNION ALL SELECT batch_id, node, pos, true, round(prob, 9), 0 FROM pos")(
-    lambda s, d: rounded(M.subgraph_sample(X.g_next(s, d), batches(s, d), SIZE, [1, 1], X.SEED)[1], "prob", places=9)
+    lambda s, d: rounded(M.subgraph_sample(edges(s, d), batches(s, d), SIZE, [1, 1], X.SEED)[1], "prob", places=9)
 )
 query("m11_batch_inputs", _TWO + "SELECT batch_id, count(*) AS n FROM everyb GROUP BY batch_id")(
-    lambda s, d: M.batch_inputs(M.layerwise_sample(X.g_next(s, d), batches(s, d), [SIZE] * 3, [1, 0, 1], X.SEED)[1]).groupBy("batch_id").agg(F.count("*").alias("n"))
+    lambda s, d: M.batch_inputs(M.layerwise_sample(edges(s, d), batches(s, d), [SIZE] * 3, [1, 0, 1], X.SEED)[1]).groupBy("batch_id").agg(F.count("*").alias("n"))
 )
 
 # whole jobs
@@ -92,7 +96,7 @@ def _train(s, d) -> DataFrame:
 
 @query("w2_locality_job", _DEG + "," + layer_sql("a", "batches", 1, DEEP) + "," + layer_sql("b", "everya", 0, DEEP) + _REPORT)
 def _w2(s, d):
-    return W.locality_job(X.g_next(s, d), _train(s, d), snake(s, d)[1], X.DEVICES, X.BATCH, [DEEP, DEEP], [1, 1], X.SEED, 64)
+    return W.locality_job(edges(s, d), _train(s, d), snake(s, d)[1], X.DEVICES, X.BATCH, [DEEP, DEEP], [1, 1], X.SEED, 64)
 
 
 _HELD = ", fav0 AS MATERIALIZED (SELECT DISTINCT device AS rank, node FROM buffer), fav1 AS MATERIALIZED (SELECT rank, dst AS node FROM loops JOIN fav0 ON src = node GROUP BY rank, dst HAVING sum(weight) > 0 QUALIFY row_number() OVER (PARTITION BY rank ORDER BY sum(weight) DESC, dst) <= 8192)"
@@ -101,7 +105,7 @@ _HELD = ", fav0 AS MATERIALIZED (SELECT DISTINCT device AS rank, node FROM buffe
 @query("w2_locality_job_favoured", _DEG + _HELD + "," + layer_sql("a", "batches", 1, DEEP, "fav1") + "," + layer_sql("b", "everya", 0, DEEP, "fav0") + _REPORT)
 def _w2_favoured(s, d):
     """Every worker favours what it holds, and what is often met from there."""
-    edges = materialise(X.g_next(s, d), "edges")
+    e = edges(s, d)
     buffer, location = snake(s, d)
-    favoured = W.favoured_nodes(edges, X.nodes(s, d), buffer, 2)
-    return W.locality_job(edges, _train(s, d), location, X.DEVICES, X.BATCH, [DEEP, DEEP], [1, 1], X.SEED, 64, favoured, 4.0)
+    favoured = W.favoured_nodes(e, X.nodes(s, d), buffer, 2)
+    return W.locality_job(e, _train(s, d), location, X.DEVICES, X.BATCH, [DEEP, DEEP], [1, 1], X.SEED, 64, favoured, 4.0)

@@ -39,3 +39,9 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("n5_access_score", "m1_layer_importance", "p12_resolve_location"):
         plan = registry.QUERIES[name](spark, D)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["m5_sampled_layer", "m6_layerwise_sample", "m7_subgraph_sample", "w2_locality_job"])
+def test_samples_make_their_graph_once(spark, name):
+    """What is left to run reads the written graph, and doesn't order the lines again to make it."""
+    assert "l_orderkey" not in registry.QUERIES[name](spark, D)._jdf.queryExecution().toString()
