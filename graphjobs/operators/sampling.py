@@ -24,10 +24,15 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
+def _met(e: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(batch_id, node): a row for each entry of each frontier row."""
+    step = frontier.select("batch_id", F.col("node").alias("src")).join(e.where("weight <> 0"), "src")
+    return step.select("batch_id", F.col("dst").alias("node"))
+
+
 def layer_importance(e: DataFrame, frontier: DataFrame) -> DataFrame:
     """(batch_id, node, imp): in how many frontier rows of the batch each column has an entry."""
-    step = frontier.select("batch_id", F.col("node").alias("src")).join(e.where("weight <> 0"), "src")
-    return step.groupBy("batch_id", F.col("dst").alias("node")).agg(F.count("*").cast("double").alias("imp"))
+    return _met(e, frontier).groupBy("batch_id", "node").agg(F.count("*").cast("double").alias("imp"))
 
 
 def bias_local(imp: DataFrame, favoured: DataFrame, factor: float, ranks: DataFrame | None = None) -> DataFrame:
@@ -48,32 +53,50 @@ def to_probability(imp: DataFrame) -> DataFrame:
     return imp.join(total, "batch_id").withColumn("p", F.when(F.col("_t") > 0, F.col("imp") / F.col("_t")).otherwise(0.0)).drop("_t")
 
 
-def weighted_sample_without_replacement(df: DataFrame, k: int, seed: int, layer: int = 0) -> DataFrame:
-    """min(k, nodes with p > 0) nodes per batch, drawn by p: the k smallest of -ln(u) / p
-    (Efraimidis and Spirakis 2006), the same distribution as successive draws. df is read twice.
-
-    The k smallest are found without sorting a batch: tasks count candidates by (batch, slice of the key), 2,000 slices a
-    batch at most, whose counts combine before the shuffle. The running count finds the slice of each batch's cut; candidates
-    before it are taken where they are read, and only those in the cut's slice, some hundredths of k, are ranked."""
+def draw_keys(df: DataFrame, seed: int, layer: int = 0) -> DataFrame:
+    """df(batch_id, node, p, ...) with the draw's _key, -ln(u) / p, and the key's _slice; null where p isn't above 0."""
     u = uniform(F.lit(seed), F.col("batch_id"), F.lit(layer), F.col("node"))
-    keyed = df.where("p > 0").withColumn("_key", F.round(-F.log(u) / F.col("p"), 9))
-    keyed = keyed.withColumn("_slice", F.floor(F.log2(F.greatest("_key", F.lit(1e-9))) * SLICES).cast("int"))
-    counts = keyed.groupBy("batch_id", "_slice").agg(F.count("*").alias("_n"))
+    keyed = df.withColumn("_key", F.when(F.col("p") > 0, F.round(-F.log(u) / F.col("p"), 9)))
+    return keyed.withColumn("_slice", F.when(F.col("_key").isNotNull(), F.floor(F.log2(F.greatest("_key", F.lit(1e-9))) * SLICES).cast("int")))
+
+
+def _taken(keyed: DataFrame, k: int, always: Column) -> DataFrame:
+    """The rows of draw_keys, written before, that are among their batch's k smallest keys or for which ``always`` holds."""
+    counts = keyed.where("_slice is not null").groupBy("batch_id", "_slice").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("batch_id").orderBy("_slice"))
     cuts = counts.withColumn("_upto", upto).where(F.col("_upto") > k).groupBy("batch_id")
     cuts = materialise(cuts.agg(F.min(F.struct("_slice", (F.col("_upto") - F.col("_n")).alias("before"))).alias("_cut")), "cuts")
     placed = keyed.join(cuts, "batch_id", "left")
-    early = placed.where(F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut._slice")))
+    at_cut = F.coalesce(F.col("_slice") == F.col("_cut._slice"), F.lit(False))
+    early = F.col("_slice").isNotNull() & (F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut._slice")))
     order = Window.partitionBy("batch_id").orderBy("_key", "node")
-    edge = placed.where(F.col("_slice") == F.col("_cut._slice")).withColumn("_r", F.row_number().over(order) + F.col("_cut.before")).where(F.col("_r") <= k)
-    return early.unionByName(edge.drop("_r")).drop("_key", "_slice", "_cut")
+    edge = placed.where(at_cut).withColumn("_r", F.row_number().over(order) + F.col("_cut.before")).where((F.col("_r") <= k) | always)
+    return placed.where(early | (always & ~at_cut)).unionByName(edge.drop("_r")).drop("_key", "_slice", "_cut")
+
+
+def weighted_sample_without_replacement(df: DataFrame, k: int, seed: int, layer: int = 0) -> DataFrame:
+    """min(k, nodes with p > 0) nodes per batch, drawn by p: the k smallest of -ln(u) / p
+    (Efraimidis and Spirakis 2006), the same distribution as successive draws. The keys are made once and written.
+
+    The k smallest are found without sorting a batch: tasks count candidates by (batch, slice of the key), 2,000 slices a
+    batch at most, whose counts combine before the shuffle. The running count finds the slice of each batch's cut; candidates
+    before it are taken where they are read, and only those in the cut's slice, some hundredths of k, are ranked."""
+    return _taken(materialise(draw_keys(df.where("p > 0"), seed, layer), "keys"), k, F.lit(False))
+
+
+def _factor(size: Column, floor: float) -> Column:
+    return 1 / F.least(F.greatest(size * F.col("p"), F.lit(floor)), F.lit(1.0))
+
+
+def _drawable(what: str, k: int) -> Column:
+    """Aggregate: min(nodes above 0, k)."""
+    return F.least(F.sum((F.col(what) > 0).cast("long")), F.lit(k))
 
 
 def _factors(p: DataFrame, k: int, floor: float) -> DataFrame:
     """(batch_id, node, factor): 1 / clip(s * p, floor, 1) with s = min(nodes with p > 0, k)."""
-    s = p.groupBy("batch_id").agg(F.least(F.sum((F.col("p") > 0).cast("long")), F.lit(k)).alias("s"))
-    clipped = F.least(F.greatest(F.col("s") * F.col("p"), F.lit(floor)), F.lit(1.0))
-    return p.join(s, "batch_id").select("batch_id", "node", "p", (1 / clipped).alias("factor"))
+    s = p.groupBy("batch_id").agg(_drawable("p", k).alias("s"))
+    return p.join(s, "batch_id").select("batch_id", "node", "p", _factor(F.col("s"), floor).alias("factor"))
 
 
 def sampled_layer(
@@ -89,22 +112,25 @@ def sampled_layer(
     return _block(e, prev, nodes, row_entries(e) if entries is None else entries), nodes.drop("factor")
 
 
-def _drawn_nodes(e: DataFrame, frontier: DataFrame, k: int, seed: int, layer: int, favoured: DataFrame | None, factor: float, prob_floor: float, ranks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(the distinct frontier, the layer's nodes with pos, is_prev, prob and factor)."""
-    imp = layer_importance(e, frontier)
+def _drawn_nodes(e: DataFrame, frontier: DataFrame, k: int, seed: int, layer: int, favoured: DataFrame | None, factor: float, floor: float, ranks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(the distinct frontier, the layer's nodes with pos, is_prev, prob and factor).
+
+    The frontier's own rows go through the aggregation of importances, with none of their own, so that a row says both
+    whether it was in the frontier and how likely it is, and the layer is a filter of these rows."""
+    step = _met(e, frontier).select("batch_id", "node", F.lit(1.0).alias("imp"), F.lit(False).alias("is_prev"))
+    own = frontier.select("batch_id", "node", F.lit(0.0).alias("imp"), F.lit(True).alias("is_prev"))
+    imp = step.unionByName(own).groupBy("batch_id", "node").agg(F.sum("imp").alias("imp"), F.max("is_prev").alias("is_prev"))
     if favoured is not None:
         imp = bias_local(imp, favoured, factor, ranks)
-    p = materialise(to_probability(imp), "probabilities")
-    drawn = weighted_sample_without_replacement(p, k, seed, layer).select("batch_id", "node")
-    prev = frontier.select("batch_id", "node").distinct()
-    every = drawn.union(prev).distinct()
+    imp = materialise(imp, "importances")
+    totals = imp.groupBy("batch_id").agg(F.sum("imp").alias("_t"), _drawable("imp", k).alias("_s"))
+    p = imp.join(totals, "batch_id").withColumn("p", F.when(F.col("_t") > 0, F.col("imp") / F.col("_t")).otherwise(0.0))
+    p = p.select("batch_id", "node", "is_prev", "p", _factor(F.col("_s"), floor).alias("factor"))
+    drawn = _taken(materialise(draw_keys(p, seed, layer), "probabilities"), k, F.col("is_prev"))
     order = Window.partitionBy("batch_id").orderBy("node")  # of at most k and the frontier's rows
-    nodes = every.join(prev.withColumn("is_prev", F.lit(True)), ["batch_id", "node"], "left").join(_factors(p, k, prob_floor), ["batch_id", "node"], "left")
-    nodes = nodes.select(
-        "batch_id", "node", (F.row_number().over(order) - 1).cast("long").alias("pos"), F.coalesce("is_prev", F.lit(False)).alias("is_prev"),
-        F.coalesce("p", F.lit(0.0)).alias("prob"), F.coalesce("factor", F.lit(1 / prob_floor)).alias("factor"),
-    )
-    return prev, materialise(nodes, "layer")
+    nodes = drawn.select("batch_id", "node", (F.row_number().over(order) - 1).cast("long").alias("pos"), "is_prev", F.col("p").alias("prob"), "factor")
+    nodes = materialise(nodes, "layer")
+    return nodes.where("is_prev").select("batch_id", "node"), nodes
 
 
 def row_entries(e: DataFrame) -> DataFrame:

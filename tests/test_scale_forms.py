@@ -131,6 +131,22 @@ def test_rows_ranked_for_a_draw_are_few(spark):
     assert r["count"] < k / 20 and len(key) < 2000
 
 
+def test_a_layer_draws_its_keys_once(spark, monkeypatch):
+    """Keys are written beside the probabilities; the layer is a filter of those rows and meets nothing but its cuts."""
+    plans, write = {}, M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    e = spark.range(400).select((F.col("id") % 40).alias("src"), (F.col("id") * 7 % 101).alias("dst"), F.lit(1.0).alias("weight"))
+    front = spark.range(60).select((F.col("id") % 3).alias("batch_id"), (F.col("id") % 45).alias("node"))
+    nodes = M.sampled_layer(e, front, 8, 1, 0)[1]
+    assert "md5" in plans["probabilities"] and "md5" not in plans["layer"]
+    assert plans["layer"].count("Join") <= 2
+    rows = nodes.collect()
+    prev = {(r.batch_id, r.node) for r in front.distinct().collect()}
+    assert {(r.batch_id, r.node) for r in rows if r.is_prev} == prev
+    every = M.weighted_sample_without_replacement(M.to_probability(M.layer_importance(e, front)), 8, 1, 0)
+    assert {(r.batch_id, r.node) for r in rows} == prev | {(r.batch_id, r.node) for r in every.collect()}
+
+
 def test_waves_are_one_sample_and_go_on_where_they_were(spark, monkeypatch):
     _, e = graph(spark, 200, 3000, 6)
     e = materialise(e, "edges")
