@@ -96,7 +96,8 @@ def _train(s, d) -> DataFrame:
 
 @query("w2_locality_job", _DEG + "," + layer_sql("a", "batches", 1, DEEP) + "," + layer_sql("b", "everya", 0, DEEP) + _REPORT)
 def _w2(s, d):
-    return W.locality_job(edges(s, d), _train(s, d), snake(s, d)[1], X.DEVICES, X.BATCH, [DEEP, DEEP], [1, 1], X.SEED, 64)
+    e = edges(s, d)
+    return W.locality_job(e, _train(s, d), snake(s, d, e)[1], X.DEVICES, X.BATCH, [DEEP, DEEP], [1, 1], X.SEED, 64)
 
 
 _HELD = ", fav0 AS MATERIALIZED (SELECT DISTINCT device AS rank, node FROM buffer), fav1 AS MATERIALIZED (SELECT rank, dst AS node FROM loops JOIN fav0 ON src = node GROUP BY rank, dst HAVING sum(weight) > 0 QUALIFY row_number() OVER (PARTITION BY rank ORDER BY sum(weight) DESC, dst) <= 8192)"
@@ -106,6 +107,6 @@ _HELD = ", fav0 AS MATERIALIZED (SELECT DISTINCT device AS rank, node FROM buffe
 def _w2_favoured(s, d):
     """Every worker favours what it holds, and what is often met from there."""
     e = edges(s, d)
-    buffer, location = snake(s, d)
+    buffer, location = snake(s, d, e)
     favoured = W.favoured_nodes(e, X.nodes(s, d), buffer, 2)
     return W.locality_job(e, _train(s, d), location, X.DEVICES, X.BATCH, [DEEP, DEEP], [1, 1], X.SEED, 64, favoured, 4.0)

@@ -45,3 +45,11 @@ def test_plans_have_no_cartesian_product(spark):
 def test_samples_make_their_graph_once(spark, name):
     """What is left to run reads the written graph, and doesn't order the lines again to make it."""
     assert "l_orderkey" not in registry.QUERIES[name](spark, D)._jdf.queryExecution().toString()
+
+
+def test_favoured_samples_and_scores_read_one_graph(spark, monkeypatch):
+    """The scores behind a placement read the graph that the samples read."""
+    made, make = [], registry.X.g_next
+    monkeypatch.setattr(registry.X, "g_next", lambda s, d: (made.append(d), make(s, d))[1])
+    registry.QUERIES["w2_locality_job_favoured"](spark, D)
+    assert len(made) == 1
