@@ -251,8 +251,8 @@ query("p11_train_order_for_greedy", _BLK + "SELECT node, row_number() OVER (ORDE
 
 
 def _resolved(s, d) -> DataFrame:
-    batches = materialise(_batches(s, d), "batches")
-    return P.resolve_location(W.batch_closures(X.g_next(s, d), batches), _snake(s, d)[1])
+    batches, e = materialise(_batches(s, d), "batches"), materialise(X.g_next(s, d), "edges")
+    return P.resolve_location(W.batch_closures(e, batches), _snake(s, d, e)[1])
 
 
 _RES = ", res AS (SELECT i.batch_id, i.rank, i.node, coalesce(holder, -1) AS holder, slot FROM inputs i LEFT JOIN location l ON l.viewer = i.rank AND l.node = i.node) "
