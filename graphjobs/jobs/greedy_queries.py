@@ -41,7 +41,8 @@ _BUFFER = GREEDY + "SELECT device, slot::INT AS slot, node FROM greedy_buffer, s
 
 def placed(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     train = materialise(rank_globally(X.train(s, d), ["node"], "pos"), "train")
-    return P.place_greedy_blocks(X.g_next(s, d), train, scores(s, d), X.DEVICES, rows(s, d), X.nodes(s, d).count(), 1)
+    e = materialise(X.g_next(s, d), "edges")
+    return P.place_greedy_blocks(e, train, scores(s, d, e=e), X.DEVICES, rows(s, d), X.nodes(s, d).count(), 1)
 
 
 query("p7_assign_blocks_greedy", GREEDY + f"SELECT block, owner[block + 1]::INT AS device, count(*) AS n FROM blocks, st{BLOCKS} GROUP BY 1, 2")(
@@ -53,5 +54,5 @@ query("w4_greedy_buffers", _BUFFER)(lambda s, d: placed(s, d)[0])
 @query("p10_choose_placement_greedy_blocks", GREEDY + "SELECT device AS viewer, node, device AS holder, slot::INT AS slot FROM greedy_buffer, size WHERE slot < rows")
 def _p10(s, d):
     train = materialise(rank_globally(X.train(s, d), ["node"], "pos"), "train")
-    n = X.nodes(s, d)
-    return P.choose_placement("greedy_blocks", X.DEVICES, rows(s, d), n, scores(s, d), e=X.g_next(s, d), train=train, total=n.count(), k=1)[1]
+    n, e = X.nodes(s, d), materialise(X.g_next(s, d), "edges")
+    return P.choose_placement("greedy_blocks", X.DEVICES, rows(s, d), n, scores(s, d, e=e), e=e, train=train, total=n.count(), k=1)[1]

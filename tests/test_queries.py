@@ -47,9 +47,10 @@ def test_samples_make_their_graph_once(spark, name):
     assert "l_orderkey" not in registry.QUERIES[name](spark, D)._jdf.queryExecution().toString()
 
 
-def test_favoured_samples_and_scores_read_one_graph(spark, monkeypatch):
-    """The scores behind a placement read the graph that the samples read."""
+@pytest.mark.parametrize("name", ["w2_locality_job_favoured", "p10_choose_placement_greedy_blocks", "p12_resolve_location"])
+def test_scores_read_the_same_graph(spark, monkeypatch, name):
+    """The scores behind a placement read the graph that the rest of the query reads."""
     made, make = [], registry.X.g_next
     monkeypatch.setattr(registry.X, "g_next", lambda s, d: (made.append(d), make(s, d))[1])
-    registry.QUERIES["w2_locality_job_favoured"](spark, D)
+    registry.QUERIES[name](spark, D)
     assert len(made) == 1
