@@ -10,8 +10,9 @@ cell is verified by its cosine in double precision, so no pair below the thresho
 
 * Bounds: codebooks are fitted on ``sample`` vectors and calibrated on ``probes`` vectors at most,
   chosen by hash; every row is indexed, and every row is a query.
-* Equal vectors are one entry with a multiplicity. A cell's members and visitors meet in pair blocks
-  of bounded size, so a hot cell is spread over many tasks. A pair that two visits would meet is
+* Equal vectors are one entry with a multiplicity. A vector is written once, with the cells on its way; visits carry it
+  only while a share of the cells is compared, one share after the other. A cell's members and visitors meet in pair blocks
+  of bounded size, so a hot cell is spread over many tasks; two visitors aren't compared. A pair that two visits would meet is
   compared in the smaller cell only; each block adds counts and root edges per vector, not pairs.
 * Null, zero and non-finite vectors link with nothing: n_links 0, component_id the own id. Vectors of
   different lengths don't link; each length has an index of its own, built one after the other. Rows with
@@ -39,7 +40,11 @@ CELL = 32  # vectors in a cell on average, until K reaches its limit
 MAX_K = 4096
 EACH = 8  # vectors in the sample for each centroid at least
 UNKNOWN = 1 << 62
-CHUNK = 1024
+CHUNK = 8192
+#: Cosines that numpy holds at once.
+PAIRS = 1 << 20
+#: Visits that a share has, or as many as there are vectors.
+VISITS = 1 << 19
 
 
 def _usable(v: Column) -> Column:
@@ -144,28 +149,38 @@ def _cells_needed(heads: DataFrame, books: tuple, dims: int, threshold: float, t
     return least
 
 
-def _route(books: tuple, dims: int, cells: int):
-    """Each vector as member of its own cell and as visitor of the others on its way."""
+def _route(books: tuple, dims: int, cells: int, shares: int):
+    """Each vector with its own cell, and the cells on its way by share (the remainder of a cell's number)."""
     half, (b1, b2) = dims // 2, books
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "head", "v", "copies", "home", "way"]
         for whole in batches:
             for part in range(0, whole.num_rows, 2048):
                 batch = whole.slice(part, 2048)
                 x = _units(batch.column(1), dims)
-                way = traverse(_distances(x[:, :half], b1), _distances(x[:, half:], b2), cells)
-                n, t = way.shape
-                home, ends = way[:, 0].astype(np.int64), np.arange(0, n * t + 1, t, dtype=np.int32)
-                whole_way = pa.ListArray.from_arrays(pa.array(ends), pa.array(way.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(home), *batch.columns, pa.array(home), whole_way], names)
-                for k in range(1, t):
-                    none = pa.nulls(n, pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(way[:, k].astype(np.int64)), *batch.columns, pa.array(home), none], names)
+                way = traverse(_distances(x[:, :half], b1), _distances(x[:, half:], b2), cells).astype(np.int32)
+                group = np.arange(len(way))[:, None] * shares + way % shares
+                ends = np.cumsum(np.bincount(group.ravel(), minlength=len(way) * shares))
+                mine = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(way.ravel()[np.argsort(group.ravel(), kind="stable")]))
+                ways = pa.ListArray.from_arrays(pa.array(np.arange(0, len(way) * shares + 1, shares, dtype=np.int32)), mine)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(way[:, 0]), ways], ["head", "v", "copies", "home", "ways"])
 
     return run
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, the smallest ordinal of each one's group, after the groups of a[i] and b[i] became one."""
+    while True:
+        x, y = root[a], root[b]
+        differ = x != y
+        if not differ.any():
+            return root
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _verify(dims: int, threshold: float):
     """Per block: each vector's number of links found there, and an edge to its block root."""
 
@@ -178,42 +193,38 @@ def _verify(dims: int, threshold: float):
             member = home == cell
             ways = g["way"].combine_chunks().flatten().to_numpy().reshape(member.sum(), -1) if member.any() else np.zeros((0, 1), np.int32)
             row = np.cumsum(member) - 1
-            left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
-            a, b = np.nonzero(x[left] @ x[right].T >= threshold)
-            a, b = left[a], right[b]
-            once = (a < b) if i == j else np.ones(len(a), bool)
-            once &= member[a] | member[b]  # two visitors meet elsewhere
-            a, b = a[once], b[once]
-            # a visitor and a member whose ways cross both cells meet in the smaller one
-            q, y = np.where(member[a], b, a), np.where(member[a], a, b)
-            skip = np.zeros(len(a), bool)
-            low = np.flatnonzero(home[q] < cell)
-            for at in range(0, len(low), 100_000):
-                some = low[at : at + 100_000]
-                skip[some] = (ways[row[y[some]]] == home[q[some]][:, None]).any(1)
-            a, b = a[~skip], b[~skip]
-            if not len(a):
-                continue
-            n = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-            root = np.arange(len(ids))
-            while True:
-                new = root.copy()
-                np.minimum.at(new, a, root[b])
-                np.minimum.at(new, b, root[a])
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
+            n, root = np.zeros(len(ids)), np.arange(len(ids))
+            # two visitors meet elsewhere, so each pair has a member
+            sides = [(np.flatnonzero(member & (c == i)), np.flatnonzero(c == j))]
+            if i != j:
+                sides.append((np.flatnonzero(member & (c == j)), np.flatnonzero(~member & (c == i))))
+            for ours, others in sides:
+                step = max(1, PAIRS // max(1, len(others)))
+                for at in range(0, len(ours), step):
+                    a, b = np.nonzero(x[ours[at : at + step]] @ x[others].T >= threshold)
+                    a, b = ours[at + a], others[b]
+                    if i == j:
+                        once = (a < b) | ~member[b]
+                        a, b = a[once], b[once]
+                    # a visitor and a member whose ways cross both cells meet in the smaller one
+                    skip = np.zeros(len(a), bool)
+                    low = np.flatnonzero(home[b] < cell)
+                    for some in (low[k : k + 100_000] for k in range(0, len(low), 100_000)):
+                        skip[some] = (ways[row[a[some]]] == home[b[some]][:, None]).any(1)
+                    a, b = a[~skip], b[~skip]
+                    n += np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+                    root = _joined(root, a, b)
             some = np.flatnonzero(n > 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(ids[root[some]])], ["a", "n", "b"]
-            )
+            if len(some):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(ids[root[some]])], ["a", "n", "b"]
+                )
 
     return run
 
 
-def _links(indexed: DataFrame, dims: int, threshold: float, target: float, sample: int, probes: int, chunk: int) -> DataFrame:
-    """(a, n, b) of the vectors of one length: how many links a has in a block, and an edge to its block root."""
+def _routed(indexed: DataFrame, dims: int, threshold: float, target: float, sample: int, probes: int) -> tuple[DataFrame, int]:
+    """The vectors of one length with their ways, written, and how many shares the cells are in."""
     n = indexed.count()
     k = min(MAX_K, max(2, 1 << round(math.log2(max(4, math.sqrt(max(1, n) / CELL))))))
     drawn = indexed.orderBy(F.xxhash64("head"), "head").limit(max(sample, EACH * k)).select("v").collect()
@@ -221,15 +232,30 @@ def _links(indexed: DataFrame, dims: int, threshold: float, target: float, sampl
     half = dims // 2
     books = kmeans(x[:, :half], min(k, len(x))), kmeans(x[:, half:], min(k, len(x)), seed=8)
     cells = _cells_needed(indexed, books, dims, threshold, target, probes)
-    routed = indexed.mapInArrow(_route(books, dims, cells), "cell long, head long, v array<double>, copies long, home long, way array<int>")
-    routed = materialise(routed, "visits")
-    sizes = routed.groupBy("cell").agg(F.count("*").alias("k"))
-    keys = ["cell", "i", "j"]
-    blocks = pair_blocks(routed.join(sizes, "cell"), F.col("head"), "k", chunk).select(*keys, "c", "head", "v", "copies", "home", "way")
-    found = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(dims, threshold), "a long, n long, b long")
-    found = materialise(found, "links")
-    release(routed)
-    return found
+    shares = math.ceil(n * cells / max(VISITS, n))
+    kind = dict(indexed.dtypes)["v"]
+    schema = f"head long, v {kind}, copies long, home int, ways array<array<int>>"
+    return materialise(indexed.mapInArrow(_route(books, dims, cells, shares), schema), "ways"), shares
+
+
+def _links(routed: DataFrame, shares: int, dims: int, threshold: float, chunk: int) -> DataFrame:
+    """(a, n, b) of the vectors of one length: how many links a has in a block, and an edge to its block root."""
+    sizes = routed.select(F.explode(F.flatten("ways")).alias("cell")).groupBy("cell").agg(F.count("*").alias("k"))
+    sizes = materialise(sizes.where(F.col("k") > chunk), "sizes")
+    found, keys = [], ["cell", "i", "j"]
+    for share in range(shares):  # one after the other, so that no more than a share's visits carry their vectors on disk
+        way = F.when(F.pmod("home", F.lit(shares)) == share, F.flatten("ways")).alias("way")  # before the rows are multiplied
+        visits = routed.select(F.col("ways")[share].alias("cells"), "head", "v", "copies", F.col("home").cast("long").alias("home"), way)
+        visits = visits.select(F.explode("cells").alias("cell"), "head", "v", "copies", "home", "way")
+        # no more of a share's cells than it has chunks
+        visits = visits.join(F.broadcast(sizes.where(F.pmod("cell", F.lit(shares)) == share)), "cell", "left")
+        own = F.when(F.col("cell") == F.col("home"), F.col("way")).alias("way")
+        visits = visits.select(F.col("cell").cast("long").alias("cell"), "head", "v", "copies", "home", own, F.coalesce("k", F.lit(1)).alias("k"))
+        blocks = pair_blocks(visits, F.col("head"), "k", chunk).select(*keys, "c", "head", "v", "copies", "home", "way")
+        blocks = blocks.repartition(*keys).sortWithinPartitions(*keys)
+        found.append(materialise(blocks.mapInArrow(_verify(dims, threshold), "a long, n long, b long"), "links"))
+    release(routed, sizes)
+    return reduce(DataFrame.unionByName, found)
 
 
 def embedding_classes(
@@ -243,21 +269,27 @@ def embedding_classes(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
-    v = F.col(embedding).cast("array<double>")
+    single = dict(vectors.select(F.col(embedding).alias("v")).dtypes)["v"] == "array<float>"  # as exact, in half of the bytes
+    v = F.col(embedding).cast("array<float>" if single else "array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(_usable(v), v).alias("v"))
+    # 128 bits know a vector again, so that whole vectors don't meet in the last join
+    marks = [F.when(F.col("v").isNotNull(), h).alias(c) for c, h in (("one", F.xxhash64("v")), ("other", F.xxhash64(F.lit(1), "v")))]
     heads = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"))
     # several vectors under one id stay apart in the index; those under none get a number of their own
-    known = F.coalesce("head", F.monotonically_increasing_id() + F.lit(UNKNOWN))
-    heads = materialise(heads.select(known.alias("head"), "v", "copies", F.size("v").alias("dims")), "vectors")
+    number = F.coalesce("head", F.monotonically_increasing_id() + F.lit(UNKNOWN))
+    heads = materialise(heads.select(number.alias("head"), "v", "copies", F.size("v").alias("dims"), *marks), "vectors")
     lengths = [r.dims for r in heads.groupBy("dims").count().orderBy("dims").collect()]
-    found = [_links(heads.where(F.col("dims") == d).select("head", "v", "copies"), d, threshold, target, sample, probes, chunk) for d in lengths]
+    routed = [(*_routed(heads.where(F.col("dims") == d).select("head", "v", "copies"), d, threshold, target, sample, probes), d) for d in lengths]
+    known = materialise(heads.drop("v", "dims"), "known")
+    release(heads)
+    found = [_links(table, shares, d, threshold, chunk) for table, shares, d in routed]
     if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     found = reduce(DataFrame.unionByName, found)
     links = found.groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n"))
     groups = connected_components(found).withColumnRenamed("node", "head")
-    own = heads.join(links, "head", "left").join(groups, "head", "left")
-    out = rows.join(own.select("head", "v", "copies", "n", "component"), "v", "left")
+    own = known.join(links, "head", "left").join(groups, "head", "left")
+    out = rows.select("vec_id", *marks).join(own, ["one", "other"], "left")
     component = F.when(F.col("vec_id").isNull(), F.lit(None).cast("long")).otherwise(F.least(F.coalesce("component", "head", "vec_id"), "vec_id"))
     return out.select(
         "vec_id",
